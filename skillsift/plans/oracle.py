@@ -161,3 +161,169 @@ SQL["keyword_filter"] = """SELECT p_partkey AS job_id, p_name AS title FROM part
 WHERE contains(lower(p_name), lower('Plate'))"""
 
 SQL["clean_html"] = f"SELECT page_id, {clean_html('html')} AS description FROM pages"
+
+
+# --- M1 ------------------------------------------------------------------------
+
+DICTIONARY = f"""btok AS (SELECT item_id, {tok('text')} AS t FROM benchmark),
+dict AS (SELECT DISTINCT unnest({ngram('t', 2)}) AS phrase FROM btok),
+dic AS (SELECT phrase, pt, len(pt) AS m, len(list_distinct(pt)) AS d
+        FROM (SELECT phrase, {tok('phrase')} AS pt FROM dict) WHERE len(pt) > 0)"""
+
+
+def skills_sql(docs: str, theta: float = 0.75) -> str:
+    """CTEs ending in ``sk(doc_id, skills)`` for a CTE ``{docs}(doc_id, text)``; needs DICTIONARY."""
+    return f"""dtk AS (SELECT doc_id, {tok('text')} AS t FROM {docs}),
+grams AS (SELECT doc_id, unnest(t) AS k FROM dtk
+          UNION ALL SELECT doc_id, unnest({ngram('t', 2)}) AS k FROM dtk),
+fullm AS (SELECT g.doc_id, d.phrase FROM grams g JOIN dic d ON g.k = array_to_string(d.pt, ' ')),
+dtt AS (SELECT DISTINCT doc_id, unnest(t) AS token FROM dtk),
+ptt AS (SELECT DISTINCT phrase, d, unnest(pt) AS token FROM dic WHERE m >= 2),
+partm AS (SELECT dtt.doc_id, ptt.phrase FROM dtt JOIN ptt USING (token)
+          GROUP BY dtt.doc_id, ptt.phrase, ptt.d HAVING count(*) / ptt.d >= {theta}),
+pairs AS (SELECT doc_id, phrase FROM fullm UNION SELECT doc_id, phrase FROM partm),
+sk AS (SELECT x.doc_id, coalesce(array_to_string(list_sort(list(DISTINCT p.phrase)), ', '), '') AS skills
+       FROM {docs} x LEFT JOIN pairs p ON p.doc_id = x.doc_id GROUP BY x.doc_id)"""
+
+
+SQL["extract_skills"] = f"""WITH {DICTIONARY},
+docs AS (SELECT doc_id, text FROM documents),
+{skills_sql('docs')}
+SELECT doc_id, skills FROM sk"""
+
+SQL["page_descriptions"] = f"""SELECT p.p_partkey AS job_id, {clean_html('g.html')} AS description,
+  concat_ws(' ', array_to_string(string_split(p.p_name, ' '), ','), {clean_html('g.html')}) AS combined_description
+FROM part p JOIN pages g ON g.page_id = p.p_partkey % (SELECT count(*) FROM pages)"""
+
+# --- dates -----------------------------------------------------------------------
+
+SQL["effective_since"] = """SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
+WHERE o_orderdate >= DATE '2001-08-01' - INTERVAL 365 DAY"""
+
+SQL["date_texts"] = """SELECT event_id, strftime(ts, '%Y%m%d') AS load_date, strftime(ts, '%Y-%b-%d_%H-%M-%S') AS stamp,
+       strftime(ts, '%d/%m/%Y %H:%M:%S') AS shown_at,
+       strftime(DATE '2024-01-31' - INTERVAL 365 DAY, '%Y%m%d') AS cutoff
+FROM events"""
+
+# --- de-dup / delta ----------------------------------------------------------------
+
+SQL["dedupe_latest"] = """SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem
+WHERE l_partkey IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY l_partkey
+                           ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC,
+                                    l_returnflag DESC) = 1"""
+
+SQL["distinct_keys"] = "SELECT count(*) AS rows_in, count(DISTINCT l_partkey) AS unique_keys FROM lineitem"
+
+SQL["batch_metrics"] = """SELECT count(*) AS rows_in, count(DISTINCT l_partkey) AS unique_keys,
+       count(*) FILTER (WHERE l_partkey IS NULL) AS null_keys,
+       count(DISTINCT l_partkey) FILTER (WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO'))
+         AS delta_keys
+FROM lineitem"""
+
+SQL["delta_anti_diff_key"] = """SELECT c_custkey, c_name, c_mktsegment FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderpriority = '1-URGENT' AND o.o_custkey = c.c_custkey)"""
+
+SQL["delta_anti_using"] = """SELECT doc_id, lang, source, n_chars FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+
+SQL["missing_pages"] = """WITH pg AS (
+  SELECT regexp_extract(url, '//([^/:?#]+)', 1) AS source,
+         CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS page FROM pages),
+tot AS (SELECT source, max((page + 1) * 100) AS total FROM pg GROUP BY source),
+expected AS (SELECT source, unnest(range(0, CAST(ceil(total / 100) AS BIGINT))) AS page FROM tot)
+SELECT source, page FROM expected e
+WHERE NOT EXISTS (SELECT 1 FROM pg WHERE pg.source = e.source AND pg.page = e.page)"""
+
+# --- shaping ------------------------------------------------------------------------
+
+SQL["flatten_nested"] = """SELECT 'JOB-' || p_partkey AS job_id, p_name AS title, p_brand AS company_name,
+       'UEN' || p_size AS uen, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_type END AS employment_type,
+       p_brand AS level, p_type AS category,
+       CASE WHEN p_size > 45 THEN NULL ELSE p_retailprice END AS salary_min,
+       CASE WHEN p_size > 45 THEN NULL ELSE p_retailprice + p_size END AS salary_max,
+       CASE WHEN p_size > 45 THEN NULL ELSE 'Monthly' END AS salary_type,
+       array_to_string(string_split(p_name, ' '), ',') AS skills, 'u' || p_partkey AS job_uuid
+FROM part"""
+
+SQL["pluck_first"] = """SELECT o.o_orderkey, list(l.l_partkey ORDER BY l.l_linenumber, l.l_partkey)[1] AS first_part,
+       string_agg(CAST(l.l_partkey AS VARCHAR), ',' ORDER BY l.l_linenumber, l.l_partkey) AS parts
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey"""
+
+SQL["flatten_struct"] = """SELECT CAST(doc_id AS VARCHAR) AS c_referenceNumber, source AS c_title, lang AS c_content,
+       CAST(NULL AS VARCHAR) AS c_outcome, source AS c_fieldOfStudies1,
+       (SELECT count(*) FROM documents) AS total, CAST(NULL AS VARCHAR) AS c_not_there
+FROM documents"""
+
+SQL["array_text"] = """SELECT p_partkey, array_to_string(string_split(p_name, ' '), ',') AS plain,
+       '[' || array_to_string(string_split(p_name, ' '), ', ') || ']' AS bracketed FROM part"""
+
+SQL["course_concat"] = """SELECT p_partkey,
+       p_name || p_brand || coalesce(CASE WHEN p_size > 45 THEN NULL ELSE p_type END, '') || p_type AS concat
+FROM part"""
+
+SQL["cast_all"] = """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type,
+       CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice FROM part"""
+
+SQL["union_pages"] = """SELECT doc_id, lang, source FROM documents WHERE lang = 'en'
+UNION ALL BY NAME
+SELECT doc_id, lang, n_chars FROM documents WHERE lang <> 'en'"""
+
+SQL["array_union_skills"] = """SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(
+         string_split(lower(p_name), ' '), string_split(lower(p_type), ' ')))), ', ') AS skills FROM part"""
+
+# --- order / limit -------------------------------------------------------------------
+
+SQL["latest_n"] = """SELECT o_orderkey, o_custkey, o_orderpriority FROM orders
+ORDER BY o_orderdate DESC, o_orderkey LIMIT 500"""
+
+SQL["snapshot_limit"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10000"
+
+SQL["table_bytes"] = """SELECT CAST(sum(octet_length(encode(CAST(p_partkey AS VARCHAR)))) AS BIGINT) AS p_partkey_bytes,
+       CAST(sum(octet_length(encode(p_name))) AS BIGINT) AS p_name_bytes,
+       CAST(sum(octet_length(encode(p_brand))) AS BIGINT) AS p_brand_bytes,
+       CAST(sum(octet_length(encode(p_type))) AS BIGINT) AS p_type_bytes,
+       CAST(sum(octet_length(encode(CAST(p_size AS VARCHAR)))) AS BIGINT) AS p_size_bytes,
+       count(*) AS rows FROM part"""
+
+# --- sinks and flows ------------------------------------------------------------------
+
+SQL["bronze_roundtrip"] = """SELECT event_id, user_id, event_type, value, strftime(ts, '%Y%m%d') AS load_date
+FROM events WHERE strftime(ts, '%Y%m%d') = '20240115'"""
+
+SQL["jobs_gold_load"] = f"""WITH {DICTIONARY},
+base AS (SELECT 'JOB-' || p.p_partkey AS jobPostId, p.p_name AS title,
+                array_to_string(string_split(p.p_name, ' '), ',') AS requiredSkills,
+                {clean_html('g.html')} AS description
+         FROM part p JOIN pages g ON g.page_id = p.p_partkey % (SELECT count(*) FROM pages)),
+gj AS (SELECT *, concat_ws(' ', requiredSkills, description) AS combined_description FROM base),
+docs AS (SELECT jobPostId AS doc_id, combined_description AS text FROM gj),
+{skills_sql('docs')}
+SELECT gj.jobPostId, gj.title, gj.requiredSkills, gj.description, gj.combined_description,
+       sk.skills AS skills_extracts
+FROM gj JOIN sk ON sk.doc_id = gj.jobPostId"""
+
+SQL["courses_gold_load"] = f"""WITH {DICTIONARY},
+docs AS (SELECT doc_id, text FROM documents),
+{skills_sql('docs')}
+SELECT CAST(d.doc_id AS VARCHAR) AS referenceNumber, d.source AS title, d.lang || '-' || d.doc_id AS seoName,
+       d.text AS objective, d.lang AS content, CAST(NULL AS VARCHAR) AS outcome,
+       CAST(NULL AS VARCHAR) AS specialisation, '[{{' || d.lang || '}}]' AS taggings, CAST(NULL AS VARCHAR) AS tags,
+       CAST(NULL AS VARCHAR) AS areaOfTrainings, d.source AS fieldOfStudies1, CAST(NULL AS VARCHAR) AS fieldOfStudies2,
+       CAST(NULL AS VARCHAR) AS skillsConnectReferenceNumber, CAST(NULL AS VARCHAR) AS skillsFrameworks,
+       CAST(NULL AS VARCHAR) AS skillsFutureCreditReferenceNumber,
+       d.text || d.source || d.source || d.lang AS concat, sk.skills AS SkillsTaxonomy
+FROM documents d JOIN sk ON sk.doc_id = d.doc_id"""
+
+SQL["serving_export"] = f"""WITH {DICTIONARY},
+docs AS (SELECT doc_id, text FROM documents),
+{skills_sql('docs')}
+SELECT CAST(d.doc_id AS VARCHAR) AS referenceNumber, d.source AS title, sk.skills AS combined_features,
+       CAST(len(list_distinct({tok('sk.skills')})) AS BIGINT) AS n_terms
+FROM documents d JOIN sk ON sk.doc_id = d.doc_id"""
+
+SQL["feedback_append"] = """SELECT CASE WHEN turn = 0 THEN NULL ELSE 'conv ' || conv_id END AS Search_input,
+       text AS Feedback, CAST(turn % 6 AS INTEGER) AS User_rating,
+       CAST(conv_id % 6 + 5 AS INTEGER) AS Recommended_course_number, turn % 2 = 0 AS Show_score,
+       '15/01/2024 10:30:00' AS Timestamp
+FROM conversations WHERE role = 'user'"""

@@ -13,11 +13,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates as dt
 from ..functions.text import clean_html, ngrams, tokens
+from ..operators import delta as dl
 from ..operators import index as ix
-from ..operators.recommend import recommend, skill_queries
-from ..operators.titles import keyword_filter, match_jobs, match_titles
+from ..operators import shape as sh
+from ..operators.recommend import recommend
+from ..operators.skills import extract_skills
+from ..operators.titles import keyword_filter, match_jobs, similar_titles
+from ..session import scratch_path
+from ..sinks.tables import write_bronze
+from ..sources import landing as src
+from . import etl
 from . import fixtures as fx
+from . import landing as land
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,5 +155,270 @@ def q_clean_html(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", clean_html("html").alias("description"))
 
 
-def _unused(*_):  # keep imports used by later groups
-    return match_titles, skill_queries
+
+
+@query("page_descriptions")
+def q_page_descriptions(spark, sf_dir):
+    """S3 + J3 + X1 + P12: landed detail HTML joined by uuid, cleaned, combined with the skills text."""
+    part = fx.table(spark, sf_dir, "part")
+    jobs = part.select(F.col("p_partkey").alias("job_id"),
+                       F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("job_uuid"),
+                       sh.skills_text(F.split("p_name", " ")).alias("skills"))
+    details = src.read_job_details(spark, land.land_job_details(spark, sf_dir))
+    j = dl.with_description(jobs, details)
+    return j.select("job_id", F.col("job_description").alias("description"),
+                    sh.combined_description("skills", "job_description").alias("combined_description"))
+
+
+# --- skills -----------------------------------------------------------------
+
+@query("extract_skills")
+def q_extract_skills(spark, sf_dir):
+    """M1 over every document with the benchmark-bigram dictionary."""
+    docs = fx.table(spark, sf_dir, "documents")
+    return extract_skills(docs, "doc_id", "text", fx.skill_dictionary(spark, sf_dir))
+
+
+@query("similar_titles")
+def q_similar_titles(spark, sf_dir):
+    """F4 + X7: every title pair with stdlib similarity ratio >= 0.7 (query first)."""
+    return similar_titles(fx.title_requests(spark, sf_dir),
+                          fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("title")), 0.7)
+
+
+# --- dates ------------------------------------------------------------------
+
+@query("effective_since")
+def q_effective_since(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    return (dt.effective_since(o, "o_orderdate", 365, as_of="2001-08-01")
+              .select("o_orderkey", "o_custkey", "o_orderstatus"))
+
+
+@query("date_texts")
+def q_date_texts(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    return e.select("event_id", dt.load_date_text("ts").alias("load_date"), dt.stamp_text("ts").alias("stamp"),
+                    dt.feedback_time_text("ts").alias("shown_at"),
+                    dt.load_date_text(dt.days_before(dt.as_of_date("2024-01-31"))).alias("cutoff"))
+
+
+# --- de-dup / delta -----------------------------------------------------------
+
+@query("dedupe_latest")
+def q_dedupe_latest(spark, sf_dir):
+    li = fx.table(spark, sf_dir, "lineitem")
+    d = dl.dedupe(dl.drop_null_keys(li, "l_partkey"), "l_partkey",
+                  [F.desc("l_shipdate"), F.desc("l_orderkey"), F.desc("l_linenumber"),
+                   F.desc("l_quantity"), F.desc("l_returnflag")])
+    return d.select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
+@query("distinct_keys")
+def q_distinct_keys(spark, sf_dir):
+    return dl.distinct_keys(fx.table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query("batch_metrics")
+def q_batch_metrics(spark, sf_dir):
+    """M9: lineitem keyed by part against a gold of the PROMO parts."""
+    gold = fx.table(spark, sf_dir, "part").where(F.col("p_type") == "PROMO")
+    return dl.batch_metrics(fx.table(spark, sf_dir, "lineitem"), gold, "l_partkey", "p_partkey")
+
+
+@query("delta_anti_diff_key")
+def q_delta_anti_diff_key(spark, sf_dir):
+    """Customers with no urgent order (keys named differently)."""
+    urgent = fx.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    c = fx.table(spark, sf_dir, "customer")
+    return dl.delta_rows(c, urgent, "c_custkey", "o_custkey").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("delta_anti_using")
+def q_delta_anti_using(spark, sf_dir):
+    """Documents without a label row (shared key name)."""
+    d = fx.table(spark, sf_dir, "documents")
+    return dl.delta_rows(d, fx.table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("missing_pages")
+def q_missing_pages(spark, sf_dir):
+    """S8 + A9 + X11: per site, pages 0..ceil(total/100)-1 not landed; each landed page reports
+    total = (its number + 1) * 100."""
+    pg = fx.table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", r"//([^/:?#]+)", 1).alias("source"),
+        F.regexp_extract("url", r"/([0-9]+)", 1).cast("bigint").alias("page"))
+    landed = pg.withColumn("countWithoutFilters", (F.col("page") + 1) * 100)
+    totals = dl.reported_total(landed, ["source"])
+    return src.missing_pages(totals, landed, ["source"])
+
+
+# --- shaping --------------------------------------------------------------------
+
+@query("flatten_nested")
+def q_flatten_nested(spark, sf_dir):
+    """S1 + P1-P3 + P9: job pages landed as JSON, read with a schema, flattened."""
+    rows = sh.flatten_jobs(src.read_job_pages(spark, land.land_job_pages(spark, sf_dir)))
+    return rows.withColumn("skills", sh.skills_text("skills"))
+
+
+@query("pluck_first")
+def q_pluck_first(spark, sf_dir):
+    """P2 + P3 on arrays of structs built per order (items sorted by line number)."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    items = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))  # total order
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left")
+    return o.select("o_orderkey", sh.first_of("items", "l_partkey").alias("first_part"),
+                    F.array_join(sh.pluck("items", "l_partkey").cast("array<string>"), ",").alias("parts"))
+
+
+@query("flatten_struct")
+def q_flatten_struct(spark, sf_dir):
+    """S2 + P4 + P5: course pages landed as JSON, flattened to dotted names, whitelisted."""
+    c = src.read_course_pages(spark, land.land_course_pages(spark, sf_dir)).select("total", "c")
+    flat = sh.flatten_struct(c)
+    keep = ["c.referenceNumber", "c.title", "c.content", "c.outcome", "c.fieldOfStudies1", "total"]
+    out = sh.select_existing(flat, keep + ["c.not_there"], strict=True)
+    return out.toDF(*[n.replace(".", "_") for n in out.columns])
+
+
+@query("array_text")
+def q_array_text(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "part")
+    a = F.split("p_name", " ")
+    return p.select("p_partkey", sh.skills_text(a).alias("plain"), sh.skills_text(a, bracketed=True).alias("bracketed"))
+
+
+@query("course_concat")
+def q_course_concat(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "part")
+    maybe = F.when(F.col("p_size") > 45, F.lit(None)).otherwise(F.col("p_type"))
+    return p.select("p_partkey", sh.course_concat(F.col("p_name"), F.col("p_brand"), maybe,
+                                                  F.col("p_type")).alias("concat"))
+
+
+@query("cast_all")
+def q_cast_all(spark, sf_dir):
+    return sh.cast_all_string(fx.table(spark, sf_dir, "part"))
+
+
+@query("union_pages")
+def q_union_pages(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    a = d.where(F.col("lang") == "en").select("doc_id", "lang", "source")
+    b = d.where(F.col("lang") != "en").select("doc_id", "lang", "n_chars")
+    return sh.union_pages([a, b])
+
+
+@query("array_union_skills")
+def q_array_union_skills(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "part")
+    u = sh.merge_lists(F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " "))
+    return p.select("p_partkey", F.array_join(u, ", ").alias("skills"))
+
+
+# --- order / limit ----------------------------------------------------------------
+
+@query("latest_n")
+def q_latest_n(spark, sf_dir):
+    """T4: the newest 5 pages of 100 orders (date desc, key asc)."""
+    o = fx.table(spark, sf_dir, "orders")
+    return (sh.preview(o, 5 * 100, [F.desc("o_orderdate"), F.asc("o_orderkey")])
+              .select("o_orderkey", "o_custkey", "o_orderpriority"))
+
+
+@query("snapshot_limit")
+def q_snapshot_limit(spark, sf_dir):
+    """T3 + P16: the first 10,000 orders by key (the snapshot cap)."""
+    o = fx.table(spark, sf_dir, "orders")
+    return sh.preview(o, 10_000, [F.asc("o_orderkey")]).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("table_bytes")
+def q_table_bytes(spark, sf_dir):
+    """Logical text bytes per column and in total (numbers counted as their text)."""
+    p = fx.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return p.agg(*[F.sum(F.octet_length(F.col(c).cast("string"))).cast("bigint").alias(f"{c}_bytes")
+                   for c in p.columns],
+                 F.count(F.lit(1)).alias("rows"))
+
+
+# --- sinks and flows --------------------------------------------------------------------
+
+@query("bronze_roundtrip")
+def q_bronze_roundtrip(spark, sf_dir):
+    """K1 + P8 + S9: events written by load date, one date read back (partition pruning)."""
+    e = fx.table(spark, sf_dir, "events")
+    path = scratch_path(spark, "bronze-events")
+    write_bronze(sh.with_load_date(e, dt.load_date_text("ts")), path)
+    write_bronze(sh.with_load_date(e, dt.load_date_text("ts")), path)  # re-run replaces, never doubles
+    b = src.read_bronze(spark, path, "20240115")
+    return b.select("event_id", "user_id", "event_type", "value", F.col("load_date").cast("string"))
+
+
+def _scratch_db(spark) -> str:
+    name = "ss_" + scratch_path(spark, "db").rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{scratch_path(spark, 'warehouse')}'")
+    return name
+
+
+@query("jobs_gold_load")
+def q_jobs_gold_load(spark, sf_dir):
+    """M5 end to end, run twice on the same landing (second run appends nothing); gold rows."""
+    db = _scratch_db(spark)
+    pages, details = land.land_job_pages(spark, sf_dir), land.land_job_details(spark, sf_dir)
+    bronze = scratch_path(spark, "bronze-jobs")
+    skills = fx.skill_dictionary(spark, sf_dir)
+    for _ in range(2):
+        etl.run_jobs(spark, pages, details, bronze, skills, f"{db}.jobsdata", f"{db}.jobswithdescription",
+                     as_of="2024-01-15")
+    return spark.read.table(f"{db}.jobswithdescription")
+
+
+@query("courses_gold_load")
+def q_courses_gold_load(spark, sf_dir):
+    """M6 end to end, run twice (idempotent); gold rows."""
+    db = _scratch_db(spark)
+    pages = land.land_course_pages(spark, sf_dir)
+    skills = fx.skill_dictionary(spark, sf_dir)
+    for _ in range(2):
+        etl.run_courses(spark, pages, skills, f"{db}.courseData", f"{db}.coursewithdescription",
+                        as_of="2024-01-15")
+    return spark.read.table(f"{db}.coursewithdescription")
+
+
+@query("serving_export")
+def q_serving_export(spark, sf_dir):
+    """M7 + K4 + S6: gold courses -> serving tables -> loaded back; postings per course."""
+    db = _scratch_db(spark)
+    skills = fx.skill_dictionary(spark, sf_dir)
+    etl.run_courses(spark, land.land_course_pages(spark, sf_dir), skills, f"{db}.courseData",
+                    f"{db}.coursewithdescription", as_of="2024-01-15")
+    jobs_gold = fx.jobs(spark, sf_dir).select(F.concat(F.lit("JOB-"), F.col("job_id").cast("string")).alias("jobPostId"),
+                                              "title", "skills_extracts")
+    root = scratch_path(spark, "serving")
+    etl.export_serving(spark, spark.read.table(f"{db}.coursewithdescription"), jobs_gold, root)
+    sv = src.load_serving(spark, root)
+    n = sv["postings"].groupBy(F.col("course_id").alias("referenceNumber")).agg(F.count(F.lit(1)).alias("n_terms"))
+    return (sv["courses"].join(n, "referenceNumber", "left")
+              .select("referenceNumber", "title", "combined_features",
+                      F.coalesce("n_terms", F.lit(0)).cast("bigint").alias("n_terms")))
+
+
+@query("feedback_append")
+def q_feedback_append(spark, sf_dir):
+    """M8 + K5: user turns as feedback rows, appended with a pinned server time, read back."""
+    c = fx.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    fb = c.select(
+        F.when(F.col("turn") == 0, F.lit(None)).otherwise(F.concat(F.lit("conv "), F.col("conv_id").cast("string")))
+         .alias("Search_input"),
+        F.col("text").alias("Feedback"),
+        (F.col("turn") % 6).cast("int").alias("User_rating"),
+        (F.col("conv_id") % 6 + 5).cast("int").alias("Recommended_course_number"),
+        (F.col("turn") % 2 == 0).alias("Show_score"))
+    path = scratch_path(spark, "feedback")
+    etl.record_feedback(fb, path, as_of="2024-01-15 10:30:00")
+    back = spark.read.parquet(path)
+    return back.select("Search_input", "Feedback", "User_rating", "Recommended_course_number", "Show_score",
+                       dt.feedback_time_text("Timestamp").alias("Timestamp"))
