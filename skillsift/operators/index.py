@@ -146,7 +146,7 @@ def vectorize(queries: DataFrame, key_cols: list[str], text_col: str, index: Cou
 
 
 def score_courses(qvec: DataFrame, key_cols: list[str], index: CourseIndex,
-                  broadcast_rows: int | None = 2_000_000) -> DataFrame:
+                  broadcast_rows: int | None = 2_000_000, known_rows: int | None = None) -> DataFrame:
     """M3: cosine similarity ``(*key, course_id, score)`` for every course sharing a term.
 
     The query vectors (at most a few dozen terms per query) are broadcast when
@@ -156,7 +156,7 @@ def score_courses(qvec: DataFrame, key_cols: list[str], index: CourseIndex,
     """
     k = list(key_cols)
     if broadcast_rows is not None:
-        qvec, _ = checked_broadcast(qvec, broadcast_rows)
+        qvec, _ = checked_broadcast(qvec, broadcast_rows, known_rows)
     return (qvec.join(index.postings.select("term", "course_id", "weight"), "term")
                 .groupBy(*k, "course_id")
                 .agg(F.sum(F.col("qweight") * F.col("weight")).alias("score")))

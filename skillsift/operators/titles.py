@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_ratio
-from ..session import checked_broadcast
+from ..session import checked_broadcast, materialize
 
 DEFAULT_THRESHOLD = 0.9
 
@@ -90,7 +90,7 @@ def match_jobs(requests: DataFrame, jobs: DataFrame, threshold: float = DEFAULT_
     joined back to all postings by title -- broadcast when their count is
     checked, else a shuffle join where AQE splits a hot title.
     """
-    m = match_titles(requests, jobs, threshold)
+    m = materialize(match_titles(requests, jobs, threshold), jobs.sparkSession, "title-matches")
     mb, _ = checked_broadcast(m, broadcast_rows)
     return jobs.join(mb, "title")
 

@@ -19,13 +19,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, tokens
+from ..session import balance
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Key of each table, used when an under-split scan is spread (session.balance).
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+        "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
+        "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id",
+        "labels": "doc_id", "conversations": "conv_id"}
+# Tables small enough that spreading them would cost more than it saves.
+SMALL = {"region", "nation", "supplier", "labels", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if name in SMALL else balance(df, KEYS.get(name))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,23 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
     return df, False
 
 
+def balance(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-split *source scan* over the cluster's task slots.
+
+    A source made of fewer files than ``spark.default.parallelism`` (e.g. one
+    large single-row-group Parquet file) would run all per-row work --
+    tokenising, exploding, partial aggregation -- in one task. Such a source is
+    hash-repartitioned on ``key`` (deterministic on task retry). A source of
+    many files, as any large table on a cluster is, is returned unchanged. The
+    file list comes from the driver-side listing; no job runs.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
+
+
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))
