@@ -327,3 +327,10 @@ SQL["feedback_append"] = """SELECT CASE WHEN turn = 0 THEN NULL ELSE 'conv ' ||
        CAST(conv_id % 6 + 5 AS INTEGER) AS Recommended_course_number, turn % 2 = 0 AS Show_score,
        '15/01/2024 10:30:00' AS Timestamp
 FROM conversations WHERE role = 'user'"""
+
+SQL["stream_bronze_ingest"] = SQL["flatten_nested"].replace(
+    "'u' || p_partkey AS job_uuid", "'u' || p_partkey AS job_uuid, '20240115' AS load_date")
+
+SQL["stream_feedback"] = """SELECT 'conv ' || conv_id AS Search_input, text AS Feedback, CAST(turn % 6 AS INTEGER) AS User_rating,
+       5 AS Recommended_course_number, true AS Show_score, '15/01/2024 10:30:00' AS Timestamp
+FROM conversations WHERE role = 'user'"""

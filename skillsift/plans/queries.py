@@ -24,6 +24,7 @@ from ..operators.titles import keyword_filter, match_jobs, similar_titles
 from ..session import scratch_path
 from ..sinks.tables import write_bronze
 from ..sources import landing as src
+from ..streaming.ingest import ingest_feedback, ingest_job_pages
 from . import etl
 from . import fixtures as fx
 from . import landing as land
@@ -422,3 +423,32 @@ def q_feedback_append(spark, sf_dir):
     back = spark.read.parquet(path)
     return back.select("Search_input", "Feedback", "User_rating", "Recommended_course_number", "Show_score",
                        dt.feedback_time_text("Timestamp").alias("Timestamp"))
+
+
+# --- streaming ingest ------------------------------------------------------------------
+
+@query("stream_bronze_ingest")
+def q_stream_bronze_ingest(spark, sf_dir):
+    """Job pages ingested by an availableNow file stream into bronze; run twice, the
+    second run finds no new file. Bronze read back."""
+    landing = land.land_job_pages(spark, sf_dir)
+    bronze, ckpt = scratch_path(spark, "stream-bronze"), scratch_path(spark, "stream-ckpt")
+    for _ in range(2):
+        ingest_job_pages(spark, landing, bronze, ckpt, as_of="2024-01-15").awaitTermination()
+    return spark.read.parquet(bronze).withColumn("load_date", F.col("load_date").cast("string"))
+
+
+@query("stream_feedback")
+def q_stream_feedback(spark, sf_dir):
+    """Feedback rows landed as JSON, appended by an availableNow stream with a pinned time."""
+    c = fx.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    landing = scratch_path(spark, "feedback-landing")
+    c.select(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("Search_input"),
+             F.col("text").alias("Feedback"), (F.col("turn") % 6).cast("int").alias("User_rating"),
+             F.lit(5).alias("Recommended_course_number"), F.lit(True).alias("Show_score")
+             ).write.json(landing)
+    sink, ckpt = scratch_path(spark, "feedback-sink"), scratch_path(spark, "feedback-ckpt")
+    ingest_feedback(spark, landing, sink, ckpt, as_of="2024-01-15 10:30:00").awaitTermination()
+    back = spark.read.parquet(sink)
+    return back.select("Search_input", "Feedback", "User_rating", "Recommended_course_number", "Show_score",
+                       dt.feedback_time_text("Timestamp").alias("Timestamp"))
