@@ -100,7 +100,7 @@ def fit_vocabulary(tf: DataFrame, n_docs: Column) -> DataFrame:
 
 def fit_course_index(courses: DataFrame, id_col: str, text_col: str,
                      ngram_range: tuple[int, int] = (1, 1), persist: bool = True,
-                     vocab_broadcast_rows: int | None = None) -> CourseIndex:
+                     vocab_broadcast_rows: int | None = 2_000_000) -> CourseIndex:
     """M2: fit the TF-IDF index over ``courses``.
 
     With ``persist`` the postings and vocabulary are written once to the shared
@@ -115,9 +115,10 @@ def fit_course_index(courses: DataFrame, id_col: str, text_col: str,
     vocab = fit_vocabulary(tf, n_docs)
     if persist:
         vocab = materialize(vocab, spark, "course-vocab")
-    # Weight join on term: the vocabulary is broadcast only when its size is
-    # checked; otherwise both sides shuffle on term and AQE splits hot terms.
-    if vocab_broadcast_rows is not None:
+    # Weight join on term: the vocabulary is broadcast only when its row count
+    # (read from the written files) is under the bound; otherwise both sides
+    # shuffle on term and AQE splits the partitions of hot terms.
+    if vocab_broadcast_rows is not None and persist:
         v, _ = checked_broadcast(vocab.select("term", "idf"), vocab_broadcast_rows)
     else:
         v = vocab.select("term", "idf")
