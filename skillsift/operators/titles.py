@@ -52,16 +52,30 @@ def _max_title_len(titles: DataFrame) -> Column:
     return titles.select(F.max(F.length(F.lower("title")))).scalar()
 
 
+Q = 3  # q-gram length of the substring filter
+
+
+def _qgrams(text: Column) -> Column:
+    """Distinct character q-grams of a (lower-cased) text; none for texts shorter than Q."""
+    return F.when(F.length(text) >= Q, F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length(text) - Q + 1), lambda i: F.substring(text, i, Q)))
+    ).otherwise(F.array().cast("array<string>"))
+
+
 def match_titles(requests: DataFrame, titles: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                 broadcast_rows: int = 100_000) -> DataFrame:
-    """``(query_id, title)`` for every request and every *distinct* title it matches.
+                 broadcast_rows: int = 1_000) -> DataFrame:
+    """``(query_id, query, title)`` for every request and every *distinct* title it matches.
 
     ``requests``: ``(query_id, query)``; ``titles``: a ``title`` column (duplicates
-    allowed, they are folded first). With a checked-small request set the
-    requests are broadcast and the titles streamed (no shuffle of titles).
-    Otherwise an exact length band turns the theta join into an equi-join:
-    containment needs len(t) >= len(q) and the ratio needs
-    len(t) <= len(q) * (2 - threshold) / threshold.
+    allowed, they are folded first). A checked-small request set is broadcast
+    and the titles streamed past it (no shuffle of titles).
+
+    Large request sets use an exact substring filter instead of comparing all
+    pairs: a query contained in a title shares every character trigram with it,
+    so each query probes the titles only through its *rarest* trigram (an
+    equi-join on the trigram), and candidates are verified. Queries shorter than
+    a trigram can only match titles of length <= len(q)*(2-threshold)/threshold,
+    found by an equi-join on the (tiny) length band.
     """
     t = titles.select("title").where(F.col("title").isNotNull()).distinct()
     r = requests.select("query_id", "query").where(F.col("query").isNotNull())
@@ -69,17 +83,25 @@ def match_titles(requests: DataFrame, titles: DataFrame, threshold: float = DEFA
     if small:
         return (t.join(rb, match_ratio_expr(F.col("title"), F.col("query"), threshold))
                  .select("query_id", "query", "title"))
-    lq = F.length(F.lower(F.col("query")))
-    if threshold > 0:
-        hi = F.least(F.floor(lq * F.lit((2.0 - threshold) / threshold) + F.lit(1e-9)).cast("int"),
-                     _max_title_len(t))
-    else:
-        hi = _max_title_len(t)
-    band = r.withColumn("tlen", F.explode(F.sequence(lq, F.greatest(lq, hi))))
-    tl = t.withColumn("tlen", F.length(F.lower("title")))
-    return (band.join(tl, "tlen")
-                .where(match_ratio_expr(F.col("title"), F.col("query"), threshold))
-                .select("query_id", "query", "title"))
+    spark = requests.sparkSession
+    lt = t.withColumn("_lt", F.lower("title"))
+    tg = materialize(lt.select("title", F.explode(_qgrams(F.col("_lt"))).alias("g")), spark, "title-qgrams")
+    freq = tg.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    lq = F.length(F.lower("query"))
+    longq = r.where(lq >= Q).withColumn("g", F.explode(_qgrams(F.lower("query"))))
+    rarest = (longq.join(freq, "g")          # a trigram no title has -> no match, row dropped
+                   .groupBy("query_id", "query").agg(F.min_by("g", F.struct("f", "g")).alias("g")))
+    via_gram = (rarest.join(tg, "g")
+                      .where(match_ratio_expr(F.col("title"), F.col("query"), threshold))
+                      .select("query_id", "query", "title"))
+    hi = (F.floor(lq * F.lit((2.0 - threshold) / threshold) + F.lit(1e-9)).cast("int") if threshold > 0
+          else _max_title_len(t))
+    band = (r.where(lq < Q)
+             .withColumn("tlen", F.explode(F.sequence(lq, F.greatest(lq, F.least(hi, _max_title_len(t)))))))
+    via_len = (band.join(lt.withColumn("tlen", F.length("_lt")), "tlen")
+                   .where(match_ratio_expr(F.col("title"), F.col("query"), threshold))
+                   .select("query_id", "query", "title"))
+    return via_gram.unionByName(via_len)
 
 
 def match_jobs(requests: DataFrame, jobs: DataFrame, threshold: float = DEFAULT_THRESHOLD,
@@ -96,21 +118,31 @@ def match_jobs(requests: DataFrame, jobs: DataFrame, threshold: float = DEFAULT_
 
 
 def similar_titles(requests: DataFrame, titles: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                   broadcast_rows: int = 100_000) -> DataFrame:
+                   broadcast_rows: int = 1_000) -> DataFrame:
     """``(query_id, query, title, ratio)`` with stdlib similarity ratio >= threshold.
 
     The ratio is not symmetric; the query is the first argument. Pairs are
     pre-filtered by the exact upper bound 2*min(la, lb)/(la + lb) >= threshold
-    on distinct lower-cased titles; only survivors reach the pandas UDF.
+    on distinct lower-cased titles; only survivors reach the pandas UDF. A
+    checked-small request set is broadcast; a large one is joined on title
+    length, exploded over the band of lengths the bound allows
+    (la*t/(2-t) <= lb <= la*(2-t)/t), so no all-pairs comparison happens.
     """
     t = (titles.select("title").where(F.col("title").isNotNull()).distinct()
                .withColumn("_lt", F.lower("title")))
     r = (requests.select("query_id", "query").where(F.col("query").isNotNull())
                  .withColumn("_lq", F.lower("query")))
-    rb, _ = checked_broadcast(r, broadcast_rows)
     la, lb = F.length("_lq"), F.length("_lt")
     bound = F.when(la + lb == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.least(la, lb) / (la + lb))
-    cand = t.join(rb, bound >= F.lit(threshold))
+    rb, small = checked_broadcast(r, broadcast_rows)
+    if small or threshold <= 0:
+        cand = t.join(rb, bound >= F.lit(threshold))
+    else:
+        lo = F.greatest(F.lit(0), F.ceil(la * F.lit(threshold / (2.0 - threshold)) - F.lit(1e-9)).cast("int"))
+        hi = F.floor(la * F.lit((2.0 - threshold) / threshold) + F.lit(1e-9)).cast("int")
+        band = r.withColumn("_len", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+        cand = (band.join(t.withColumn("_len", lb), "_len")
+                    .where(bound >= F.lit(threshold)))
     return (cand.withColumn("ratio", similarity_ratio(F.col("_lq"), F.col("_lt")))
                 .where(F.col("ratio") >= F.lit(threshold))
                 .select("query_id", "query", "title", "ratio"))

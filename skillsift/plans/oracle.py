@@ -107,6 +107,9 @@ SQL: dict[str, str] = {}
 SQL["recommend_unigram"] = recommend_sql("req AS (SELECT 1::BIGINT AS query_id, 'red plate' AS query)", (1,), 10)
 SQL["recommend_bigram"] = recommend_sql("req AS (SELECT 1::BIGINT AS query_id, 'red plate' AS query)", (2,), 10)
 SQL["recommend_batch"] = recommend_sql(TITLE_REQUESTS, (1, 2), 5)
+SQL["recommend_display"] = f"""SELECT query_id, n, skills_query, rank AS "Rank", title AS "Course Title",
+       referenceNumber AS "Course Reference Number", combined_features AS "Course Skills"
+FROM ({recommend_sql("req AS (SELECT 1::BIGINT AS query_id, 'red plate' AS query)", (1, 2), 5)})"""
 
 SQL["tokens"] = f"""SELECT doc_id, pos, term FROM (
   SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos

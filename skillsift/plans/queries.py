@@ -18,7 +18,7 @@ from ..functions.text import clean_html, ngrams, tokens
 from ..operators import delta as dl
 from ..operators import index as ix
 from ..operators import shape as sh
-from ..operators.recommend import recommend
+from ..operators.recommend import present, recommend
 from ..operators.skills import extract_skills
 from ..operators.titles import keyword_filter, match_jobs, similar_titles
 from ..session import scratch_path
@@ -66,6 +66,13 @@ def q_recommend_batch(spark, sf_dir):
     return _recommend(spark, sf_dir, fx.title_requests(spark, sf_dir), (1, 2), 5)
 
 
+@query("recommend_display")
+def q_recommend_display(spark, sf_dir):
+    """M4 + P14 + P15: the displayed tables for 'red plate' (both n), score hidden."""
+    recs = _recommend(spark, sf_dir, fx.single_request(spark, "red plate"), (1, 2), 5)
+    return present(recs, show_score=False)
+
+
 @query("top_terms")
 def q_top_terms(spark, sf_dir):
     """T1 + X12 per title: ten most frequent unigrams over the matched postings."""

@@ -24,12 +24,15 @@ def test_match_cases(spark):
     assert got == [(1, 0), (2, 0), (5, 2)]
 
 
-def test_match_band_path_equals_broadcast_path(spark):
-    titles = spark.createDataFrame([("red plate",), ("cold rod",), ("a red plate",), ("plate",)], "title string")
-    req = spark.createDataFrame([(1, "red plat"), (2, "old rod"), (3, "plate")], "query_id long, query string")
-    small = rows(match_titles(req, titles, 0.8), "query_id", "title")
-    band = rows(match_titles(req, titles, 0.8, broadcast_rows=0), "query_id", "title")
-    assert small == band and small
+def test_match_qgram_path_equals_broadcast_path(spark):
+    names = ["red plate", "cold rod", "a red plate", "plate", "ab", "AB", "abc", "zz top", ""]
+    titles = spark.createDataFrame([(n,) for n in names], "title string")
+    qs = ["red plat", "old rod", "plate", "ab", "b", "", "xyz", "RED PLATE"]
+    req = spark.createDataFrame(list(enumerate(qs)), "query_id long, query string")
+    for th in (0.9, 0.6, 0.0):
+        small = rows(match_titles(req, titles, th), "query_id", "title")
+        big = rows(match_titles(req, titles, th, broadcast_rows=0), "query_id", "title")
+        assert small == big and small, th
 
 
 def test_keyword_filter(spark):
@@ -52,6 +55,7 @@ def test_similar_titles_against_difflib(spark):
     got = rows(similar_titles(req, titles, 0.7), "query", "title")
     want = sorted((q, t) for q in names for t in names if SequenceMatcher(None, q, t).ratio() >= 0.7)
     assert got == want
+    assert rows(similar_titles(req, titles, 0.7, broadcast_rows=0), "query", "title") == want
 
 
 @settings(max_examples=60, deadline=None)
