@@ -98,6 +98,25 @@ def fit_vocabulary(tf: DataFrame, n_docs: Column) -> DataFrame:
               .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
 
 
+def split_hot_join(big: DataFrame, dim: DataFrame, key: str, freq_col: str, cols: list[str],
+                   max_rows: int) -> DataFrame:
+    """Inner join ``big`` with ``dim`` on ``key`` where ``dim[freq_col]`` counts
+    the rows of ``big`` per key, without a skewed shuffle partition.
+
+    Keys with ``freq >= D`` (D = rows of big / max_rows) are few -- at most
+    ``max_rows`` of them, since their frequencies sum to at most the rows of
+    ``big`` -- so they are broadcast and their rows joined in place. The other
+    keys go through an ordinary shuffle join in which no key has more than D
+    rows. Exact: each row of ``big`` meets exactly one branch.
+    """
+    total = dim.agg(F.sum(freq_col)).first()[0] or 0
+    d = max(1, -(-total // max_rows))
+    hot = dim.where(F.col(freq_col) >= d).select(key, *cols)
+    cold = dim.where(F.col(freq_col) < d).select(key, *cols)
+    hot_b, _ = checked_broadcast(hot, max_rows)
+    return big.join(hot_b, key).unionByName(big.join(cold, key))
+
+
 def fit_course_index(courses: DataFrame, id_col: str, text_col: str,
                      ngram_range: tuple[int, int] = (1, 1), persist: bool = True,
                      vocab_broadcast_rows: int | None = 2_000_000) -> CourseIndex:
@@ -115,14 +134,16 @@ def fit_course_index(courses: DataFrame, id_col: str, text_col: str,
     vocab = fit_vocabulary(tf, n_docs)
     if persist:
         vocab = materialize(vocab, spark, "course-vocab")
-    # Weight join on term: the vocabulary is broadcast only when its row count
-    # (read from the written files) is under the bound; otherwise both sides
-    # shuffle on term and AQE splits the partitions of hot terms.
+    # Weight join on term. A vocabulary under the bound (row count read from
+    # the written files) is broadcast; a larger one is split by frequency
+    # (split_hot_join), so no shuffle partition holds a stopword's postings.
     if vocab_broadcast_rows is not None and persist:
-        v, _ = checked_broadcast(vocab.select("term", "idf"), vocab_broadcast_rows)
+        v, small = checked_broadcast(vocab.select("term", "idf"), vocab_broadcast_rows)
+        w = (tf.join(v, "term") if small
+             else split_hot_join(tf, vocab, "term", "df", ["idf"], vocab_broadcast_rows))
     else:
-        v = vocab.select("term", "idf")
-    w = tf.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        w = tf.join(vocab.select("term", "idf"), "term")
+    w = w.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     postings = w.select(F.col("doc_id").alias("course_id"), "term", "tf",
                         (F.col("w") / norm).alias("weight"))

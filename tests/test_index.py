@@ -87,3 +87,13 @@ def test_recommend_end_to_end(spark):
     assert [r[3] for r in uni] == [1, 2]
     bi = [r for r in got if r[1] == 2]
     assert bi[0][2] == "data python, python data"
+
+
+def test_hot_cold_split_join_equals_plain_join(spark):
+    c = courses(spark)
+    a = ix.fit_course_index(c, "cid", "text")
+    b = ix.fit_course_index(c, "cid", "text", vocab_broadcast_rows=3)
+    key = lambda r: (r["course_id"], r["term"])
+    pa = {key(r): r["weight"] for r in a.postings.collect()}
+    pb = {key(r): r["weight"] for r in b.postings.collect()}
+    assert pa.keys() == pb.keys() and all(math.isclose(pa[k], pb[k]) for k in pa)
