@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ def build_session(master: str | None = None, app: str = "skillsift",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -63,6 +65,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``skillsift`` importable in executor Python workers (needed by the one pandas UDF).
+
+    Zips the package once per SparkContext and registers it with ``addPyFile``,
+    exactly what ``--py-files`` does at submit time. The zip goes under the
+    checkpoint folder when that is a local path, else into a driver-side temp file
+    that Spark distributes itself.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else (base if "://" not in base else None)
+    folder = os.path.join(local, "skillsift-py") if local else tempfile.mkdtemp(prefix="skillsift-py-")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"skillsift-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -106,8 +138,10 @@ def balance(df: DataFrame, key: str | None = None, min_partitions: int | None =
     file list comes from the driver-side listing; no job runs.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= want:
+    # Same count as shuffles use, so later joins/aggregations on ``key`` can
+    # reuse this partitioning instead of shuffling again.
+    want = min_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
 
