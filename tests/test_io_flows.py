@@ -81,6 +81,20 @@ def test_jobs_flow_twice_appends_nothing(spark):
     assert g >= 0
 
 
+def test_jobs_flow_restart_after_silver_append(spark):
+    """A run that stopped after writing silver (gold untouched) is re-run: silver gets no duplicates."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS flows2")
+    pages, details = land.land_job_pages(spark, SF0001), land.land_job_details(spark, SF0001)
+    skills = fx.skill_dictionary(spark, SF0001)
+    bronze = os.path.join(spark.conf.get("spark.checkpoint.dir"), "bronze-test-restart")
+    etl.run_jobs(spark, pages, details, bronze, skills, "flows2.js", "flows2.jg", as_of="2024-01-15")
+    spark.sql("DROP TABLE flows2.jg")  # as if the gold append never happened
+    r = etl.run_jobs(spark, pages, details, bronze, skills, "flows2.js", "flows2.jg", as_of="2024-01-15")
+    assert r.delta_rows == 200
+    assert spark.read.table("flows2.js").count() == 200
+    assert spark.read.table("flows2.jg").count() == 200
+
+
 def test_courses_flow_twice(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS flows")
     pages = land.land_course_pages(spark, SF0001)
