@@ -359,8 +359,9 @@ def q_bronze_roundtrip(spark, sf_dir):
     """K1 + P8 + S9: events written by load date, one date read back (partition pruning)."""
     e = fx.table(spark, sf_dir, "events")
     path = scratch_path(spark, "bronze-events")
-    write_bronze(sh.with_load_date(e, dt.load_date_text("ts")), path)
-    write_bronze(sh.with_load_date(e, dt.load_date_text("ts")), path)  # re-run replaces, never doubles
+    # A month of dates in one batch (a backfill): clustered by date and a salt, 4 files per date.
+    write_bronze(sh.with_load_date(e, dt.load_date_text("ts")), path, files_per_date=4)
+    write_bronze(sh.with_load_date(e, dt.load_date_text("ts")), path, files_per_date=4)  # re-run replaces
     b = src.read_bronze(spark, path, "20240115")
     return b.select("event_id", "user_id", "event_type", "value", F.col("load_date").cast("string"))
 

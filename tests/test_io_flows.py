@@ -48,10 +48,19 @@ def test_missing_pages(spark):
     assert rows(src.missing_pages(totals, landed, ["source"])) == [("s", 1)]
 
 
+def test_missing_pages_spans_chunks(spark):
+    n_pages = 2 * src.PAGE_CHUNK + 7
+    totals = spark.createDataFrame([("big", n_pages * 100 - 50)], "source string, reported_total long")
+    landed = spark.createDataFrame([("big", p) for p in range(0, n_pages, 2)], "source string, page long")
+    miss = src.missing_pages(totals, landed, ["source"])
+    assert miss.count() == n_pages // 2
+    assert miss.agg({"page": "max"}).first()[0] == n_pages - 2
+
+
 def test_bronze_idempotent_and_partition_pruning(spark, tmp):
     df = spark.createDataFrame([(1, "20240101"), (2, "20240102")], "id int, load_date string")
     write_bronze(df, tmp)
-    write_bronze(df, tmp)
+    write_bronze(df, tmp, files_per_date=2)
     write_bronze(spark.createDataFrame([(3, "20240103")], "id int, load_date string"), tmp)
     assert spark.read.parquet(tmp).count() == 3
     one = src.read_bronze(spark, tmp, "20240102")
