@@ -72,12 +72,13 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``skillsift`` importable in executor Python workers (needed by the one pandas UDF).
 
     Zips the package once per SparkContext and registers it with ``addPyFile``,
-    exactly what ``--py-files`` does at submit time. The zip goes under the
-    checkpoint folder when that is a local path, else into a driver-side temp file
-    that Spark distributes itself.
+    exactly what ``--py-files`` does at submit time (set SKILLSIFT_NO_SHIP=1 when the
+    package is shipped that way). The zip goes under the checkpoint folder when
+    that is a local path, else into a driver-side temp file that Spark
+    distributes itself.
     """
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or os.environ.get("SKILLSIFT_NO_SHIP"):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     base = ensure_checkpoint_dir(spark)
@@ -138,9 +139,7 @@ def balance(df: DataFrame, key: str | None = None, min_partitions: int | None =
     file list comes from the driver-side listing; no job runs.
     """
     spark = df.sparkSession
-    # Same count as shuffles use, so later joins/aggregations on ``key`` can
-    # reuse this partitioning instead of shuffling again.
-    want = min_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = min_partitions or spark.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
