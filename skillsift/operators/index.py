@@ -167,21 +167,53 @@ def vectorize(queries: DataFrame, key_cols: list[str], text_col: str, index: Cou
     return w.select(*k, "term", (F.col("w") / norm).alias("qweight"))
 
 
+def salted_term_join(qvec: DataFrame, postings: DataFrame, vocab: DataFrame, max_rows: int,
+                     target_rows: int = 1_000_000) -> DataFrame:
+    """Shuffle join of query terms with postings on ``term`` without hot partitions.
+
+    Terms with ``df >= D`` (D = max(target_rows, #postings / max_rows)) are at
+    most ``max_rows`` -- their ``(term, salts)`` table is broadcast behind that
+    proof. Their postings are spread over ``ceil(df / D)`` salts by course
+    hash and each query row of such a term is repeated once per salt; all
+    other terms join on salt 0. Exact: every (query term, posting) pair meets
+    in exactly one salt. The repetition is bounded by the join's own output.
+    """
+    total = vocab.agg(F.sum("df")).first()[0] or 0
+    d = max(int(target_rows), -(-total // max(max_rows, 1)), 1)
+    hot = vocab.where(F.col("df") >= d).select("term", F.ceil(F.col("df") / F.lit(d)).cast("int").alias("_s"))
+    hot_b, _ = checked_broadcast(hot, max_rows)
+    p = (postings.join(hot_b, "term", "left")
+                 .withColumn("_salt", F.when(F.col("_s").isNull(), F.lit(0))
+                             .otherwise(F.pmod(F.xxhash64("course_id"), F.col("_s")).cast("int")))
+                 .drop("_s"))
+    q = (qvec.join(hot_b, "term", "left")
+             .withColumn("_salt", F.explode(F.when(F.col("_s").isNull(), F.array(F.lit(0)))
+                                            .otherwise(F.sequence(F.lit(0), F.col("_s") - 1))))
+             .drop("_s"))
+    return q.join(p, ["term", "_salt"]).drop("_salt")
+
+
 def score_courses(qvec: DataFrame, key_cols: list[str], index: CourseIndex,
-                  broadcast_rows: int | None = 2_000_000, known_rows: int | None = None) -> DataFrame:
+                  broadcast_rows: int | None = 2_000_000, known_rows: int | None = None,
+                  salt_target_rows: int = 1_000_000) -> DataFrame:
     """M3: cosine similarity ``(*key, course_id, score)`` for every course sharing a term.
 
     The query vectors (at most a few dozen terms per query) are broadcast when
     their row count is checked, so the postings are only scanned, never
-    shuffled, for the join. Above the bound both sides shuffle on term with
-    AQE skew splitting. The sum per (query, course) is partially aggregated.
+    shuffled, for the join. Above the bound the join shuffles on (term, salt)
+    with frequent terms salted (``salted_term_join``). The sum per
+    (query, course) is partially aggregated.
     """
     k = list(key_cols)
+    post = index.postings.select("term", "course_id", "weight")
     if broadcast_rows is not None:
-        qvec, _ = checked_broadcast(qvec, broadcast_rows, known_rows)
-    return (qvec.join(index.postings.select("term", "course_id", "weight"), "term")
-                .groupBy(*k, "course_id")
-                .agg(F.sum(F.col("qweight") * F.col("weight")).alias("score")))
+        qb, small = checked_broadcast(qvec, broadcast_rows, known_rows)
+        joined = (qb.join(post, "term") if small
+                  else salted_term_join(qvec, post, index.vocab, broadcast_rows, salt_target_rows))
+    else:
+        joined = qvec.join(post, "term")
+    return (joined.groupBy(*k, "course_id")
+                  .agg(F.sum(F.col("qweight") * F.col("weight")).alias("score")))
 
 
 def top_courses(scores: DataFrame, key_cols: list[str], keys: DataFrame, courses: DataFrame,

@@ -97,3 +97,20 @@ def test_hot_cold_split_join_equals_plain_join(spark):
     pa = {key(r): r["weight"] for r in a.postings.collect()}
     pb = {key(r): r["weight"] for r in b.postings.collect()}
     assert pa.keys() == pb.keys() and all(math.isclose(pa[k], pb[k]) for k in pa)
+
+
+def test_salted_scoring_equals_broadcast_scoring(spark):
+    c = courses(spark)
+    idx = ix.fit_course_index(c, "cid", "text", persist=False)
+    q = spark.createDataFrame([(1, "python data"), (2, "data engineering data"), (3, "pasta")],
+                              "query_id long, text string")
+    qv = ix.vectorize(q, ["query_id"], "text", idx)
+    a = ix.score_courses(qv, ["query_id"], idx)
+    post = idx.postings.select("term", "course_id", "weight")
+    j = ix.salted_term_join(qv, post, idx.vocab, max_rows=1000, target_rows=1)  # every term hot: df salts
+    b = j.groupBy("query_id", "course_id").agg(F.sum(F.col("qweight") * F.col("weight")).alias("score"))
+    ga = {(r["query_id"], r["course_id"]): r["score"] for r in a.collect()}
+    gb = {(r["query_id"], r["course_id"]): r["score"] for r in b.collect()}
+    assert ga.keys() == gb.keys() and all(math.isclose(ga[k], gb[k]) for k in ga)
+    c2 = ix.score_courses(qv, ["query_id"], idx, broadcast_rows=0)
+    assert {(r["query_id"], r["course_id"]) for r in c2.collect()} == ga.keys()
