@@ -9,7 +9,7 @@ from skillsift.operators.shape import flatten_jobs, flatten_struct, select_exist
 from skillsift.plans import etl
 from skillsift.plans import fixtures as fx
 from skillsift.plans import landing as land
-from skillsift.sinks.tables import ensure_table, write_bronze
+from skillsift.sinks.tables import append_new, ensure_table, write_bronze
 from skillsift.sources import landing as src
 from skillsift.streaming.ingest import ingest_job_pages
 
@@ -76,6 +76,16 @@ def test_ensure_table(spark):
     assert spark.read.table("t_ensure").count() == 0
 
 
+def test_append_new_is_idempotent(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    append_new(spark, df, "t_append", "id")
+    append_new(spark, df, "t_append", "id")
+    more = spark.createDataFrame([(2, "b"), (3, "c")], "id int, v string")
+    added = append_new(spark, more, "t_append", "id")
+    assert rows(spark.read.table("t_append")) == [(1, "a"), (2, "b"), (3, "c")]
+    assert added.count() == 2  # rows of the batch's keys now in the table
+
+
 def test_jobs_flow_twice_appends_nothing(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS flows")
     pages, details = land.land_job_pages(spark, SF0001), land.land_job_details(spark, SF0001)
