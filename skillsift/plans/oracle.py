@@ -156,9 +156,9 @@ SQL["match_title"] = f"""WITH {JOBS}
 SELECT job_id, title FROM jobs WHERE {match('title', "'red plate'", 0.9)}"""
 
 SQL["match_titles_batch"] = f"""WITH req AS (
-  SELECT min(p_partkey) AS query_id, left(p_name, length(p_name) - 1) AS query FROM part GROUP BY p_name)
+  SELECT min(p_partkey) AS query_id, string_split(p_name, ' ')[-1] AS query FROM part GROUP BY 2)
 SELECT r.query_id, r.query, p.p_partkey AS job_id, p.p_name AS title
-FROM req r JOIN part p ON {match('p.p_name', 'r.query', 0.9)}"""
+FROM req r JOIN part p ON {match('p.p_name', 'r.query', 0.7)}"""
 
 SQL["keyword_filter"] = """SELECT p_partkey AS job_id, p_name AS title FROM part
 WHERE contains(lower(p_name), lower('Plate'))"""

@@ -141,12 +141,13 @@ def q_match_title(spark, sf_dir):
 
 @query("match_titles_batch")
 def q_match_titles_batch(spark, sf_dir):
-    """Near-miss queries (each title without its final letter) against all postings."""
+    """Every distinct noun of the titles (last word) as a query against all postings,
+    threshold 0.7: a noun matches titles with a short adjective only."""
     part = fx.table(spark, sf_dir, "part")
-    req = (part.groupBy("p_name").agg(F.min("p_partkey").alias("query_id"))
-               .select("query_id", F.expr("substring(p_name, 1, length(p_name) - 1)").alias("query")))
+    req = (part.groupBy(F.element_at(F.split("p_name", " "), -1).alias("query"))
+               .agg(F.min("p_partkey").alias("query_id")).select("query_id", "query"))
     jobs = part.select(F.col("p_partkey").alias("job_id"), F.col("p_name").alias("title"))
-    return match_jobs(req, jobs).select("query_id", "query", "job_id", "title")
+    return match_jobs(req, jobs, 0.7).select("query_id", "query", "job_id", "title")
 
 
 @query("keyword_filter")
