@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_html
+from ..session import checked_broadcast
 
 
 def drop_null_keys(df: DataFrame, keys: str | list[str]) -> DataFrame:
@@ -44,15 +45,29 @@ def dedupe(df: DataFrame, key: str | list[str], order_by: list[Column] | None =
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def delta_rows(batch: DataFrame, base: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
+def delta_rows(batch: DataFrame, base: DataFrame, left_key: str, right_key: str | None = None,
+               batch_broadcast_rows: int | None = None) -> DataFrame:
     """Rows of ``batch`` whose key does not occur in ``base``.
 
     Only the key column of ``base`` is read (column pruning reaches the scan).
     NULL keys never match, so they stay unless filtered before (F1).
+
+    With ``batch_broadcast_rows``, a batch whose distinct keys are proven to be
+    at most that many (the usual daily delta against a large gold table) is
+    handled without shuffling ``base``: the batch keys are broadcast and
+    ``base``'s key column is semi-joined against them in place; the batch is
+    then anti-joined with that small set of known keys.
     """
     rk = right_key or left_key
-    b = base.select(F.col(rk).alias("_bk")).where(F.col("_bk").isNotNull()).distinct()
-    return batch.join(b, F.col(left_key) == F.col("_bk"), "left_anti")
+    b = base.select(F.col(rk).alias("_bk")).where(F.col("_bk").isNotNull())
+    if batch_broadcast_rows is not None:
+        keys = batch.select(F.col(left_key).alias("_bk")).where(F.col("_bk").isNotNull()).distinct()
+        kb, small = checked_broadcast(keys, batch_broadcast_rows)
+        if small:
+            known = b.join(kb, "_bk", "left_semi").distinct()
+            kn, _ = checked_broadcast(known, batch_broadcast_rows, batch_broadcast_rows)
+            return batch.join(kn, F.col(left_key) == F.col("_bk"), "left_anti")
+    return batch.join(b.distinct(), F.col(left_key) == F.col("_bk"), "left_anti")
 
 
 def has_rows(df: DataFrame) -> bool:

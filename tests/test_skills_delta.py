@@ -46,7 +46,9 @@ def test_delta_rows_cases(spark):
     batch = spark.createDataFrame([(1,), (2,), (None,)], "id long")
     base = spark.createDataFrame([(1,), (None,)], "key long")
     assert rows(dl.delta_rows(batch, base, "id", "key")) == [(None,), (2,)]  # NULL keys never match
+    assert rows(dl.delta_rows(batch, base, "id", "key", batch_broadcast_rows=10)) == [(None,), (2,)]
     all_known = spark.createDataFrame([(1,), (2,)], "id long")
+    assert dl.delta_rows(all_known, all_known, "id", batch_broadcast_rows=10).count() == 0
     assert dl.delta_rows(all_known, all_known, "id").count() == 0
     empty = spark.createDataFrame([], "id long")
     assert dl.delta_rows(all_known, empty, "id").count() == 2
