@@ -113,8 +113,13 @@ def match_jobs(requests: DataFrame, jobs: DataFrame, threshold: float = DEFAULT_
     checked, else a shuffle join where AQE splits a hot title.
     """
     m = materialize(match_titles(requests, jobs, threshold), jobs.sparkSession, "title-matches")
-    mb, _ = checked_broadcast(m, broadcast_rows)
-    return jobs.join(mb, "title")
+    mb, small = checked_broadcast(m, broadcast_rows)
+    if not small:
+        return jobs.join(mb, "title")
+    # Semi-join first: Catalyst pushes it below joins inside ``jobs`` (e.g. a
+    # postings-with-text view), so only matched postings carry their text on.
+    titles = F.broadcast(m.select("title").distinct())
+    return jobs.join(titles, "title", "left_semi").join(mb, "title")
 
 
 def similar_titles(requests: DataFrame, titles: DataFrame, threshold: float = DEFAULT_THRESHOLD,
