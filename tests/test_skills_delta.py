@@ -60,3 +60,34 @@ def test_batch_metrics(spark):
     base = spark.createDataFrame([(1,)], "k long")
     r = dl.batch_metrics(batch, base, "k").first()
     assert (r["rows_in"], r["unique_keys"], r["null_keys"], r["delta_keys"]) == (5, 3, 1, 2)
+
+
+def test_extract_skills_against_brute_force(spark):
+    """M1 on sf0.001 documents vs a direct Python evaluation of the definition."""
+    import re
+
+    from skillsift.plans import fixtures as fx
+
+    from .conftest import SF0001
+
+    pat = re.compile(r"(?u)\b\w\w+\b")
+    dic = [r["phrase"] for r in fx.skill_dictionary(spark, SF0001).collect()]
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF0001}/documents.parquet").collect()}
+    want = {}
+    for d, text in docs.items():
+        t = pat.findall(text.lower())
+        grams = {" ".join(t[i:i + n]) for n in (1, 2) for i in range(len(t) - n + 1)}
+        present = set(t)
+        hits = set()
+        for ph in dic:
+            pt = pat.findall(ph.lower())
+            if not pt:
+                continue
+            if " ".join(pt) in grams:
+                hits.add(ph)
+            elif len(pt) >= 2 and sum(x in present for x in set(pt)) / len(set(pt)) >= 0.75:
+                hits.add(ph)
+        want[d] = ", ".join(sorted(hits))
+    got = dict(rows(extract_skills(spark.read.parquet(f"{SF0001}/documents.parquet"), "doc_id", "text",
+                                   fx.skill_dictionary(spark, SF0001))))
+    assert got == want
