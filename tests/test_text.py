@@ -100,3 +100,19 @@ def test_ngrams(spark):
 
 def test_html_unescape_sanity():
     assert html.unescape("&amp;") == "&"
+
+
+def test_clean_html_random_fragments_match_stdlib(spark):
+    """400 fragments from a small HTML grammar (the supported subset: no '<' + letter in text,
+    no unknown named entities, no numeric references) agree with the stdlib stand-in."""
+    import random
+
+    rnd = random.Random(7)
+    pieces = ["ab", "Z9", " ", "  ", "   ", "\n", "\n\n", "\t", "é", "ü", ".", ",", "!", "&amp;", "&nbsp;",
+              "&copy;", "&quot;", "& ", "<p>", "</p>", '<div class="x">', "</div>", "<br/>", "<b>", "</b>",
+              "<!-- c > d -->", '<script>var t="</p>";</script>', "<style>p{}</style>", " ", "R&D "]
+    frags = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(frags)), "i int, h string")
+    got = {r["i"]: r["c"] for r in df.select("i", clean_html("h").alias("c")).collect()}
+    for i, h in enumerate(frags):
+        assert got[i] == py_clean(h), repr(h)
