@@ -119,11 +119,12 @@ def split_hot_join(big: DataFrame, dim: DataFrame, key: str, freq_col: str, cols
 
 def fit_course_index(courses: DataFrame, id_col: str, text_col: str,
                      ngram_range: tuple[int, int] = (1, 1), persist: bool = True,
-                     vocab_broadcast_rows: int | None = 2_000_000) -> CourseIndex:
+                     vocab_broadcast_rows: int | None = 2_000_000, out_root: str | None = None) -> CourseIndex:
     """M2: fit the TF-IDF index over ``courses``.
 
     With ``persist`` the postings and vocabulary are written once to the shared
-    checkpoint folder and read back, so scoring never re-tokenises the corpus
+    checkpoint folder (or to ``out_root``/postings and ``out_root``/vocab, the
+    serving layout) and read back, so scoring never re-tokenises the corpus
     and a lost executor re-reads files instead of recomputing the fit.
     """
     spark = courses.sparkSession
@@ -133,7 +134,7 @@ def fit_course_index(courses: DataFrame, id_col: str, text_col: str,
     n_docs = courses.select(F.count(F.lit(1))).scalar()
     vocab = fit_vocabulary(tf, n_docs)
     if persist:
-        vocab = materialize(vocab, spark, "course-vocab")
+        vocab = materialize(vocab, spark, "course-vocab", f"{out_root.rstrip('/')}/vocab" if out_root else None)
     # Weight join on term. A vocabulary under the bound (row count read from
     # the written files) is broadcast; a larger one is split by frequency
     # (split_hot_join), so no shuffle partition holds a stopword's postings.
@@ -148,7 +149,8 @@ def fit_course_index(courses: DataFrame, id_col: str, text_col: str,
     postings = w.select(F.col("doc_id").alias("course_id"), "term", "tf",
                         (F.col("w") / norm).alias("weight"))
     if persist:
-        postings = materialize(postings, spark, "course-postings")
+        postings = materialize(postings, spark, "course-postings",
+                               f"{out_root.rstrip('/')}/postings" if out_root else None)
     return CourseIndex(postings=postings, vocab=vocab, ngram_range=ngram_range)
 
 

@@ -102,14 +102,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/skillsift/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, spark: SparkSession | None = None, name: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder as Parquet and read it back.
+def materialize(df: DataFrame, spark: SparkSession | None = None, name: str = "stage",
+                path: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder (or to ``path``) as Parquet and read it back.
 
     Cuts lineage (a lost executor re-reads files instead of recomputing the
     upstream plan) and lets later stages see exact file statistics.
     """
     spark = spark or df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
