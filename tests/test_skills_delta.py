@@ -91,3 +91,15 @@ def test_extract_skills_against_brute_force(spark):
     got = dict(rows(extract_skills(spark.read.parquet(f"{SF0001}/documents.parquet"), "doc_id", "text",
                                    fx.skill_dictionary(spark, SF0001))))
     assert got == want
+
+
+def test_extract_skills_full_only_and_long_phrases(spark):
+    skills = spark.createDataFrame([(1, "deep machine learning"), (2, "machine learning"), (3, "Deep-Learning"),
+                                    (4, "a")], "skill_id long, phrase string")
+    docs = spark.createDataFrame([(1, "deep machine learning rocks"), (2, "learning machine, deep"),
+                                  (3, "deep learning!")], "doc_id long, text string")
+    full = dict(rows(extract_skills(docs, "doc_id", "text", skills, theta=None)))
+    assert full == {1: "deep machine learning, machine learning", 2: "", 3: "Deep-Learning"}
+    part = dict(rows(extract_skills(docs, "doc_id", "text", skills)))
+    # all tokens present but not in order -> partial matches (theta 0.75)
+    assert part[2] == "Deep-Learning, deep machine learning, machine learning"
