@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import similarity_ratio
 from ..session import checked_broadcast, materialize
 
+# Fixed value: a posting counts as the searched job at similarity >= 0.9.
 DEFAULT_THRESHOLD = 0.9
 
 
