@@ -1,0 +1 @@
+"""Writers: bronze Parquet, idempotent catalog appends, serving snapshots, feedback."""

@@ -1,0 +1 @@
+"""Incremental ingest with Structured Streaming file sources (availableNow)."""
