@@ -88,38 +88,56 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)}
 
 
+class Pieces(dict):
+    """Piece -> ids; a missing piece is encoded by the BPE model and, if at most ``max_len`` long, kept."""
+
+    def __init__(self, model, max_len: int) -> None:
+        super().__init__()
+        self.model, self.max_len, self.letters = model, max_len, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode("utf-8")))
+        out = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(piece) <= self.max_len:
+            self[piece] = out
+        return out
+
+
+class Words(dict):
+    """Word of a plain text -> ids of its pieces; kept if at most ``max_len`` long."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        out = b"".join(map(self.pieces.__getitem__, PIECES.findall(word)))
+        if len(word) <= self.pieces.max_len:
+            self[word] = out
+        return out
+
+
 class WordEncoder:
     """Whole-text encoding with the tokenizers library, one library call per distinct piece.
 
     A plain text (``PLAIN_TEXT``, no special token) is split by the tokenizer's own pattern and each
-    distinct piece goes once to the library's BPE model. Any other text is cut at ASCII white space, which
+    distinct piece goes once to the library's BPE model (a second cache keeps whole words). Any other text is cut at ASCII white space, which
     the pattern never crosses and which belongs to no combining sequence; its plain words go the same way
     and its other words through the library's whole pipeline. The ids are those of encoding the whole
-    text (tested). Pieces seen before come from a cache emptied when it holds ``max_pieces``; pieces longer
-    than ``max_len`` characters are never kept, so memory is bounded.
+    text (tested). The caches are emptied when they hold ``max_pieces`` and keep nothing longer than
+    ``max_len`` characters, so memory is bounded.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000, max_len: int = 64) -> None:
+    def __init__(self, path: str, max_pieces: int = 800_000, max_len: int = 64) -> None:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
-        self.max_pieces, self.max_len = max_pieces, max_len
-        self.cache: dict[str, bytes] = {}
-        self.letters = byte_letters()
+        self.max_pieces = max_pieces
+        self.pieces = Pieces(self.tok.model, max_len)
+        self.cache = Words(self.pieces)
         self.end = np.array([END_ID], "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode("utf-8")))
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
     def _plain(self, text: str) -> bytes:
-        pieces = PIECES.findall(text.lower())
-        cache, own = self.cache, {}
-        for p in set(pieces).difference(cache):
-            (cache if len(p) <= self.max_len else own)[p] = self._piece(p)
-        if own:
-            return b"".join(cache[p] if p in cache else own[p] for p in pieces)
-        return b"".join(map(cache.__getitem__, pieces))
+        return b"".join(map(self.cache.__getitem__, text.lower().split()))
 
     def _other(self, text: str) -> bytes:
         out: list[bytes | None] = []
@@ -138,8 +156,9 @@ class WordEncoder:
         """Per text: its ids, then the end id, as little-endian unsigned 32-bit integers."""
         out = []
         for v in views:
-            if len(self.cache) > self.max_pieces:
-                self.cache = {}
+            for held in (self.cache, self.pieces):
+                if len(held) > self.max_pieces:
+                    held.clear()
             text = str(v, "utf-8")
             plain = "<|" not in text and PLAIN_TEXT.fullmatch(text)
             out.append((self._plain(text) if plain else self._other(text)) + self.end)
