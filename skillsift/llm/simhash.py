@@ -18,8 +18,7 @@ pairs one bit further are verified between neighbouring values' representatives,
 members that name the same value are linked through the smallest of them.
 
 Components come from rounds of hooking every fingerprint to its smallest neighbour, two pointer jumps and
-contraction, until no edge is left. Each round at least halves the vertices with edges; every round is written to the shared
-folder. ``component_id`` is the smallest doc_id reachable.
+contraction, until no edge is left; every round is written to the shared folder. ``component_id`` is the smallest doc_id reachable.
 
 Cases: null text = empty text; a null doc_id is kept (its component may have an id through other documents, else
 null); equal texts always share a component; repeated rows stay repeated; an empty table gives no rows; other
@@ -72,14 +71,16 @@ def _fingerprints(shingle: int):
         for b in slices(batches, "text"):
             fp = [fingerprint(shingle_hashes(byte_words(v), shingle)) for v in value_views(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                [b.column("doc_id"), b.column("tie"), pa.array(np.array(fp, np.uint64).view(np.int64))],
+                ["doc_id", "tie", "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long of the same 64 bits."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
+    """(doc_id, tie, fp): tie is a hash of the text, fp a signed long of the fingerprint's 64 bits."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"),
+                       text_or_empty().alias("text"))
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id bigint, tie bigint, fp bigint")
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
@@ -166,29 +167,39 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, bucket: int = 64) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def _classes(docs: DataFrame, radius: int, shingle: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tie, fp), and per distinct fingerprint (fp, root, first id, first row), both written."""
     spark = docs.sparkSession
     own = materialize(fingerprints(docs, shingle), spark, "fingerprints")
-    firsts = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), spark, "distinct-fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
+    firsts = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(row).alias("row")), spark,
+                         "distinct-fingerprints")
     roots = components(links(firsts.select("fp"), radius, bucket)).toDF("fp", "root")
-    classed = materialize(firsts.join(roots, "fp", "left")
-                                .select("fp", "first", F.coalesce("root", "fp").alias("root")), spark, "classes")
+    return own, materialize(firsts.join(roots, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "first", "row"), spark, "classes")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, bucket: int = 64) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    own, classed = _classes(docs, radius, shingle, bucket)
     whole = classed.groupBy("root").agg(F.min("first").alias("component_id"))
     per_fp = classed.join(whole, "root").select("fp", "component_id")
     return own.join(per_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id.
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, bucket: int = 64) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest doc_id (then text hash).
+
+    A document without an id stays only if no document of its component has one."""
+    _, classed = _classes(docs, radius, shingle, bucket)
+    best = classed.groupBy("root").agg(F.min("row").alias("r"))
+
+    def key(c: str):
+        return F.coalesce(F.col(c).cast("long").cast("string"), F.lit("")).alias("_id")
 
-    Documents without an id are kept only if no document of their component has one, and then all of
-    them; of repeated rows with the kept id one stays (in the order of a hash of the text)."""
-    dup = near_duplicates(docs, radius, shingle)
-    keep = dup.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")),
-                     "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    with_id = kept.where("doc_id is not null").withColumn("_rn", F.row_number().over(one)).where("_rn = 1").drop("_rn")
-    return with_id.unionByName(kept.where("doc_id is null"))
+    keep = best.select("r.doc_id", F.col("r.tie").alias("_tie")).select(key("doc_id"), "_tie")
+    rows = docs.withColumn("_tie", F.xxhash64(text_or_empty())).withColumn("_id", key("doc_id"))
+    one = Window.partitionBy("_id", "_tie").orderBy("_tie")
+    return (rows.join(keep, ["_id", "_tie"], "left_semi").withColumn("_rn", F.row_number().over(one))
+                .where("_rn = 1").select(*docs.columns))

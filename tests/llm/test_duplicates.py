@@ -1,0 +1,215 @@
+"""SimHash components against all pairs; the covering property; edit embedding against its definition."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from skillsift.llm import edit_embedding as ee
+from skillsift.llm import simhash
+
+from .conftest import SF
+
+
+def brute_fp(text):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    sh = [b" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(items, radius):
+    """doc -> smallest doc reachable, by union over all pairs."""
+    up = {i: i for i in range(len(items))}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for a, b in itertools.combinations(range(len(items)), 2):
+        if (items[a][1] ^ items[b][1]).bit_count() <= radius:
+            up[find(a)] = find(b)
+    groups = {}
+    for i, (d, _) in enumerate(items):
+        groups.setdefault(find(i), []).append(d)
+    small = {r: min((d for d in g if d is not None), default=None) for r, g in groups.items()}
+    return [(d, small[find(i)]) for i, (d, _) in enumerate(items)]
+
+
+def test_near_duplicates_equal_all_pairs(spark, documents):
+    items = [(r.doc_id, brute_fp(r.text)) for r in documents.collect()]
+    want = sorted((d, f"{fp:016x}", c) for (d, fp), (_, c) in zip(items, brute_components(items, 2)))
+    assert sorted(tuple(r) for r in simhash.near_duplicates(documents).collect()) == want
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+@pytest.mark.parametrize("bucket", [1, 1000])
+def test_links_connect_what_all_pairs_connect(spark, radius, bucket):
+    """Chains and clouds of fingerprints, through the bucket join and through the exact way for large buckets."""
+    rng = random.Random(radius)
+    fps = {0, 3, (1 << 64) - 1}
+    for _ in range(4):
+        x = rng.getrandbits(64)
+        for _ in range(15):
+            fps.add(x)
+            for b in rng.sample(range(64), rng.randint(1, radius + 1)):
+                x ^= 1 << b
+    items = [(simhash.signed(x), x) for x in sorted(fps)]
+    df = spark.createDataFrame([(s,) for s, _ in items], "fp long")
+    links = [tuple(r) for r in simhash.links(df, radius, bucket).collect()]
+    assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius and a < b for a, b in links)
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, radius, bucket)).collect()}
+    assert {s: roots.get(s, s) for s, _ in items} == dict(brute_components(items, radius))
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_masks_cover(radius):
+    masks = simhash.covering_masks(radius)
+    assert len(masks) == 2 ** (radius + 1) - 1
+    rng = random.Random(0)
+    places = itertools.combinations(range(64), radius) if radius < 3 else (rng.sample(range(64), 3) for _ in range(4000))
+    for c in places:
+        bits = sum(1 << p for p in c)
+        assert any(not bits & m for m in masks)
+    assert all(20 <= m.bit_count() <= 50 for m in masks)
+
+
+def test_long_chain_of_components(spark):
+    n = 300
+    ids = list(range(n))
+    random.Random(1).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(1000, 1001), (1001, 1002)], "a long, b long")
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert {roots[i] for i in range(n)} == {0} and roots[1002] == 1000
+
+
+def test_simhash_odd_rows(spark, odd_docs, no_docs):
+    rows = [(r.doc_id, brute_fp(r.text)) for r in odd_docs.collect()]
+    got = simhash.near_duplicates(odd_docs).collect()
+    key = lambda t: str(t)
+    want = sorted(((d, f"{fp:016x}", c) for (d, fp), (_, c) in zip(rows, brute_components(rows, 2))), key=key)
+    assert sorted((tuple(r) for r in got), key=key) == want
+    assert simhash.near_duplicates(no_docs).count() == 0
+    kept = simhash.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 2, 4, 5, 7] and ids.count(None) == 1
+    assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_leaves_one_of_each(spark, documents):
+    comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents).collect()}
+    kept = [r.doc_id for r in simhash.keep_one(documents).collect()]
+    assert sorted(kept) == sorted({c for c in comp.values()}) and len(kept) < documents.count()
+
+
+# ---- edit embedding --------------------------------------------------------------------------------------
+
+def slow_embedding(text):
+    """Blocks walked one character at a time: symbols by (block, step)."""
+    sym = [int((ord(c) ^ (ord(c) >> 8)) % ee.LETTERS) for c in text]
+    out = []
+    for a in range(0, max(1, len(sym)), ee.BLOCK):
+        blk, i, row = sym[a:a + ee.BLOCK], 0, []
+        for j in range(ee.STEPS):
+            c = blk[i] if i < len(blk) else ee.PAD
+            row.append(c)
+            if c != ee.PAD:
+                i += int(ee.MOVES[j][c])
+        out.append(row + [ee.PAD] * 4)
+    return out
+
+
+def slow_fp(text):
+    emb = slow_embedding(text)
+    cells = max(1, -(-len(text) // ee.CELL))
+    cell = ee.jump_cell(np.array([cells]))[0]
+    out = []
+    for m in range(ee.SLOTS):
+        step = int(ee.SLOT_STEP[m])
+        if len(text) < ee.CELL:
+            step %= max(1, 2 * len(text))
+        j = int(cell[m] % (ee.BLOCK // ee.CELL)) * 2 * ee.CELL + step
+        x = [emb[cell[m] // (ee.BLOCK // ee.CELL)][j + 2 * k] for k in range(3)]
+        h = ee.mix64(np.array([(x[0] * 521 + x[1]) * 521 + x[2]], np.uint64) ^ ee.SLOT_SALT[m:m + 1])
+        out.append(int(h[0]) & 15)
+    return bytes(out)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(max_size=90), min_size=1, max_size=4), st.integers(1, 40))
+def test_fingerprints_equal_slow_walk(texts, times):
+    texts = texts + [texts[0] * times]
+    assert ee.fingerprints([t.encode("utf-8", "surrogatepass") if False else t.encode() for t in texts], batch=2) == \
+        [slow_fp(t) for t in texts]
+
+
+def test_edits_move_few_digits():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(400)]
+    text = " ".join(rng.choices(words, k=1500))
+    other = " ".join(rng.choices(words, k=1500))
+    at = len(text) // 3
+    edited = text[:at] + "XX" + text[at + 1:]
+    a, b, c = ee.fingerprints([text.encode(), edited.encode(), other.encode()])
+    assert ee.likeness(a, b) > 0.7 > 0.3 > ee.likeness(a, c)
+    assert ee.likeness(a, a) == 1.0
+
+
+def by_rule(rows):
+    """(doc_id, edited text, next text) in descending doc_id order, null last, equal ids by text hash (given order)."""
+    out = []
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        out.append((i, t, t[:len(t) - half] + nxt[:half], nxt))
+    return out
+
+
+def check(got, rows):
+    want = by_rule(rows)
+    assert len(got) == len(want)
+    fps = ee.fingerprints([t.encode() for w in want for t in w[1:]])
+    by = {}
+    for r in got:
+        by.setdefault((r.doc_id, r.n_chars, r.edited_sha256), []).append(r)
+    for k, (i, t, e, _) in enumerate(want):
+        r = by[i, len(t), hashlib.sha256(e.encode()).hexdigest()].pop()
+        own, new, nxt = fps[3 * k:3 * k + 3]
+        assert (r.fingerprint, r.edited_fingerprint) == (ee.spell(own), ee.spell(new))
+        assert (r.near_edited, r.near_next) == (ee.likeness(own, new), ee.likeness(own, nxt))
+
+
+@pytest.mark.parametrize("max_chars", [1, 10 ** 7])
+def test_edit_fingerprints(spark, documents, max_chars):
+    rows = sorted(((r.doc_id, r.text or "") for r in documents.collect()), key=lambda r: -r[0])
+    check(ee.edit_fingerprints(documents, max_chars).collect(), rows)
+
+
+def test_edit_fingerprints_odd_rows(spark, odd_docs, no_docs):
+    rows = odd_docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit("")))) \
+                   .orderBy(F.desc_nulls_last("doc_id"), "t").collect()
+    check(ee.edit_fingerprints(odd_docs).collect(), [(r.doc_id, r.text or "") for r in rows])
+    one = odd_docs.where("doc_id = 1")
+    check(ee.edit_fingerprints(one).collect(), [(1, "Hello World. This is it!")])
+    assert ee.edit_fingerprints(no_docs).count() == 0
+
+
+def test_near_links(spark, documents):
+    fps = ee.edit_fingerprints(documents).select("doc_id", "fingerprint")
+    rows = {r.doc_id: r.fingerprint for r in fps.collect()}
+    links = ee.near_links(fps).collect()
+    assert links
+    for r in links:
+        same = sum(x == y for x, y in zip(rows[r.a], rows[r.b])) / ee.SLOTS
+        assert r.likeness == pytest.approx(max(0.0, (same - 1 / 16) / (15 / 16))) and r.likeness >= 0.6
