@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = 12
     got = (rows.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")      # max_rows rows at most
                .mapInArrow(_extract, "doc_id bigint, label int, x binary")
                .orderBy(h, "doc_id", "x").limit(max_rows).toArrow())
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, -1)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, KINDS * KINDS + 6)
     return fit_pairs(x, got.column("label").to_numpy() == 1, **options)
 
 

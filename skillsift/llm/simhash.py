@@ -13,12 +13,12 @@ least one of the 2^(radius+1) - 1 tables.
 Links between distinct fingerprints: a bucket (table, masked value) of at most ``bucket`` members is joined with
 itself and its pairs are verified by counting differing bits. A larger bucket is resolved exactly without
 forming its pairs: two fingerprints differ in at most 2r bits exactly if some value is within r bits of both,
-so each member names all values within r = radius // 2 bits of itself (and, where the radius is odd, the
-pairs one bit further are verified between neighbouring values' representatives, see ``_by_middles``), and all
-members that name the same value are linked through the smallest of them.
+so each member names all values within r = radius // 2 bits of itself, and all members that name the same value
+are linked through the smallest of them (``_by_middles``, which also treats odd radii).
 
 Components come from rounds of hooking every fingerprint to its smallest neighbour, two pointer jumps and
-contraction, until no edge is left; every round is written to the shared folder. ``component_id`` is the smallest doc_id reachable.
+contraction, until no edge is left; every round is written to the shared folder. ``component_id`` is the
+smallest doc_id reachable.
 
 Cases: null text = empty text; a null doc_id is kept (its component may have an id through other documents, else
 null); equal texts always share a component; repeated rows stay repeated; an empty table gives no rows; other
