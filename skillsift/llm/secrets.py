@@ -59,19 +59,21 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(kind: str, text: Column) -> Column:
-    """array<struct<gap, len, ok>>: code points since the match before, of the match, and its validity."""
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.length(x))
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)),
-                        lambda m: F.struct(F.length(m).alias("len"), _valid(kind, m).alias("ok")))
-    return F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
-                      lambda g, m: F.struct(g.alias("gap"), m["len"].alias("len"), m["ok"].alias("ok")))
-
-
 def scan(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and ``parts``: per kind the match and gap lengths of ``text``; written once."""
-    found = rows.select(*keys, *[_matches(k, F.col("text")).alias(k) for k in KINDS])
-    return materialize(found, rows.sparkSession, "secret-parts")
+    """``keys`` and per kind array<struct<gap, len, ok>> of ``text``; written once.
+
+    gap: code points since the match before; len, ok: length and validity of the match. Matches and gaps are
+    columns of their own first, so that each pattern passes over a text twice and no more."""
+    text = F.col("text")
+    cut = rows.select(*keys, *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"{k}_found")
+                               for k, p in PATTERNS.items()],
+                      *[F.split(text, p, -1).alias(f"{k}_gaps") for k, p in PATTERNS.items()])
+
+    def parts(kind: str) -> Column:
+        found = F.col(f"{kind}_found")
+        return F.zip_with(F.slice(f"{kind}_gaps", F.lit(1), F.size(found)), found, lambda g, m: F.struct(
+            F.length(g).alias("gap"), F.length(m).alias("len"), _valid(kind, m).alias("ok")))
+    return materialize(cut.select(*keys, *[parts(k).alias(k) for k in KINDS]), rows.sparkSession, "secret-parts")
 
 
 def part_rows(scanned: DataFrame, keys: list[str]) -> DataFrame:
