@@ -38,8 +38,7 @@ def op3_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document in wavelet matrix shards, read back from the files."""
     from .token_files import read_shards, write_shards
-    return read_shards(write_shards(table(spark, sf_dir, "documents"), tokenizer_path())) \
-        .select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op5_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

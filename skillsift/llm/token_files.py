@@ -38,7 +38,7 @@ from .common import by_range, encoder, open_fs, shared_folder, slices, text_or_e
 MAGIC = b"WAVMAT01"
 BLOCK = 512
 MANIFEST = "part int, seq int, path string, docs bigint, ids bigint"
-READ = "doc_id bigint, part int, seq int, local_start bigint, n_tokens bigint, ids_crc32 bigint"
+READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 class WaveletMatrix:
@@ -253,19 +253,18 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc_ids, starts, wm = open_shard(f.read_buffer())
             data = memoryview(np.ascontiguousarray(wm.ids().astype("<u4"))).cast("B")
             at = (starts * 4).tolist()
-            n = len(doc_ids)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(doc_ids, pa.int64()),
-                "part": pa.array([r["part"]] * n, pa.int32()), "seq": pa.array([r["seq"]] * n, pa.int32()),
-                "local_start": pa.array(starts[:-1]), "n_tokens": pa.array(np.diff(starts)),
+                "doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts[:-1] + r["base"]),
+                "n_tokens": pa.array(np.diff(starts)),
                 "ids_crc32": pa.array([zlib.crc32(data[x:y]) for x, y in zip(at, at[1:])], pa.int64())})
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """One row per document read back from the files: doc_id, start, n_tokens, ids_crc32, path."""
+    """One row per document read back from the files: doc_id, start, n_tokens, ids_crc32.
+
+    Each file's start, the ids of all files before it, is added to the manifest (one row a file) before
+    the files are read, so the documents' rows meet no join."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("part", "seq", "path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part", "seq")
-    rows = spread.mapInArrow(_reader, READ)
-    return rows.join(base, ["part", "seq"]).select(
-        "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "path")
+    based = manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return based.repartition(parts, "part", "seq").mapInArrow(_reader, READ)
