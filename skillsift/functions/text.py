@@ -5,6 +5,7 @@ X2 ``lower``       (pyspark.sql.functions.lower)
 X3 literal replace, one left-to-right non-overlapping pass
 X4 drop all but ASCII letters, digits and (Unicode) whitespace
 X5 ``tokens``      runs of two or more word characters, lower-cased
+M1 ``phrase_tokens`` words of skill phrases and of the texts tagged with them
 X6 ``ngrams``      contiguous word n-grams inside one text
 X12 ``join_terms`` array -> text with a separator
 X13 ``or_empty``   NULL -> ""
@@ -40,14 +41,24 @@ STYLE_BODY = r"(?is)<style(\s[^>]*)?>.*?</style\s*>"
 TEMPLATE_BODY = r"(?is)<template(\s[^>]*)?>.*?</template\s*>"
 COMMENT = r"(?s)<!--.*?-->"
 TAG = r"<[a-zA-Z/!?][^>]*>"
-# Entities that decode to whitespace the cleaning keeps.
-NBSP_ENTITIES = r"&(nbsp|NonBreakingSpace);"
-# Any other character reference; they decode to punctuation or non-ASCII, which
-# X4 deletes anyway. Known gap: `&#65;` and friends decode to ASCII letters.
-OTHER_ENTITY = r"&#?[a-zA-Z0-9]+;"
-AMP_ENTITY = "&amp;"
-# Private-use character that stands for a decoded `&` while other entities go.
-AMP_SENTINEL = "\ue000"
+# A character reference right after its `&`: decimal, hexadecimal, named.
+DECIMAL_REF = r"^#([0-9]{1,7});?"
+HEX_REF = r"^#[xX]([0-9a-fA-F]{1,6});?"
+NAMED_REF = r"^([a-zA-Z][a-zA-Z0-9]*);"
+# Named references that decode to whitespace or to `&`; every other named reference decodes to
+# punctuation or a non-ASCII character, which X4 deletes anyway.
+NAMED_CHARS = {
+    "amp": "&", "AMP": "&", "Tab": "\t", "NewLine": "\n", "nbsp": "\u00a0", "NonBreakingSpace": "\u00a0",
+    "ensp": "\u2002", "emsp": "\u2003", "emsp13": "\u2004", "emsp14": "\u2005", "numsp": "\u2007",
+    "puncsp": "\u2008", "thinsp": "\u2009", "ThinSpace": "\u2009", "hairsp": "\u200a",
+    "VeryThinSpace": "\u200a", "MediumSpace": "\u205f",
+}
+# Code points a numeric reference may decode to that survive X4 or become `and`: tab, line feed, form
+# feed, carriage return, printable ASCII, and the whitespace above U+009F. Other controls are not
+# characters of HTML, U+0080-U+009F stand for Windows-1252 punctuation, the rest is deleted by X4.
+NUMERIC_WHITESPACE = (0x9, 0xA, 0xC, 0xD, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+# Words of the skill dictionary: runs of one or more word characters with any closing + or # (C, R, C++, C#).
+PHRASE_TOKEN = r"[\p{L}\p{N}_]+[+#]*"
 # ---------------------------------------------------------------------------
 
 
@@ -65,19 +76,31 @@ def strip_non_alnum(c) -> Column:
     return F.regexp_replace(_c(c), NOT_ALNUM_OR_SPACE, "")
 
 
+def _decoded(part: Column) -> Column:
+    """One piece of text that followed a `&`: its leading character reference decoded, once."""
+    number = F.coalesce(F.when(part.rlike(DECIMAL_REF), F.regexp_extract(part, DECIMAL_REF, 1).cast("bigint")),
+                        F.when(part.rlike(HEX_REF), F.conv(F.regexp_extract(part, HEX_REF, 1), 16, 10).cast("bigint")))
+    space = F.element_at(F.create_map(*[F.lit(v) for n in NUMERIC_WHITESPACE for v in (n, chr(n))]), number.cast("int"))
+    char = F.when(number.between(0x20, 0x7E), F.chr(number)).otherwise(F.coalesce(space, F.lit("")))
+    after_number = F.regexp_replace(F.regexp_replace(part, DECIMAL_REF, ""), HEX_REF, "")
+    named = F.element_at(F.create_map(*[F.lit(v) for kv in NAMED_CHARS.items() for v in kv]),
+                         F.regexp_extract(part, NAMED_REF, 1))
+    return (F.when(number.isNotNull(), F.concat(char, after_number))
+             .when(part.rlike(NAMED_REF), F.concat(F.coalesce(named, F.lit("")), F.regexp_replace(part, NAMED_REF, "")))
+             .otherwise(F.concat(F.lit("&"), part)))
+
+
 def html_text(c) -> Column:
-    """Visible text of an HTML fragment with `&` decoded to AMP_SENTINEL.
+    """Visible text of an HTML fragment, character references decoded.
 
-    Script, style and template bodies and comments are not text. `&nbsp;`
-    decodes to U+00A0; other entities are dropped (see OTHER_ENTITY).
+    Script, style and template bodies and comments are not text. Numeric references decode to ASCII and
+    whitespace characters, named ones to whitespace or `&`; all others decode to characters X4 deletes
+    and are dropped here. What a reference decodes to is not read again (`&amp;lt;` is `&lt;`).
     """
     x = _c(c)
     for pat in (SCRIPT_BODY, STYLE_BODY, TEMPLATE_BODY, COMMENT, TAG):
         x = F.regexp_replace(x, pat, "")
-    x = F.replace(x, F.lit(AMP_ENTITY), F.lit(AMP_SENTINEL))
-    x = F.regexp_replace(x, NBSP_ENTITIES, "\u00a0")
-    x = F.regexp_replace(x, OTHER_ENTITY, "")
-    return x
+    return F.array_join(F.transform(F.split(x, "&"), lambda part, i: F.when(i == 0, part).otherwise(_decoded(part))), "")
 
 
 def clean_html(c) -> Column:
@@ -87,12 +110,10 @@ def clean_html(c) -> Column:
     4. two newlines -> space; 5. newline -> space; 6. two spaces -> one space,
     a single pass (three spaces leave two); 7. lower case.
 
-    Known differences from a full HTML parser: numeric references to ASCII
-    characters (`&#65;`), `&Tab;` / `&NewLine;`, entities without `;`, a `<`
+    Known differences from a full HTML parser: named references without `;`, a `<`
     followed by a letter in plain text, `>` inside attribute values.
     """
     x = html_text(c)
-    x = F.replace(x, F.lit(AMP_SENTINEL), F.lit("and"))
     x = literal_replace(x, "&", "and")
     x = strip_non_alnum(x)
     x = literal_replace(x, "\n\n", " ")
@@ -110,6 +131,11 @@ def tokens(c) -> Column:
     return F.filter(F.split(F.lower(_c(c)), NON_WORD_RUN), lambda x: F.length(x) >= 2)
 
 
+def phrase_tokens(c) -> Column:
+    """M1: array of lower-cased dictionary words, one-letter words and closing + and # included, in text order."""
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(PHRASE_TOKEN), F.lit(0))
+
+
 def ngrams(tok, n: int) -> Column:
     """Contiguous n-grams of a token array, joined by one space.
 
@@ -127,14 +153,6 @@ def ngrams(tok, n: int) -> Column:
     return acc
 
 
-def ngrams_upto(tok, max_n: int) -> Column:
-    """All n-grams for n = 1..max_n of a token array, as one array<struct<n, gram>>."""
-    def tagged(n: int):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-    parts = [F.transform(ngrams(tok, n), tagged(n)) for n in range(1, max_n + 1)]
-    return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
-
-
 def join_terms(arr, sep: str = ", ") -> Column:
     """Join an array of strings (NULL elements skipped)."""
     return F.array_join(_c(arr), sep)

@@ -5,9 +5,10 @@ A1 ``row_count``       (DataFrame.count)
 A2 ``distinct_keys``   number of distinct non-null keys
 A3 ``dedupe``          one row per key; deterministic when an order is given
 J1/J2 ``delta_rows``   batch rows whose key is not yet in the base table
-J3 ``with_description`` attach a cleaned description by uuid
+J3 ``with_description`` attach one cleaned description by uuid
 F6 ``has_rows``        is there anything at all (stops at the first row)
 M9 ``batch_metrics``   rows in / unique keys / null keys / delta keys in one pass
+A8 ``text_bytes``      bytes per column and in total
 A9 ``reported_total``  total rows a source reports (max over its pages)
 """
 
@@ -95,12 +96,34 @@ def batch_metrics(batch: DataFrame, base: DataFrame, key: str, base_key: str | N
 
 
 def with_description(jobs: DataFrame, details: DataFrame, uuid_col: str = "job_uuid",
-                     out_col: str = "job_description") -> DataFrame:
-    """J3 + X1: left join landed ``(uuid, description html)`` and clean it natively."""
-    d = details.select(F.col("uuid").alias(uuid_col), clean_html("description").alias(out_col))
+                     out_col: str = "job_description", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """J3 + X1: left join landed ``(uuid, description html)``, one description per uuid, cleaned natively.
+
+    Only the details of ``jobs`` are cleaned: their uuids (broadcast when proven few) semi-join the
+    landed details first. Of several details of one uuid the smallest text in string order counts
+    (NULL last), so repeated landings never multiply a job.
+    """
+    wanted = jobs.select(F.col(uuid_col).alias("uuid")).where(F.col("uuid").isNotNull()).distinct()
+    wanted, _ = checked_broadcast(wanted, broadcast_rows)
+    own = details.select("uuid", "description").join(wanted, "uuid", "left_semi")
+    one = dedupe(own, "uuid", [F.asc_nulls_last("description")])
+    d = one.select(F.col("uuid").alias(uuid_col), clean_html("description").alias(out_col))
     return jobs.join(d, uuid_col, "left")
 
 
+def text_bytes(df: DataFrame) -> DataFrame:
+    """One row: bytes of every column as text (``<column>_bytes``), their ``total_bytes`` and ``rows``.
+
+    NULL counts 0 bytes; sums fold map-side."""
+    sizes = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`").cast("string"))), F.lit(0)).cast("bigint")
+             for c in df.columns]
+    total = sizes[0] if sizes else F.lit(0).cast("bigint")
+    for x in sizes[1:]:
+        total = total + x
+    return df.agg(*[x.alias(f"{c}_bytes") for c, x in zip(df.columns, sizes)],
+                  total.alias("total_bytes"), F.count(F.lit(1)).alias("rows"))
+
+
 def reported_total(pages: DataFrame, group_cols: list[str] | tuple = (),
                    total_col: str = "countWithoutFilters") -> DataFrame:
     """The total a source reports, as the max over its landed pages."""

@@ -70,7 +70,7 @@ def test_extract_skills_against_brute_force(spark):
 
     from .conftest import SF0001
 
-    pat = re.compile(r"(?u)\b\w\w+\b")
+    pat = re.compile(r"[\w]+[+#]*")
     dic = [r["phrase"] for r in fx.skill_dictionary(spark, SF0001).collect()]
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF0001}/documents.parquet").collect()}
     want = {}
@@ -95,7 +95,7 @@ def test_extract_skills_against_brute_force(spark):
 
 def test_extract_skills_full_only_and_long_phrases(spark):
     skills = spark.createDataFrame([(1, "deep machine learning"), (2, "machine learning"), (3, "Deep-Learning"),
-                                    (4, "a")], "skill_id long, phrase string")
+                                    (4, "z")], "skill_id long, phrase string")
     docs = spark.createDataFrame([(1, "deep machine learning rocks"), (2, "learning machine, deep"),
                                   (3, "deep learning!")], "doc_id long, text string")
     full = dict(rows(extract_skills(docs, "doc_id", "text", skills, theta=None)))
@@ -103,3 +103,42 @@ def test_extract_skills_full_only_and_long_phrases(spark):
     part = dict(rows(extract_skills(docs, "doc_id", "text", skills)))
     # all tokens present but not in order -> partial matches (theta 0.75)
     assert part[2] == "Deep-Learning, deep machine learning, machine learning"
+
+
+def test_one_letter_and_symbol_phrases(spark):
+    """No phrase loses a token: C programming is not programming, C and C++ are phrases of their own."""
+    names = ["C programming", "R programming", "C", "R", "C++", "C#", "data analysis"]
+    skills = spark.createDataFrame(list(enumerate(names)), "skill_id long, phrase string")
+    docs = spark.createDataFrame([(1, "we need programming experience"), (2, "C and R wanted, c++ too"),
+                                  (3, "C programming, (C#)"), (4, "b+ data_analysis")], "doc_id long, text string")
+    got = dict(rows(extract_skills(docs, "doc_id", "text", skills)))
+    assert got == {1: "", 2: "C, C++, R", 3: "C, C programming, C#", 4: ""}
+    from skillsift.operators.skills import prepare_dictionary
+    count = {r["phrase"]: len(r["ptok"]) for r in prepare_dictionary(skills).collect()}
+    assert count == {n: len(n.split()) for n in names}
+
+
+def test_with_skills_joins_once_and_keeps_rows(spark):
+    from skillsift.operators.skills import with_skills
+    skills = spark.createDataFrame(DICT, "skill_id long, phrase string")
+    docs = spark.createDataFrame([(1, "sql"), (1, "sql"), (2, "x"), (None, "sql")], "doc_id long, text string")
+    out = with_skills(docs, "doc_id", "text", skills)
+    assert rows(out) == [(None, "sql", ""), (1, "sql", "sql"), (1, "sql", "sql"), (2, "x", "")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
+
+
+def test_one_description_per_uuid(spark):
+    jobs = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, None), (4, "u1")], "job_id long, job_uuid string")
+    details = spark.createDataFrame([("u1", "<p>B</p>"), ("u1", "<p>A</p>"), ("u2", None), ("u9", "z"), (None, "n")],
+                                    "uuid string, description string")
+    out = dl.with_description(jobs, details)
+    assert rows(out, "job_id", "job_description") == [(1, "a"), (2, None), (3, None), (4, "a")]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    clean = next(i for i, x in enumerate(lines) if "regexp_replace" in x)
+    assert any("LeftSemi" in x for x in lines[clean + 1:])        # only the jobs' own details are cleaned
+
+
+def test_text_bytes(spark):
+    df = spark.createDataFrame([(1, "é"), (22, None)], "a long, b string")
+    assert rows(dl.text_bytes(df)) == [(3, 2, 5, 2)]

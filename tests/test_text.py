@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
-from skillsift.functions.text import clean_html, ngrams, tokens
+from skillsift.functions.text import clean_html, ngrams, phrase_tokens, tokens
 
 from .conftest import SF0001
 
@@ -63,10 +63,19 @@ def test_clean_html_edge_cases(spark):
         assert py_clean(src) == want, src
 
 
-def test_clean_html_known_gap_numeric_reference(spark):
-    # &#65; decodes to "A" in a parser; the native chain drops it (documented gap).
-    assert one(spark, clean_html, "x&#65;y") == "xy"
-    assert py_clean("x&#65;y") == "xay"
+def test_clean_html_character_references(spark):
+    """Literal expectations, each also what the stdlib parser gives."""
+    cases = {
+        "x&#65;y": "xay", "&#65;&#49;": "a1", "a&#160;b": "a\u00a0b", "a&ensp;b": "a\u2002b", "a&#38;b": "aandb",
+        "&AMP;": "and", "R&#x26;D": "randd", "a&#x20;b": "a b", "a&Tab;b": "a\tb", "a&NewLine;b": "a b",
+        "&amp;lt;": "andlt", "&amp;#65;": "and65", "a&#8195;b": "a\u2003b", "a&#150;b": "ab", "a&#133;b": "ab",
+        "a&#3;b": "ab", "a&#233;b": "ab", "&#65b": "ab", "&#X41;&#x61;": "aa", "a & b": "a and b", "&": "and", "&;": "and",
+        "a&#128512;b": "ab", "x&copy;y&hellip;z": "xyz", "&#0;x": "x", "&#9999999;x": "x", "a&emsp13;b&VeryThinSpace;c":
+        "a\u2004b\u200ac", "&#xZ;": "andxz",
+    }
+    for src, want in cases.items():
+        assert one(spark, clean_html, src) == want, src
+        assert py_clean(src) == want, src
 
 
 def test_clean_html_matches_stdlib_on_pages(spark):
@@ -90,6 +99,13 @@ def test_tokens_edge_cases(spark):
     assert one(spark, tokens, None) is None
 
 
+def test_phrase_tokens_edge_cases(spark):
+    assert one(spark, phrase_tokens, "C, R and c++/C# too; node.js 3.5+") == \
+        ["c", "r", "and", "c++", "c#", "too", "node", "js", "3", "5+"]
+    assert one(spark, phrase_tokens, "+ # é_1#") == ["é_1#"]
+    assert one(spark, phrase_tokens, "") == [] and one(spark, phrase_tokens, None) is None
+
+
 def test_ngrams(spark):
     df = spark.createDataFrame([("aa bb, cc dd",), ("aa",), ("",)], "x string")
     out = [r["g"] for r in df.select(ngrams(tokens("x"), 2).alias("g")).collect()]
@@ -104,7 +120,7 @@ def test_html_unescape_sanity():
 
 def test_clean_html_random_fragments_match_stdlib(spark):
     """400 fragments from a small HTML grammar (the supported subset: no '<' + letter in text,
-    no unknown named entities, no numeric references) agree with the stdlib stand-in."""
+    no unknown named entities) agree with the stdlib stand-in."""
     import random
 
     rnd = random.Random(7)
