@@ -20,11 +20,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, tokens
+from ..functions.text import join_terms, ngrams, tokens
 from ..session import checked_broadcast, materialize
+from .delta import dedupe
 
 # Scores are rounded before ranking so that summation order cannot reorder ties.
 RANK_DIGITS = 9
@@ -68,7 +69,7 @@ def terms_text(top: DataFrame, group_cols: list[str] | tuple = (), sep: str = ",
     g = list(group_cols)
     return (top.groupBy(*g)
                .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_r"))
-               .select(*g, F.array_join(F.transform("_r", lambda x: x["term"]), sep).alias("skills_query")))
+               .select(*g, join_terms(F.transform("_r", lambda x: x["term"]), sep).alias("skills_query")))
 
 
 @dataclass
@@ -117,43 +118,52 @@ def split_hot_join(big: DataFrame, dim: DataFrame, key: str, freq_col: str, cols
     return big.join(hot_b, key).unionByName(big.join(cold, key))
 
 
-def fit_course_index(courses: DataFrame, id_col: str, text_col: str,
-                     ngram_range: tuple[int, int] = (1, 1), persist: bool = True,
-                     vocab_broadcast_rows: int | None = 2_000_000, out_root: str | None = None) -> CourseIndex:
-    """M2: fit the TF-IDF index over ``courses``.
+def fit_idf(courses: DataFrame, id_col: str, text_col: str, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """A5 alone: ``(term, df, idf)`` from one pass over the texts, no postings.
 
-    With ``persist`` the postings and vocabulary are written once to the shared
-    checkpoint folder (or to ``out_root``/postings and ``out_root``/vocab, the
-    serving layout) and read back, so scoring never re-tokenises the corpus
-    and a lost executor re-reads files instead of recomputing the fit.
+    Rows of one id are one document: a term counts once per id, N counts distinct ids."""
+    n_docs = courses.select(F.countDistinct(id_col)).scalar()
+    return fit_vocabulary(doc_term_tf(courses, id_col, text_col, ngram_range), n_docs)
+
+
+def fit_course_index(courses: DataFrame, id_col: str, text_col: str, ngram_range: tuple[int, int] = (1, 1),
+                     vocab_broadcast_rows: int = 2_000_000, out_root: str | None = None) -> CourseIndex:
+    """M2: fit the TF-IDF index over ``courses``; rows of one id are one document.
+
+    Vocabulary and postings are written once to the shared checkpoint folder (or to
+    ``out_root``/vocab and ``out_root``/postings, the serving layout) and read back, so scoring
+    never re-tokenises the corpus and a lost executor re-reads files instead of recomputing the fit.
+
+    The texts are clustered by id before they are cut into terms: the counts per (id, term) and the
+    norm per id then need no further exchange, so the postings, many times the texts, are never
+    shuffled (as long as the vocabulary is broadcast). The vocabulary comes from a pass of its own.
     """
     spark = courses.sparkSession
-    tf = doc_term_tf(courses, id_col, text_col, ngram_range)
-    if persist:
+    vocab = materialize(fit_idf(courses, id_col, text_col, ngram_range), spark, "course-vocab",
+                        f"{out_root.rstrip('/')}/vocab" if out_root else None)
+    tf = doc_term_tf(courses.select(id_col, text_col).repartition(id_col), id_col, text_col, ngram_range)
+    # Weight join on term. A vocabulary under the bound (rows and bytes read from the written
+    # files) is broadcast; a larger one is split by frequency (split_hot_join), so no shuffle
+    # partition holds a stopword's postings.
+    v, small = checked_broadcast(vocab.select("term", "idf"), vocab_broadcast_rows)
+    if not small:
         tf = materialize(tf, spark, "course-tf")
-    n_docs = courses.select(F.count(F.lit(1))).scalar()
-    vocab = fit_vocabulary(tf, n_docs)
-    if persist:
-        vocab = materialize(vocab, spark, "course-vocab", f"{out_root.rstrip('/')}/vocab" if out_root else None)
-    # Weight join on term. A vocabulary under the bound (row count read from
-    # the written files) is broadcast; a larger one is split by frequency
-    # (split_hot_join), so no shuffle partition holds a stopword's postings.
-    if vocab_broadcast_rows is not None and persist:
-        v, small = checked_broadcast(vocab.select("term", "idf"), vocab_broadcast_rows)
-        w = (tf.join(v, "term") if small
-             else split_hot_join(tf, vocab, "term", "df", ["idf"], vocab_broadcast_rows))
-    else:
-        w = tf.join(vocab.select("term", "idf"), "term")
+    w = tf.join(v, "term") if small else split_hot_join(tf, vocab, "term", "df", ["idf"], vocab_broadcast_rows)
     w = w.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     postings = w.select(F.col("doc_id").alias("course_id"), "term", "tf",
                         (F.col("w") / norm).alias("weight"))
-    if persist:
-        postings = materialize(postings, spark, "course-postings",
-                               f"{out_root.rstrip('/')}/postings" if out_root else None)
+    postings = materialize(postings, spark, "course-postings",
+                           f"{out_root.rstrip('/')}/postings" if out_root else None)
     return CourseIndex(postings=postings, vocab=vocab, ngram_range=ngram_range)
 
 
+def load_index(spark: SparkSession, root: str, ngram_range: tuple[int, int] = (1, 1)) -> CourseIndex:
+    """The index a serving export left under ``root``, ready to answer requests without a fit."""
+    r = root.rstrip("/")
+    return CourseIndex(spark.read.parquet(f"{r}/postings"), spark.read.parquet(f"{r}/vocab"), ngram_range)
+
+
 def vectorize(queries: DataFrame, key_cols: list[str], text_col: str, index: CourseIndex) -> DataFrame:
     """Query texts -> ``(*key, term, qweight)`` with the index's analyzer and idf.
 
@@ -196,7 +206,7 @@ def salted_term_join(qvec: DataFrame, postings: DataFrame, vocab: DataFrame, max
 
 
 def score_courses(qvec: DataFrame, key_cols: list[str], index: CourseIndex,
-                  broadcast_rows: int | None = 2_000_000, known_rows: int | None = None,
+                  broadcast_rows: int = 2_000_000, known_rows: int | None = None,
                   salt_target_rows: int = 1_000_000) -> DataFrame:
     """M3: cosine similarity ``(*key, course_id, score)`` for every course sharing a term.
 
@@ -208,19 +218,16 @@ def score_courses(qvec: DataFrame, key_cols: list[str], index: CourseIndex,
     """
     k = list(key_cols)
     post = index.postings.select("term", "course_id", "weight")
-    if broadcast_rows is not None:
-        qb, small = checked_broadcast(qvec, broadcast_rows, known_rows)
-        joined = (qb.join(post, "term") if small
-                  else salted_term_join(qvec, post, index.vocab, broadcast_rows, salt_target_rows))
-    else:
-        joined = qvec.join(post, "term")
+    qb, small = checked_broadcast(qvec, broadcast_rows, known_rows)
+    joined = (qb.join(post, "term") if small
+              else salted_term_join(qvec, post, index.vocab, broadcast_rows, salt_target_rows))
     return (joined.groupBy(*k, "course_id")
                   .agg(F.sum(F.col("qweight") * F.col("weight")).alias("score")))
 
 
 def top_courses(scores: DataFrame, key_cols: list[str], keys: DataFrame, courses: DataFrame,
                 course_id: str, k: int = 5) -> DataFrame:
-    """Exactly ``min(k, #courses)`` courses per query key, score desc then course id asc.
+    """Exactly ``min(k, #distinct course ids)`` courses per query key, score desc then course id asc.
 
     ``keys`` lists every query key that must get a ranking (also those whose
     vector is empty). Courses without a shared term score 0; instead of a
@@ -229,7 +236,7 @@ def top_courses(scores: DataFrame, key_cols: list[str], keys: DataFrame, courses
     ones among them can be displaced (§4.3). Output ``(*key, rank, course_id, score)``.
     """
     kc = list(key_cols)
-    first_k = (courses.select(F.col(course_id).alias("course_id"))
+    first_k = (courses.select(F.col(course_id).alias("course_id")).distinct()
                       .orderBy("course_id").limit(k)
                       .agg(F.collect_list("course_id").alias("ids")))
     pad = (keys.select(*kc).distinct()
@@ -243,6 +250,11 @@ def top_courses(scores: DataFrame, key_cols: list[str], keys: DataFrame, courses
 
 
 def attach_courses(ranked: DataFrame, courses: DataFrame, course_id: str, cols: list[str]) -> DataFrame:
-    """Equi-join ranked ids to course attributes (the ranked side is k rows per query)."""
+    """Equi-join ranked ids to course attributes (the ranked side is k rows per query).
+
+    Of several rows of one course id the smallest in the order of ``cols`` counts (NULL last), so a
+    ranking never grows; the choice is made among the rows of ranked ids only."""
     c = courses.select(F.col(course_id).alias("course_id"), *cols)
-    return ranked.join(c, "course_id")
+    ids = ranked.select("course_id").distinct()
+    one = dedupe(c.join(ids, "course_id", "left_semi"), "course_id", [F.asc_nulls_last(x) for x in cols])
+    return ranked.join(one, "course_id")

@@ -10,7 +10,6 @@ P9 ``skills_text``      array -> text (plain or bracketed)
 P10 ``cast_all_string`` every column as string, NULL kept
 P12 ``combined_description``  null-skipping space join
 P13 ``course_concat``   four texts without separator, NULL as ""
-P15 ``with_rank``       1-based rank column in a given order, per group
 P16 ``preview``         first n rows in a given order
 U1/U2 ``union_pages``   union by name, missing columns -> NULL
 U3 ``merge_lists``      union of two string lists, distinct
@@ -20,10 +19,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
+# The bronze columns, in table order.
 BRONZE_JOB_COLUMNS = ["job_id", "title", "company_name", "uen", "employment_type", "level", "category",
                       "salary_min", "salary_max", "salary_type", "skills", "job_uuid"]
 
@@ -114,12 +114,6 @@ def course_concat(*cols: str | Column) -> Column:
     return F.concat(*[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in cols])
 
 
-def with_rank(df: DataFrame, order: list[Column], group_cols: list[str] | tuple = (), name: str = "rank") -> DataFrame:
-    """1-based ``row_number`` per group in ``order`` (bigint)."""
-    w = Window.partitionBy(*group_cols).orderBy(*order) if group_cols else Window.orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-
-
 def preview(df: DataFrame, n: int = 5, order: list[Column] | None = None) -> DataFrame:
     """First ``n`` rows (in ``order`` when given: a top-n, not a full sort)."""
     return (df.orderBy(*order) if order else df).limit(n)
@@ -134,7 +128,3 @@ def merge_lists(a: str | Column, b: str | Column, sort: bool = True) -> Column:
     """Distinct union of two string arrays (sorted for a stable text)."""
     u = F.array_union(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
     return F.array_sort(u) if sort else u
-
-
-def is_array(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, ArrayType)

@@ -15,7 +15,7 @@ for titles of 200+ characters). Both empty gives ratio 1.0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_ratio
@@ -64,14 +64,14 @@ def _qgrams(text: Column) -> Column:
 
 
 def match_titles(requests: DataFrame, titles: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                 broadcast_rows: int = 1_000) -> DataFrame:
-    """``(query_id, query, title)`` for every request and every *distinct* title it matches.
+                 broadcast_rows: int = 16) -> DataFrame:
+    """``(query_id, query, title)`` for every distinct request and every distinct title it matches.
 
-    ``requests``: ``(query_id, query)``; ``titles``: a ``title`` column (duplicates
-    allowed, they are folded first). A checked-small request set is broadcast
-    and the titles streamed past it (no shuffle of titles).
+    ``requests``: ``(query_id, query)``; ``titles``: a ``title`` column; repeats of either
+    are folded first. A handful of requests is broadcast and the titles streamed past
+    it (no shuffle of titles).
 
-    Large request sets use an exact substring filter instead of comparing all
+    More requests use an exact substring filter instead of comparing all
     pairs: a query contained in a title shares every character trigram with it,
     so each query probes the titles only through its *rarest* trigram (an
     equi-join on the trigram), and candidates are verified. Queries shorter than
@@ -79,7 +79,7 @@ def match_titles(requests: DataFrame, titles: DataFrame, threshold: float = DEFA
     found by an equi-join on the (tiny) length band.
     """
     t = titles.select("title").where(F.col("title").isNotNull()).distinct()
-    r = requests.select("query_id", "query").where(F.col("query").isNotNull())
+    r = requests.select("query_id", "query").where(F.col("query").isNotNull()).distinct()
     rb, small = checked_broadcast(r, broadcast_rows)
     if small:
         return (t.join(rb, match_ratio_expr(F.col("title"), F.col("query"), threshold))
@@ -114,7 +114,7 @@ def match_jobs(requests: DataFrame, jobs: DataFrame, threshold: float = DEFAULT_
     checked, else a shuffle join where AQE splits a hot title.
     """
     m = materialize(match_titles(requests, jobs, threshold), jobs.sparkSession, "title-matches")
-    mb, small = checked_broadcast(m, broadcast_rows)
+    mb, small = checked_broadcast(m, broadcast_rows)      # rows and bytes, from the written files
     if not small:
         return jobs.join(mb, "title")
     # Semi-join first: Catalyst pushes it below joins inside ``jobs`` (e.g. a
@@ -123,32 +123,48 @@ def match_jobs(requests: DataFrame, jobs: DataFrame, threshold: float = DEFAULT_
     return jobs.join(titles, "title", "left_semi").join(mb, "title")
 
 
-def similar_titles(requests: DataFrame, titles: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                   broadcast_rows: int = 1_000) -> DataFrame:
-    """``(query_id, query, title, ratio)`` with stdlib similarity ratio >= threshold.
+def _items(text: Column) -> Column:
+    """A text's characters as distinct items: the n-th time a character occurs is item (character, n)."""
+    chars = F.filter(F.split(text, ""), lambda c: F.length(c) > 0)
+    return F.transform(chars, lambda c, i: F.struct(
+        c.alias("c"), F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == c)).alias("n")))
 
-    The ratio is not symmetric; the query is the first argument. Pairs are
-    pre-filtered by the exact upper bound 2*min(la, lb)/(la + lb) >= threshold
-    on distinct lower-cased titles; only survivors reach the pandas UDF. A
-    checked-small request set is broadcast; a large one is joined on title
-    length, exploded over the band of lengths the bound allows
-    (la*t/(2-t) <= lb <= la*(2-t)/t), so no all-pairs comparison happens.
+
+def similar_titles(requests: DataFrame, titles: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """``(query_id, query, title, ratio)`` with stdlib similarity ratio >= threshold (> 0).
+
+    The ratio is not symmetric; the query is the first argument. It never exceeds twice the
+    shared characters (counted as a multiset) over both lengths, which gives an exact filter
+    without comparing all pairs: as (character, occurrence) items, a text of length l shares at
+    least ``ceil(l * t / (2 - t))`` items with any partner that reaches t, so two partners share one of
+    their ``l - that + 1`` rarest items. Texts meet on those items only, the multiset bound is
+    verified natively, and each surviving pair's ratio is computed once.
     """
-    t = (titles.select("title").where(F.col("title").isNotNull()).distinct()
-               .withColumn("_lt", F.lower("title")))
-    r = (requests.select("query_id", "query").where(F.col("query").isNotNull())
-                 .withColumn("_lq", F.lower("query")))
-    la, lb = F.length("_lq"), F.length("_lt")
-    bound = F.when(la + lb == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.least(la, lb) / (la + lb))
-    rb, small = checked_broadcast(r, broadcast_rows)
-    if small or threshold <= 0:
-        cand = t.join(rb, bound >= F.lit(threshold))
-    else:
-        lo = F.greatest(F.lit(0), F.ceil(la * F.lit(threshold / (2.0 - threshold)) - F.lit(1e-9)).cast("int"))
-        hi = F.floor(la * F.lit((2.0 - threshold) / threshold) + F.lit(1e-9)).cast("int")
-        band = r.withColumn("_len", F.explode(F.sequence(lo, F.greatest(lo, hi))))
-        cand = (band.join(t.withColumn("_len", lb), "_len")
-                    .where(bound >= F.lit(threshold)))
-    return (cand.withColumn("ratio", similarity_ratio(F.col("_lq"), F.col("_lt")))
-                .where(F.col("ratio") >= F.lit(threshold))
+    if threshold <= 0:
+        raise ValueError("threshold must be positive: every pair would qualify")
+    r = requests.select("query_id", "query").where(F.col("query").isNotNull()).distinct()
+    t = titles.select("title").where(F.col("title").isNotNull()).distinct()
+    spark = requests.sparkSession
+    texts = materialize(r.select(F.lower("query").alias("x")).unionByName(t.select(F.lower("title").alias("x")))
+                         .distinct().withColumn("items", _items(F.col("x"))), spark, "title-items")
+    freq = texts.select(F.explode("items").alias("it")).groupBy("it").agg(F.count(F.lit(1)).alias("f"))
+    length = F.length("x")
+    need = F.ceil(length * F.lit(threshold / (2.0 - threshold)) - F.lit(1e-9))
+    ranked = (texts.select("x", F.explode("items").alias("it")).join(freq, "it")
+                   .withColumn("rn", F.row_number().over(Window.partitionBy("x").orderBy("f", "it")))
+                   .where(F.col("rn") <= length - need + 1).select("x", "it"))
+    prefix = materialize(ranked, spark, "title-prefixes")
+    lq, lt = prefix.toDF("lq", "it"), prefix.toDF("lt", "it")
+    asked = r.select(F.lower("query").alias("lq")).distinct()
+    offered = t.select(F.lower("title").alias("lt")).distinct()
+    met = (lq.join(asked, "lq", "left_semi").join(lt.join(offered, "lt", "left_semi"), "it")
+             .select("lq", "lt").distinct())
+    empty = asked.where("lq = ''").join(offered.where("lt = ''").withColumnRenamed("lt", "e"),
+                                        F.col("lq") == F.col("e")).select("lq", F.col("e").alias("lt"))
+    both = F.length("lq") + F.length("lt")
+    shared = F.size(F.array_intersect(_items(F.col("lq")), _items(F.col("lt"))))
+    close = met.where(2.0 * shared / both >= F.lit(threshold) - F.lit(1e-9)).unionByName(empty)
+    scored = materialize(close.withColumn("ratio", similarity_ratio(F.col("lq"), F.col("lt"))), spark, "title-ratios")
+    hits = scored.where(F.col("ratio") >= F.lit(threshold))
+    return (hits.join(r.withColumn("lq", F.lower("query")), "lq").join(t.withColumn("lt", F.lower("title")), "lt")
                 .select("query_id", "query", "title", "ratio"))

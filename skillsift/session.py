@@ -7,16 +7,18 @@ tables live and *whether* a small side may be broadcast.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-# Rows above which a side is never broadcast, whatever its declared width.
-# 2M narrow rows (a few ints / short strings) stay well under 256 MB.
+# Rows and bytes above which a side is never broadcast.
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
+DEFAULT_BROADCAST_MAX_BYTES = 256 << 20
 
 
 def build_session(master: str | None = None, app: str = "skillsift",
@@ -51,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, reading it from the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder and
-    is used as is. Only when it is unset (local tests) a fresh temp folder is made.
+    is used as is; without it a cluster session is refused, since each executor would write
+    to a disk of its own. Only a local session without it gets a fresh temp folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="skillsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
@@ -66,6 +71,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, list[str]] = {}               # application -> scratch folders it made
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -99,7 +105,22 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/skillsift/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/skillsift/{name}-{uuid.uuid4().hex[:12]}"
+    _OWN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders this application made; returns how many were there.
+
+    For the end of a job, when its results are written elsewhere: frames that read scratch
+    tables fail afterwards. Folders of other applications are never touched."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for path in _OWN.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(p.getFileSystem(conf).delete(p, True))
+    return gone
 
 
 def materialize(df: DataFrame, spark: SparkSession | None = None, name: str = "stage",
@@ -115,16 +136,34 @@ def materialize(df: DataFrame, spark: SparkSession | None = None, name: str = "s
     return spark.read.parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-                      known_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only if its row count is proven to be at most ``max_rows``.
+def row_bytes(df: DataFrame):
+    """Bytes of one row, estimated from its values: text and binary by length, nested values by their JSON."""
+    total = F.lit(8 * len(df.columns) + 16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return total
 
-    The count is the size proof; pass ``known_rows`` when the caller already has
-    it. Returns ``(frame, broadcasted)``; above the bound the frame is returned
-    untouched and the planner shuffles it (AQE may still demote to broadcast).
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                      known_rows: int | None = None, max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
+                      known_bytes: int | None = None) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` only if it is proven to have at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    One aggregate over at most ``max_rows + 1`` rows is the proof; pass ``known_rows`` (and
+    ``known_bytes``) when the caller already has bounds. Rows alone are a proof only where every
+    column has a fixed width or the caller's bound covers them. Returns ``(frame, broadcasted)``; beyond
+    a bound the frame is returned untouched and the planner shuffles it.
     """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    if n <= max_rows:
+    if known_rows is None:
+        n, size = df.limit(max_rows + 1).select(row_bytes(df).alias("b")).agg(
+            F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    else:
+        n, size = known_rows, known_bytes or 0
+    if n <= max_rows and size <= max_bytes:
         return F.broadcast(df), True
     return df, False
 
@@ -144,10 +183,3 @@ def balance(df: DataFrame, key: str | None = None, min_partitions: int | None =
     if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

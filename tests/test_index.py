@@ -30,7 +30,7 @@ def test_top_terms_ties_and_short_lists(spark):
 
 
 def test_idf_and_weights_match_formula(spark):
-    idx = ix.fit_course_index(courses(spark), "cid", "text", persist=False)
+    idx = ix.fit_course_index(courses(spark), "cid", "text")
     voc = {r["term"]: (r["df"], r["idf"]) for r in idx.vocab.collect()}
     n = len(COURSES)
     assert voc["data"][0] == 2 and math.isclose(voc["data"][1], math.log((1 + n) / (1 + 2)) + 1)
@@ -47,7 +47,7 @@ def test_idf_and_weights_match_formula(spark):
 
 def test_scores_self_similarity_and_range(spark):
     c = courses(spark)
-    idx = ix.fit_course_index(c, "cid", "text", persist=False)
+    idx = ix.fit_course_index(c, "cid", "text")
     q = c.select(F.col("cid").alias("query_id"), "text")
     s = ix.score_courses(ix.vectorize(q, ["query_id"], "text", idx), ["query_id"], idx)
     got = {(r["query_id"], r["course_id"]): r["score"] for r in s.collect()}
@@ -58,7 +58,7 @@ def test_scores_self_similarity_and_range(spark):
 
 def test_top_courses_padding_and_k_above_courses(spark):
     c = courses(spark)
-    idx = ix.fit_course_index(c, "cid", "text", persist=False)
+    idx = ix.fit_course_index(c, "cid", "text")
     keys = spark.createDataFrame([(1, "unknown words only"), (2, "python python")], "query_id long, text string")
     qv = ix.vectorize(keys, ["query_id"], "text", idx)
     s = ix.score_courses(qv, ["query_id"], idx)
@@ -77,7 +77,7 @@ def test_recommend_end_to_end(spark):
                                   (3, "chef", "cooking")], "job_id long, title string, skills_extracts string")
     c = spark.createDataFrame([(i, f"course {i}", t) for i, t in COURSES],
                               "referenceNumber long, title string, combined_features string")
-    idx = ix.fit_course_index(c, "referenceNumber", "combined_features", persist=False)
+    idx = ix.fit_course_index(c, "referenceNumber", "combined_features")
     req = spark.createDataFrame([(7, "data engineer"), (8, "astronaut")], "query_id long, query string")
     out = recommend(req, jobs, idx, c, k=2, ngram_sizes=(1, 2))
     got = rows(out, "query_id", "n", "skills_query", "rank", "referenceNumber")
@@ -99,9 +99,36 @@ def test_hot_cold_split_join_equals_plain_join(spark):
     assert pa.keys() == pb.keys() and all(math.isclose(pa[k], pb[k]) for k in pa)
 
 
+def test_repeated_course_ids(spark):
+    """Rows of one id are one document; rankings hold min(k, #ids) rows, one per id."""
+    c = spark.createDataFrame([(1, "python data", "b"), (1, "python data", "a"), (2, "pasta", "c")],
+                              "cid long, text string, title string")
+    idx = ix.fit_course_index(c, "cid", "text")
+    df = {r["term"]: r["df"] for r in idx.vocab.collect()}
+    assert df == {"python": 1, "data": 1, "pasta": 1}
+    assert {round(r["idf"], 9) for r in idx.vocab.collect()} == {round(math.log(3 / 2) + 1, 9)}
+    keys = spark.createDataFrame([(1, "python")], "query_id long, text string")
+    s = ix.score_courses(ix.vectorize(keys, ["query_id"], "text", idx), ["query_id"], idx)
+    for k, want in ((1, [1]), (2, [1, 2]), (5, [1, 2])):
+        top = ix.top_courses(s, ["query_id"], keys, c, "cid", k)
+        assert [r["course_id"] for r in top.orderBy("rank").collect()] == want
+        got = ix.attach_courses(top, c, "cid", ["title"])
+        assert sorted((r["course_id"], r["title"]) for r in got.collect()) == [(1, "a"), (2, "c")][:len(want)]
+
+
+def test_loaded_index_answers_like_the_fitted_one(spark, tmp):
+    c = courses(spark)
+    fitted = ix.fit_course_index(c, "cid", "text", out_root=tmp)
+    loaded = ix.load_index(spark, tmp)
+    q = c.select(F.col("cid").alias("query_id"), "text")
+    a, b = (sorted((r["query_id"], r["course_id"], round(r["score"], 9)) for r in ix.score_courses(
+        ix.vectorize(q, ["query_id"], "text", i), ["query_id"], i).collect()) for i in (fitted, loaded))
+    assert a == b
+
+
 def test_salted_scoring_equals_broadcast_scoring(spark):
     c = courses(spark)
-    idx = ix.fit_course_index(c, "cid", "text", persist=False)
+    idx = ix.fit_course_index(c, "cid", "text")
     q = spark.createDataFrame([(1, "python data"), (2, "data engineering data"), (3, "pasta")],
                               "query_id long, text string")
     qv = ix.vectorize(q, ["query_id"], "text", idx)

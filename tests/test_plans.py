@@ -76,3 +76,20 @@ def test_batch_metrics_folds_keys_before_join(spark):
     # ids not divisible by 3 (7 among them) plus the hot key 7: 2000 distinct, 7 known
     assert (r["rows_in"], r["unique_keys"], r["delta_keys"]) == (3000, 2000, 1999)
     assert "partial_count" in plan_of(m)
+
+
+def test_norms_need_no_exchange_after_the_counts(spark, tmp):
+    """M2: between the counts per (id, term) and the norm per id nothing is shuffled."""
+    import skillsift.operators.index as mod
+    written = []
+    keep, mod.materialize = mod.materialize, lambda df, *a, **k: (written.append(df), keep(df, *a, **k))[1]
+    try:
+        c = spark.createDataFrame([(1, "python data"), (2, "data engineering"), (3, "pasta")], "cid long, text string")
+        ix.fit_course_index(c, "cid", "text")
+    finally:
+        mod.materialize = keep
+    lines = written[-1]._jdf.queryExecution().executedPlan().toString().split("\n")
+    window = next(i for i, x in enumerate(lines) if "Window " in x)
+    generate = next(i for i, x in enumerate(lines) if "Generate explode" in x)
+    between = [x for x in lines[window:generate] if "Exchange" in x and "Broadcast" not in x]
+    assert not between, between

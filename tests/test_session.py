@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from skillsift import session as ss
 
 
@@ -15,6 +17,50 @@ def test_checked_broadcast_respects_bound(spark):
     assert small
 
 
+def test_checked_broadcast_counts_bytes(spark):
+    from pyspark.sql import functions as F
+    wide = spark.range(4).select(F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit(1)).alias("a"))
+    assert ss.checked_broadcast(wide, 10, max_bytes=10_000)[1]
+    assert not ss.checked_broadcast(wide, 10, max_bytes=3_000)[1]
+    assert not ss.checked_broadcast(wide, 10, known_rows=4, known_bytes=20_000, max_bytes=10_000)[1]
+
+
+class _Context:
+    """A stand-in for a cluster session's context without a checkpoint folder."""
+    master = "spark://host:7077"
+
+    def getCheckpointDir(self):
+        return None
+
+    def getConf(self):
+        return {}
+
+
+def test_cluster_without_shared_folder_is_refused():
+    class Session:
+        sparkContext = _Context()
+        conf = {}
+    with pytest.raises(RuntimeError):
+        ss.ensure_checkpoint_dir(Session())
+    for master in ("local-cluster[2,1,1024]", "yarn", "k8s://x"):
+        _Context.master = master
+        with pytest.raises(RuntimeError):
+            ss.ensure_checkpoint_dir(Session())
+
+
+def test_clean_scratch_removes_own_folders(spark, tmp):
+    kept = dict(ss._OWN)
+    ss._OWN.clear()
+    try:
+        spark.range(3).write.parquet(f"{tmp}/other")
+        m = ss.materialize(spark.range(5), spark, "scratch-test")
+        assert m.count() == 5
+        assert ss.clean_scratch(spark) == 1 and ss.clean_scratch(spark) == 0
+        assert spark.read.parquet(f"{tmp}/other").count() == 3
+    finally:
+        ss._OWN.update(kept)
+
+
 def test_balance_only_spreads_under_split_sources(spark, tmp):
     spark.range(1000).coalesce(1).write.parquet(f"{tmp}/one")
     spark.range(1000).repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{tmp}/many")

@@ -2,6 +2,7 @@
 
 from difflib import SequenceMatcher
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -55,7 +56,37 @@ def test_similar_titles_against_difflib(spark):
     got = rows(similar_titles(req, titles, 0.7), "query", "title")
     want = sorted((q, t) for q in names for t in names if SequenceMatcher(None, q, t).ratio() >= 0.7)
     assert got == want
-    assert rows(similar_titles(req, titles, 0.7, broadcast_rows=0), "query", "title") == want
+
+
+def test_similar_titles_random_against_difflib(spark):
+    """The rare-item filter loses no pair: random texts over few letters, repeats and empty texts included."""
+    import random
+    rnd = random.Random(5)
+    names = ["".join(rnd.choices("abcde ", k=rnd.randint(0, 9))) for _ in range(120)] + ["", "A", "a"]
+    titles = spark.createDataFrame([(n,) for n in names] * 2, "title string")
+    req = spark.createDataFrame([(i, n) for i, n in enumerate(names[:60])] + [(0, names[0]), (98, ""), (99, None)],
+                                "query_id long, query string")
+    asked = set(enumerate(names[:60])) | {(98, "")}
+    for th in (0.6, 0.9, 1.0):
+        got = rows(similar_titles(req, titles, th), "query_id", "title", "ratio")
+        want = sorted((i, t, SequenceMatcher(None, q.lower(), t.lower()).ratio()) for i, q in asked for t in set(names)
+                      if SequenceMatcher(None, q.lower(), t.lower()).ratio() >= th)
+        assert got == want, th
+
+
+def test_similar_titles_refuses_all_pairs(spark):
+    df = spark.createDataFrame([(1, "a", "a")], "query_id long, query string, title string")
+    with pytest.raises(ValueError):
+        similar_titles(df, df, 0.0)
+    plan = similar_titles(df, df, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan          # computed once, before the threshold reads it
+
+
+def test_repeated_requests_do_not_change_matches(spark):
+    titles = spark.createDataFrame([("red plate",), ("ab",), ("red plate",)], "title string")
+    req = spark.createDataFrame([(1, "red plate"), (1, "red plate"), (2, "ab"), (2, "ab")], "query_id long, query string")
+    small = rows(match_titles(req, titles, broadcast_rows=100))
+    assert small == rows(match_titles(req, titles, broadcast_rows=1)) == [(1, "red plate", "red plate"), (2, "ab", "ab")]
 
 
 @settings(max_examples=60, deadline=None)
