@@ -1,8 +1,9 @@
 """DuckDB SQL for every registered query (the brute-force check of the Spark plans).
 
 Tables ``part documents pages ...`` are views over the same Parquet files. The
-SQL is written independently of the Spark code: plain CTEs, cross joins where
-that is the simplest statement, no shortcuts shared with the library.
+SQL is plain CTEs, cross joins where that is the simplest statement. It shares the fixed
+patterns (tokens, tags, whitespace) with the library, so it cannot see an error in those;
+tests/test_text.py and tests/test_skills_delta.py hold literal expected values for them.
 """
 
 from __future__ import annotations
@@ -26,15 +27,33 @@ def ngram(t: str, n: int) -> str:
             f"lambda i: array_to_string({t}[i:i + {n - 1}], ' ')) ELSE []::VARCHAR[] END)")
 
 
+# References a page may hold, by what they decode to (fixed values of HTML).
+NAMED = {"amp": 38, "AMP": 38, "Tab": 9, "NewLine": 10, "nbsp": 160, "NonBreakingSpace": 160, "ensp": 8194,
+         "emsp": 8195, "emsp13": 8196, "emsp14": 8197, "numsp": 8199, "puncsp": 8200, "thinsp": 8201,
+         "ThinSpace": 8201, "hairsp": 8202, "VeryThinSpace": 8202, "MediumSpace": 8287}
+
+
+def unescaped(s: str) -> str:
+    """Every reference replaced by its character; numbers of HTML's non-characters and Windows-1252 give none."""
+    num = ("coalesce(TRY_CAST(nullif(regexp_extract(r, '^#([0-9]{1,7});?', 1), '') AS BIGINT), "
+           "TRY_CAST(nullif('0x' || regexp_extract(r, '^#[xX]([0-9a-fA-F]{1,6});?', 1), '0x') AS BIGINT))")
+    ok = ("n IN (9, 10, 12, 13) OR n BETWEEN 32 AND 126 OR (n >= 160 AND n < 55296) OR (n > 57343 AND n < 1114112)")
+    names = " ".join(f"WHEN '{k}' THEN chr({v})" for k, v in NAMED.items())
+    name = "regexp_extract(r, '^([a-zA-Z][a-zA-Z0-9]*);', 1)"
+    rest = "regexp_replace(r, '^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[a-zA-Z][a-zA-Z0-9]*;)', '')"
+    one = (f"list_transform([{num}], lambda n: CASE WHEN n IS NOT NULL THEN (CASE WHEN {ok} THEN chr(CAST(n AS INTEGER)) "
+           f"ELSE '' END) || {rest} WHEN {name} <> '' THEN (CASE {name} {names} ELSE '' END) || {rest} "
+           f"ELSE '&' || r END)[1]")
+    return (f"array_to_string(list_concat([string_split({s}, '&')[1]], "
+            f"list_transform(string_split({s}, '&')[2:], lambda r: {one})), '')")
+
+
 def clean_html(x: str) -> str:
     s = x
     for pat in (r"(?is)<script(\s[^>]*)?>.*?</script\s*>", r"(?is)<style(\s[^>]*)?>.*?</style\s*>",
                 r"(?is)<template(\s[^>]*)?>.*?</template\s*>", r"(?s)<!--.*?-->", r"<[a-zA-Z/!?][^>]*>"):
         s = f"regexp_replace({s}, '{pat}', '', 'g')"
-    s = f"replace({s}, '&amp;', chr(57344))"
-    s = f"regexp_replace({s}, '&(nbsp|NonBreakingSpace);', chr(160), 'g')"
-    s = f"regexp_replace({s}, '&#?[a-zA-Z0-9]+;', '', 'g')"
-    s = f"replace({s}, chr(57344), 'and')"
+    s = unescaped(s)
     s = f"replace({s}, '&', 'and')"
     s = f"regexp_replace({s}, '[^a-zA-Z0-9{PY_WS}]', '', 'g')"
     s = f"replace({s}, chr(10) || chr(10), ' ')"
@@ -171,12 +190,21 @@ SQL["clean_html"] = f"SELECT page_id, {clean_html('html')} AS description FROM p
 DICTIONARY = f"""btok AS (SELECT item_id, {tok('text')} AS t FROM benchmark),
 dict AS (SELECT DISTINCT unnest({ngram('t', 2)}) AS phrase FROM btok),
 dic AS (SELECT phrase, pt, len(pt) AS m, len(list_distinct(pt)) AS d
-        FROM (SELECT phrase, {tok('phrase')} AS pt FROM dict) WHERE len(pt) > 0)"""
+        FROM (SELECT phrase, regexp_extract_all(lower(phrase), '[\\p{{L}}\\p{{N}}_]+[+#]*') AS pt FROM dict)
+        WHERE len(pt) > 0)"""
+
+
+# M1's words: a run of word characters and the plus or number signs that close it.
+WORD_RE = r"[\p{L}\p{N}_]+[+#]*"
+
+
+def words(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '{WORD_RE}')"
 
 
 def skills_sql(docs: str, theta: float = 0.75) -> str:
     """CTEs ending in ``sk(doc_id, skills)`` for a CTE ``{docs}(doc_id, text)``; needs DICTIONARY."""
-    return f"""dtk AS (SELECT doc_id, {tok('text')} AS t FROM {docs}),
+    return f"""dtk AS (SELECT doc_id, {words('text')} AS t FROM {docs}),
 grams AS (SELECT doc_id, unnest(t) AS k FROM dtk
           UNION ALL SELECT doc_id, unnest({ngram('t', 2)}) AS k FROM dtk),
 fullm AS (SELECT g.doc_id, d.phrase FROM grams g JOIN dic d ON g.k = array_to_string(d.pt, ' ')),
@@ -194,6 +222,43 @@ docs AS (SELECT doc_id, text FROM documents),
 {skills_sql('docs')}
 SELECT doc_id, skills FROM sk"""
 
+SHORT_DICTIONARY = f"""btok AS (SELECT DISTINCT unnest({tok('text')}) AS t FROM benchmark),
+dict AS (SELECT DISTINCT unnest([t[1], t[1] || '++', t || '###', t[1] || ' ' || t]) AS phrase FROM btok),
+dic AS (SELECT phrase, pt, len(pt) AS m, len(list_distinct(pt)) AS d
+        FROM (SELECT phrase, string_split(phrase, ' ') AS pt FROM dict))"""
+
+SQL["extract_skills_short"] = f"""WITH {SHORT_DICTIONARY},
+docs AS (SELECT doc_id, text FROM documents),
+{skills_sql('docs')}
+SELECT doc_id, skills FROM sk"""
+
+SQL["clean_html_refs"] = f"""WITH p AS (SELECT page_id, '<p>x&#' || (page_id % 300) || ';y&#x' || upper(to_hex(page_id % 12400))
+  || ';z&' || (['amp', 'AMP', 'nbsp', 'ensp', 'emsp', 'thinsp', 'Tab', 'NewLine', 'lt', 'hellip'])[page_id % 10 + 1]
+  || ';w &#' || (page_id % 90 + 38) || ' &amp;lt; & &;</p>' || url AS html FROM pages)
+SELECT page_id, {clean_html('html')} AS description FROM p"""
+
+SQL["recommend_served"] = recommend_sql(TITLE_REQUESTS, (1, 2), 5)
+
+SUPPORTED = "(doc_id % 10 = 0 OR DATE '2022-06-01' + CAST(doc_id % 900 AS INTEGER) >= DATE '2024-01-15' - 365)"
+
+SQL["flow_summary"] = f"""WITH j AS (SELECT * FROM part WHERE p_partkey // 100 <> 1),
+c AS (SELECT * FROM documents WHERE doc_id // 100 <> 1),
+jt AS (SELECT count(*) AS total FROM part), ct AS (SELECT count(*) AS total FROM documents)
+SELECT 'jobs' AS flow, '20240115' AS load_date, count(*) AS rows_in, count(*) AS unique_keys, 0::BIGINT AS null_keys,
+       count(*) AS delta_rows, (SELECT total FROM jt) AS reported_total,
+       (SELECT count(*) FROM (SELECT unnest(range(0, CAST(ceil(total / 100) AS BIGINT))) AS page FROM jt) e
+        WHERE page NOT IN (SELECT p_partkey // 100 FROM j)) AS missing_pages
+FROM j
+UNION ALL
+SELECT 'courses', '20240115', count(*) FILTER (WHERE {SUPPORTED}), count(*) FILTER (WHERE {SUPPORTED}), 0::BIGINT, count(*) FILTER (WHERE {SUPPORTED}),
+       (SELECT total FROM ct),
+       greatest((SELECT CAST(ceil(total / 100) AS BIGINT) FROM ct) - count(DISTINCT doc_id // 100), 0)
+FROM c"""
+
+SQL["jobs_newest_keyword"] = """SELECT 'JOB-' || p_partkey AS job_id, p_name AS title, '20240115' AS load_date FROM part
+WHERE contains(lower(p_name), 'plate')
+ORDER BY p_size DESC, 'JOB-' || p_partkey LIMIT 300"""
+
 SQL["page_descriptions"] = f"""SELECT p.p_partkey AS job_id, {clean_html('g.html')} AS description,
   concat_ws(' ', array_to_string(string_split(p.p_name, ' '), ','), {clean_html('g.html')}) AS combined_description
 FROM part p JOIN pages g ON g.page_id = p.p_partkey % (SELECT count(*) FROM pages)"""
@@ -287,6 +352,9 @@ SQL["table_bytes"] = """SELECT CAST(sum(octet_length(encode(CAST(p_partkey AS VA
        CAST(sum(octet_length(encode(p_brand))) AS BIGINT) AS p_brand_bytes,
        CAST(sum(octet_length(encode(p_type))) AS BIGINT) AS p_type_bytes,
        CAST(sum(octet_length(encode(CAST(p_size AS VARCHAR)))) AS BIGINT) AS p_size_bytes,
+       CAST(sum(octet_length(encode(CAST(p_retailprice AS VARCHAR)))) AS BIGINT) AS p_retailprice_bytes,
+       CAST(sum(octet_length(encode(concat(p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)))) AS BIGINT)
+         AS total_bytes,
        count(*) AS rows FROM part"""
 
 # --- sinks and flows ------------------------------------------------------------------
@@ -311,19 +379,19 @@ docs AS (SELECT doc_id, text FROM documents),
 {skills_sql('docs')}
 SELECT CAST(d.doc_id AS VARCHAR) AS referenceNumber, d.source AS title, d.lang || '-' || d.doc_id AS seoName,
        d.text AS objective, d.lang AS content, CAST(NULL AS VARCHAR) AS outcome,
-       CAST(NULL AS VARCHAR) AS specialisation, '[{{' || d.lang || '}}]' AS taggings, CAST(NULL AS VARCHAR) AS tags,
+       CAST(NULL AS VARCHAR) AS specialisation, '[{{"name":"' || d.lang || '","code":"' || d.source || '"}}]' AS taggings, CAST(NULL AS VARCHAR) AS tags,
        CAST(NULL AS VARCHAR) AS areaOfTrainings, d.source AS fieldOfStudies1, CAST(NULL AS VARCHAR) AS fieldOfStudies2,
        CAST(NULL AS VARCHAR) AS skillsConnectReferenceNumber, CAST(NULL AS VARCHAR) AS skillsFrameworks,
        CAST(NULL AS VARCHAR) AS skillsFutureCreditReferenceNumber,
        d.text || d.source || d.source || d.lang AS concat, sk.skills AS SkillsTaxonomy
-FROM documents d JOIN sk ON sk.doc_id = d.doc_id"""
+FROM documents d JOIN sk ON sk.doc_id = d.doc_id WHERE {SUPPORTED.replace('doc_id', 'd.doc_id')}"""
 
 SQL["serving_export"] = f"""WITH {DICTIONARY},
 docs AS (SELECT doc_id, text FROM documents),
 {skills_sql('docs')}
 SELECT CAST(d.doc_id AS VARCHAR) AS referenceNumber, d.source AS title, sk.skills AS combined_features,
-       CAST(len(list_distinct({tok('sk.skills')})) AS BIGINT) AS n_terms
-FROM documents d JOIN sk ON sk.doc_id = d.doc_id"""
+       CAST(len(list_distinct({tok('sk.skills')})) AS BIGINT) AS n_terms, (SELECT count(*) FROM part) AS n_jobs
+FROM documents d JOIN sk ON sk.doc_id = d.doc_id WHERE {SUPPORTED.replace('doc_id', 'd.doc_id')}"""
 
 SQL["feedback_append"] = """SELECT CASE WHEN turn = 0 THEN NULL ELSE 'conv ' || conv_id END AS Search_input,
        text AS Feedback, CAST(turn % 6 AS INTEGER) AS User_rating,

@@ -66,6 +66,19 @@ def q_recommend_batch(spark, sf_dir):
     return _recommend(spark, sf_dir, fx.title_requests(spark, sf_dir), (1, 2), 5)
 
 
+@query("recommend_served")
+def q_recommend_served(spark, sf_dir):
+    """M7 + S6 + M4: courses, postings and the fitted index exported, loaded back, and every title answered
+    from them without a fit."""
+    root = scratch_path(spark, "serving")
+    jobs = fx.jobs(spark, sf_dir).select(F.concat(F.lit("JOB-"), F.col("job_id").cast("string")).alias("jobPostId"),
+                                         "title", "skills_extracts")
+    etl.export_serving(spark, fx.courses(spark, sf_dir).withColumnRenamed("combined_features", "SkillsTaxonomy"),
+                       jobs, root)
+    sv = src.load_serving(spark, root)
+    return recommend(fx.title_requests(spark, sf_dir), sv["jobs"], ix.load_index(spark, root), sv["courses"], k=5)
+
+
 @query("recommend_display")
 def q_recommend_display(spark, sf_dir):
     """M4 + P14 + P15: the displayed tables for 'red plate' (both n), score hidden."""
@@ -111,7 +124,7 @@ def q_term_counts_2(spark, sf_dir):
 
 @query("idf")
 def q_idf(spark, sf_dir):
-    v = _course_index(spark, sf_dir).vocab
+    v = ix.fit_idf(fx.courses(spark, sf_dir), "referenceNumber", "combined_features")
     return v.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -164,6 +177,16 @@ def q_clean_html(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", clean_html("html").alias("description"))
 
 
+@query("clean_html_refs")
+def q_clean_html_refs(spark, sf_dir):
+    """X1 over character references made from the page id, inside every page's url as text."""
+    p = fx.table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    names = F.array(*[F.lit(x) for x in ("amp", "AMP", "nbsp", "ensp", "emsp", "thinsp", "Tab", "NewLine", "lt", "hellip")])
+    html = F.concat(F.lit("<p>x&#"), (n % 300).cast("string"), F.lit(";y&#x"), F.hex(n % 12400), F.lit(";z&"),
+                    F.get(names, (n % 10).cast("int")), F.lit(";w &#"), (n % 90 + 38).cast("string"), F.lit(" &amp;lt; & &;</p>"),
+                    F.col("url"))
+    return p.select("page_id", clean_html(html).alias("description"))
 
 
 @query("page_descriptions")
@@ -188,6 +211,12 @@ def q_extract_skills(spark, sf_dir):
     return extract_skills(docs, "doc_id", "text", fx.skill_dictionary(spark, sf_dir))
 
 
+@query("extract_skills_short")
+def q_extract_skills_short(spark, sf_dir):
+    """M1 with one-letter and symbol phrases: c, c++, t###, "c t"."""
+    return extract_skills(fx.table(spark, sf_dir, "documents"), "doc_id", "text", fx.short_skills(spark, sf_dir))
+
+
 @query("similar_titles")
 def q_similar_titles(spark, sf_dir):
     """F4 + X7: every title pair with stdlib similarity ratio >= 0.7 (query first)."""
@@ -346,11 +375,8 @@ def q_snapshot_limit(spark, sf_dir):
 
 @query("table_bytes")
 def q_table_bytes(spark, sf_dir):
-    """Logical text bytes per column and in total (numbers counted as their text)."""
-    p = fx.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return p.agg(*[F.sum(F.octet_length(F.col(c).cast("string"))).cast("bigint").alias(f"{c}_bytes")
-                   for c in p.columns],
-                 F.count(F.lit(1)).alias("rows"))
+    """Text bytes per column of ``part`` and in total (numbers counted as their text)."""
+    return dl.text_bytes(fx.table(spark, sf_dir, "part"))
 
 
 # --- sinks and flows --------------------------------------------------------------------
@@ -398,9 +424,33 @@ def q_courses_gold_load(spark, sf_dir):
     return spark.read.table(f"{db}.coursewithdescription")
 
 
+@query("flow_summary")
+def q_flow_summary(spark, sf_dir):
+    """M9 + A9 + S8 as the flows report them, each over a landing with page 1 left out."""
+    db = _scratch_db(spark)
+    skills = fx.skill_dictionary(spark, sf_dir)
+    jobs = etl.run_jobs(spark, land.land_job_pages(spark, sf_dir, skip_page=1), land.land_job_details(spark, sf_dir),
+                        scratch_path(spark, "bronze-jobs"), skills, f"{db}.jobsdata", f"{db}.jobswithdescription",
+                        as_of="2024-01-15")
+    courses = etl.run_courses(spark, land.land_course_pages(spark, sf_dir, skip_page=1), skills, f"{db}.courseData",
+                              f"{db}.coursewithdescription", as_of="2024-01-15")
+    return (jobs.frame(spark).withColumn("flow", F.lit("jobs"))
+            .unionByName(courses.frame(spark).withColumn("flow", F.lit("courses"))))
+
+
+@query("jobs_newest_keyword")
+def q_jobs_newest_keyword(spark, sf_dir):
+    """M5 with F7 and T4: the 300 newest postings with "plate" in the title; their silver rows."""
+    db = _scratch_db(spark)
+    etl.run_jobs(spark, land.land_job_pages(spark, sf_dir), land.land_job_details(spark, sf_dir),
+                 scratch_path(spark, "bronze-jobs"), fx.skill_dictionary(spark, sf_dir), f"{db}.jobsdata",
+                 f"{db}.jobswithdescription", as_of="2024-01-15", keyword="Plate", newest=300)
+    return spark.read.table(f"{db}.jobsdata").select("job_id", "title", F.col("load_date").cast("string"))
+
+
 @query("serving_export")
 def q_serving_export(spark, sf_dir):
-    """M7 + K4 + S6: gold courses -> serving tables -> loaded back; postings per course."""
+    """M7 + K4 + S6: gold courses and all jobs -> serving tables -> loaded back; terms per course, jobs served."""
     db = _scratch_db(spark)
     skills = fx.skill_dictionary(spark, sf_dir)
     etl.run_courses(spark, land.land_course_pages(spark, sf_dir), skills, f"{db}.courseData",
@@ -411,9 +461,10 @@ def q_serving_export(spark, sf_dir):
     etl.export_serving(spark, spark.read.table(f"{db}.coursewithdescription"), jobs_gold, root)
     sv = src.load_serving(spark, root)
     n = sv["postings"].groupBy(F.col("course_id").alias("referenceNumber")).agg(F.count(F.lit(1)).alias("n_terms"))
+    served = sv["jobs"].select(F.countDistinct("jobPostId")).scalar()
     return (sv["courses"].join(n, "referenceNumber", "left")
               .select("referenceNumber", "title", "combined_features",
-                      F.coalesce("n_terms", F.lit(0)).cast("bigint").alias("n_terms")))
+                      F.coalesce("n_terms", F.lit(0)).cast("bigint").alias("n_terms"), served.alias("n_jobs")))
 
 
 @query("feedback_append")
