@@ -39,10 +39,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
-    """_row, doc_id, source, size, h (shuffle order), written once."""
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    """_row, doc_id, source, tie (text hash), size, h (shuffle order), written once."""
     rows = docs.select(
-        row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.monotonically_increasing_id().alias("_row"), F.xxhash64(text_or_empty()).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.size(F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0))).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
     return materialize(rows, docs.sparkSession, "mix-sizes")
@@ -74,7 +73,7 @@ def _same_source(a: str, b: str) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: str = "mix-1-",
         cell: int = 500) -> DataFrame:
-    """One row per document: _row, doc_id, size, source_size, target, copies, taken (= copies * size)."""
+    """One row per document: doc_id, source, tie, size, source_size, target, copies, taken (= copies * size)."""
     spark = docs.sparkSession
     own = sized(docs, seed)
     n = own.count()
@@ -90,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
     inside = Window.partitionBy("o.source", "o.digits").orderBy("h", "doc_id", "_row") \
                    .rowsBetween(Window.unboundedPreceding, 0)
     queued = (own.alias("o").join(cells.alias("c"), _same_source("o", "c") & (F.col("o.digits") == F.col("c.digits")))
-                 .select("_row", "doc_id", "size", "h", "source_size", "target",
+                 .select("_row", "doc_id", "o.source", "tie", "size", "h", "source_size", "target",
                          (F.col("cell_start") + F.sum("size").over(inside)).alias("served")))
     queued = materialize(queued, spark, "mix-queued")
     copies = (queued.where("size > 0").withColumn("e", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
@@ -109,13 +108,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
                    .withColumn("total", F.col("part_start") + F.sum("size").over(run))
                    .where(F.col("total") <= budget).groupBy("_row").agg(F.count(F.lit(1)).alias("copies")))
     return queued.join(taken, "_row", "left").select(
-        "_row", "doc_id", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"),
+        "doc_id", "source", "tie", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"),
         (F.coalesce("copies", F.lit(0)) * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: the rows of ``docs`` that are taken, once per copy, all columns unchanged."""
-    kept = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), docs.sparkSession, "mix-rows")
-    copies = mix(kept, **options).where("copies > 0").select("_row", "copies")
-    return (kept.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-                .select(*docs.columns))
+    """The mixture itself: the rows of ``docs`` that are taken, once per copy, all columns unchanged.
+
+    Rows meet their copies by (doc_id, source, text hash), in one shuffle of ``docs``; rows that agree in all
+    three share the sum of their copies evenly, the first ones one more where it does not divide."""
+    key = ["_id", "_source", "_tie"]
+
+    def text(c: str) -> Column:
+        return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+    taken = (mix(docs, **options).groupBy(text("doc_id").alias("_id"), text("source").alias("_source"),
+                                          F.col("tie").alias("_tie"))
+             .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"))
+    keyed = docs.select("*", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("long").cast("string")), F.lit(""))
+                        .alias("_id"), text("source").alias("_source"), F.xxhash64(text_or_empty()).alias("_tie"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("_tie"))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_number") <= F.col("_copies") % F.col("_rows")).cast("int")
+    return (keyed.join(taken, key).withColumn("_number", number)
+                 .withColumn("_copy", F.explode(F.when(share > 0, F.sequence(F.lit(1).cast("long"), share))))
+                 .select(*docs.columns))
