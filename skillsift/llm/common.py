@@ -103,41 +103,26 @@ class Pieces(dict):
         return out
 
 
-class Words(dict):
-    """Word of a plain text -> ids of its pieces; kept if at most ``max_len`` long."""
-
-    def __init__(self, pieces: Pieces) -> None:
-        super().__init__()
-        self.pieces = pieces
-
-    def __missing__(self, word: str) -> bytes:
-        out = b"".join(map(self.pieces.__getitem__, PIECES.findall(word)))
-        if len(word) <= self.pieces.max_len:
-            self[word] = out
-        return out
-
-
 class WordEncoder:
     """Whole-text encoding with the tokenizers library, one library call per distinct piece.
 
     A plain text (``PLAIN_TEXT``, no special token) is split by the tokenizer's own pattern and each
-    distinct piece goes once to the library's BPE model (a second cache keeps whole words). Any other text is cut at ASCII white space, which
+    distinct piece goes once to the library's BPE model. Any other text is cut at ASCII white space, which
     the pattern never crosses and which belongs to no combining sequence; its plain words go the same way
     and its other words through the library's whole pipeline. The ids are those of encoding the whole
-    text (tested). The caches are emptied when they hold ``max_pieces`` and keep nothing longer than
+    text (tested). The cache is emptied when it holds ``max_pieces`` and keeps nothing longer than
     ``max_len`` characters, so memory is bounded.
     """
 
-    def __init__(self, path: str, max_pieces: int = 800_000, max_len: int = 64) -> None:
+    def __init__(self, path: str, max_pieces: int = 1_500_000, max_len: int = 64) -> None:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.max_pieces = max_pieces
-        self.pieces = Pieces(self.tok.model, max_len)
-        self.cache = Words(self.pieces)
+        self.cache = Pieces(self.tok.model, max_len)
         self.end = np.array([END_ID], "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, text.lower().split()))
+        return b"".join(map(self.cache.__getitem__, PIECES.findall(text.lower())))
 
     def _other(self, text: str) -> bytes:
         out: list[bytes | None] = []
@@ -156,9 +141,8 @@ class WordEncoder:
         """Per text: its ids, then the end id, as little-endian unsigned 32-bit integers."""
         out = []
         for v in views:
-            for held in (self.cache, self.pieces):
-                if len(held) > self.max_pieces:
-                    held.clear()
+            if len(self.cache) > self.max_pieces:
+                self.cache.clear()
             text = str(v, "utf-8")
             plain = "<|" not in text and PLAIN_TEXT.fullmatch(text)
             out.append((self._plain(text) if plain else self._other(text)) + self.end)

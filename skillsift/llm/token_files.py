@@ -79,8 +79,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             up = np.empty_like(out)
             z = self.zeros[level]
-            up[~one] = out[:z]
-            up[one] = out[z:] | (1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~one)] = out[:z]
+            up[np.flatnonzero(one)] = out[z:] | out.dtype.type(1 << (len(self.planes) - 1 - level))
             out = up
         return self.distinct[out] if self.n else np.zeros(0, np.uint32)
 
@@ -231,7 +231,7 @@ def _writer(folder: str, tokenizer: str, shard_ids: int):
     return write
 
 
-def write_shards(docs: DataFrame, tokenizer: str, shard_ids: int = 4_000_000,
+def write_shards(docs: DataFrame, tokenizer: str, shard_ids: int = 2_000_000,
                  folder: str | None = None) -> DataFrame:
     """Write all of ``docs`` (doc_id, text) as shard files; the manifest: part, seq, path, docs, ids.
 
