@@ -121,9 +121,15 @@ def split_hot_join(big: DataFrame, dim: DataFrame, key: str, freq_col: str, cols
 def fit_idf(courses: DataFrame, id_col: str, text_col: str, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
     """A5 alone: ``(term, df, idf)`` from one pass over the texts, no postings.
 
-    Rows of one id are one document: a term counts once per id, N counts distinct ids."""
-    n_docs = courses.select(F.countDistinct(id_col)).scalar()
-    return fit_vocabulary(doc_term_tf(courses, id_col, text_col, ngram_range), n_docs)
+    Rows of one id are one document: a term counts once per id, N counts distinct ids. Where the ids are
+    unique (one aggregate over the id column), each row's distinct terms are counted as they are."""
+    st = courses.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(id_col).alias("ids")).first()
+    if st["rows"] == st["ids"]:
+        tok = courses.select(tokens(text_col).alias("_tok"))
+        tf = tok.select(F.explode(F.array_distinct(analyzed_terms(F.col("_tok"), ngram_range))).alias("term"))
+    else:
+        tf = doc_term_tf(courses, id_col, text_col, ngram_range)
+    return fit_vocabulary(tf, F.lit(st["ids"]))
 
 
 def fit_course_index(courses: DataFrame, id_col: str, text_col: str, ngram_range: tuple[int, int] = (1, 1),
