@@ -39,7 +39,8 @@ ASSIGN_MIN, ACCESS_MIN = 6, 20
 
 KEY_ID = ("(?i)(?:access_?key_?id|client_?id|account_?id|user_?id|user_?name|user|login)"
           "[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9@._-]{3,}")
-OPAQUE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}"
+# A run after "=" starts a new value: KEY=value, ?key=value.
+OPAQUE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}"
 ENDPOINT = ("(?i)(?:https?|ftp|ssh|amqps?|rediss?|mysql|postgres(?:ql)?|mongodb(?:\\+srv)?|jdbc:[a-z]+)"
             "://[^\\s\"'<>|,;]+")
 
