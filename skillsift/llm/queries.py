@@ -44,7 +44,7 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base kinds, and weak candidates whose complementary parts are near."""
     from .secrets import find_secrets
-    return find_secrets(table(spark, sf_dir, "documents"))
+    return find_secrets(table(spark, sf_dir, "documents"), gaps=True)
 
 
 def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,17 @@ Base kinds are reported wherever they match (leftmost, not overlapping within a
 secret, token or api key given a value of 6+ characters), ``access`` (an AKIA identifier of 20+ characters)
 and ``hex`` (a run of 24+ lower-case hex digits). Weak kinds mean nothing alone: ``key_id`` (a user, account,
 client or access-key id given a value), ``opaque`` (a 32+ character run with both cases and digits) and
-``endpoint`` (a service address). A weak span is reported only if complementary parts start within ``scope`` code
+``endpoint`` (a service address). A weak span is reported only if complementary parts lie within ``scope`` code
 points of it: a key_id needs a secret (assign, hex or opaque), an opaque needs an identifier (access or
-key_id), an endpoint needs both a secret and an identifier.
+key_id), an endpoint needs both a secret and an identifier. With ``gaps``, as in the registered query and the
+pipeline, the distance is what lies between two spans (0 if they touch or overlap), so long parts and long
+lines of a credentials block do not count; without, it is that of their starts. 200 code points between two spans
+are two or three lines of other settings; parts further apart than that are left unlinked.
 
-Linking is an interval join in bins of ``scope`` code points: per (text, bin, role) only the smallest and
-largest start are kept; a weak span meets its own and the two neighbouring bins, where those two values decide
-exactly whether some part lies in reach. So every span joins at most three rows a role, however many parts a
-text holds.
+Linking is an interval join in bins of ``scope`` code points: per (text, bin, role) only the smallest start and
+the largest end (start) of the parts that touch the bin are kept; a weak span meets the bins its reach touches,
+where those two values decide exactly whether some part lies in reach. So a span joins as many rows a role as its
+length plus twice the scope has bins, however many parts a text holds.
 
 Spans are [start, end) in code points, written kind:start:end, by start and then in the order of KINDS.
 
@@ -94,17 +97,24 @@ def _role(kinds: tuple[str, ...]) -> Column:
     return F.col("kind").isin([KINDS.index(k) for k in kinds])
 
 
-def link(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
-    """Base spans, and weak spans with complementary parts in reach: keys, kind, start, end."""
-    binned = parts.withColumn("bin", F.floor(F.col("start") / scope))
-    ends = binned.where(F.col("kind") != KINDS.index("endpoint")).groupBy(*keys, "bin").agg(*[
-        f(F.when(_role(r), F.col("start"))).alias(f"{n}_{m}")
-        for n, r in (("s", SECRET), ("i", IDENTIFIER)) for m, f in (("min", F.min), ("max", F.max))])
-    weak = binned.where(F.col("kind") >= len(BASE)).withColumn(
-        "bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+def link(parts: DataFrame, keys: list[str], scope: int, gaps: bool = False) -> DataFrame:
+    """Base spans, and weak spans with complementary parts in reach: keys, kind, start, end.
+
+    Reach: starts at most ``scope`` apart or, with ``gaps``, at most ``scope`` code points between the spans."""
+    def bins(lo: Column, hi: Column) -> Column:
+        return F.explode(F.sequence(F.floor(lo / scope), F.floor(hi / scope))).alias("bin")
+
+    start, end = F.col("start"), F.col("end")
+    far, last = (end, end - 1) if gaps else (start, start)
+    ends = parts.where(F.col("kind") != KINDS.index("endpoint")).select("*", bins(start, last)) \
+                .groupBy(*keys, "bin").agg(*[
+                    f(F.when(_role(r), c)).alias(f"{n}_{m}") for n, r in (("s", SECRET), ("i", IDENTIFIER))
+                    for m, f, c in (("min", F.min, start), ("max", F.max, far))])
+    weak = parts.where(F.col("kind") >= len(BASE)).select(
+        "*", bins(start - scope - int(gaps), far + scope))
 
     def reach(n: str) -> Column:
-        return F.max((F.col(f"{n}_min") <= F.col("start") + scope) & (F.col(f"{n}_max") >= F.col("start") - scope))
+        return F.max((F.col(f"{n}_min") <= far + scope) & (F.col(f"{n}_max") >= F.col("start") - scope))
 
     span = [*keys, "kind", "start", "end"]
     near = weak.join(ends, [*keys, "bin"]).groupBy(*span).agg(reach("s").alias("s"), reach("i").alias("i"))
@@ -121,14 +131,14 @@ def spelled(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
+def find_secrets(docs: DataFrame, scope: int = 200, gaps: bool = False) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"),
                        text_or_empty().alias("text"))
     scanned = scan(rows, ["_row", "doc_id"])
     parts = part_rows(scanned, ["_row"])
     spans = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
-    per_row = link(parts, ["_row"], scope).groupBy("_row").agg(spans.alias("found"))
+    per_row = link(parts, ["_row"], scope, gaps).groupBy("_row").agg(spans.alias("found"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     every = scanned.select("_row", "doc_id").join(per_row, "_row", "left") \
                    .withColumn("found", F.coalesce("found", none))
@@ -143,7 +153,7 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
         F.size(F.filter("found", lambda s: s["kind"] >= len(BASE))).cast("long").alias("n_linked"))
 
 
-def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]", gaps: bool = False) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``mark`` (overlapping spans by one).
 
     ``n_chars``, where the table has it, follows the new text; texts without spans stay as they are."""
@@ -153,7 +163,7 @@ def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFra
     found = keyed.select(*key, text_or_empty().alias("text")).where(
         F.greatest(*[F.col("text").rlike(PATTERNS[k]) for k in KINDS]))
     parts = part_rows(scan(found, key).dropDuplicates(key), key)
-    spans = link(parts, key, scope)
+    spans = link(parts, key, scope, gaps)
     order = Window.partitionBy(*key).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     isle = spans.withColumn("new", (F.col("start") >= F.coalesce(reach, F.lit(0))).cast("int")) \

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -141,6 +142,42 @@ def test_secrets_after_equals_signs(spark):
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == [t for _, _, t in rows]
 
 
+def brute_gaps(text, scope):
+    """All pairs of parts, by what lies between them."""
+    parts = [(s, secrets.KINDS.index(k), e) for k in secrets.KINDS for s, e in matches(text, k)]
+
+    def near(s, e, kinds):
+        return any(secrets.KINDS[k] in kinds and max(t - e, s - u) <= scope for t, k, u in parts)
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(parts) if k < 3 or (
+        k == 5 or near(s, e, secrets.IDENTIFIER if k == 4 else secrets.SECRET)) and (
+        k != 5 or near(s, e, secrets.SECRET) and near(s, e, secrets.IDENTIFIER)))
+
+
+def test_secrets_by_gaps(spark):
+    long = "aB3" * 90                                                                       # 270 code points
+    literal = [
+        (f"{long} client_id: abc", "opaque:0:270,key_id:271:285"),
+        (f"client_id: abc{' ' * 200}{long}", "key_id:0:14,opaque:214:484"),                 # 200 between
+        (f"client_id: abc{' ' * 201}{long}", ""),
+        (f"{long}{' ' * 200}client_id: abc", "opaque:0:270,key_id:470:484"),
+        (f"{long}{' ' * 201}client_id: abc", ""),
+        (f"token={'.' * 500}user=bob{'.' * 500}", "assign:0:1014,key_id:506:1014"),
+        (f"https://h.io/{'x' * 300} user=bob password=abcdef", "endpoint:0:313,key_id:314:322,assign:323:338"),
+    ]
+    rng = random.Random(3)
+    chunks = ["password=", "abcdef", "AKIA", "ABCDEFGH12345678", " ", "é", "🙂", "user=", "\n", "Ab1" * 12, "https://h.io/x",
+              "0123456789abcdef01234567", " " * 3, "." * 9]
+    texts = [t for t, _ in literal] + ["".join(rng.choices(chunks, k=rng.randint(0, 25))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.spans for r in secrets.find_secrets(df, gaps=True).orderBy("doc_id").collect()]
+    assert got[:len(literal)] == [s for _, s in literal]
+    assert got == [brute_gaps(t, 200) for t in texts]
+    got = [r.spans for r in secrets.find_secrets(df, scope=7, gaps=True).orderBy("doc_id").collect()]
+    assert got == [brute_gaps(t, 7) for t in texts]
+    clean = secrets.redact(df.limit(1), gaps=True).first().text
+    assert clean == "[SECRET] [SECRET]"
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------
 
 def brute_targets(sizes, repeats=3):
