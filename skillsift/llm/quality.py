@@ -5,11 +5,12 @@ symbols, other scripts, control): the square roots of the shares of all neighbou
 ratios (distinct words, distinct lines, most frequent word, word length, size). A text labelled good is
 preferred to one labelled bad; weights maximise sum log sigmoid(w . (x_good - x_bad)) - ``ridge`` |w|^2 / 2 over
 ``pairs`` random preference pairs, by Newton steps. The learned score is w . x; the threshold is the quantile
-of the learning texts' scores at the share of bad labels, and the reported score is the logistic of the distance
+of the scores of all usable labelled texts at their share of bad labels, and the reported score is the logistic of the distance
 to it, placed so that the quantile itself scores ``cut``: predicted is 1 exactly if the score is ``cut`` or more.
 
-Learning reads at most ``max_rows`` labelled texts, the first in the order of a hash of doc_id (a documented bound:
-``max_rows`` rows of about 150 numbers reach the driver); scoring covers every row. Labels, lang, source and
+The weights are fitted on at most ``max_rows`` labelled texts, the first in the order of a hash of doc_id (a
+documented bound: ``max_rows`` rows of about 150 numbers reach the driver); the threshold and the scoring cover
+every row. Labels, lang, source and
 doc_id are no features.
 
 Cases: null text = empty text (its features are 0, it is scored); a null doc_id has no label and hashes as the empty
@@ -17,7 +18,8 @@ text; several labels of one doc_id count as their smallest, null labels as none;
 labels all weights are 0 and every text scores above ``cut``; an empty table gives no rows; other columns are
 not read by ``score_quality`` and returned unchanged by ``keep_good``.
 
-Plan: the labelled sample is broadcast (at most ``max_rows`` ids), so no text is shuffled; scoring is one pass.
+Plan: the labelled sample is broadcast (at most ``max_rows`` ids), so no text is shuffled; the threshold takes one
+pass that scores the usable texts and joins the labels by doc_id; scoring is one pass.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import byte_words, slices, text_or_empty, value_views
 
 KINDS = 12
+RANKS = 100_000
 
 
 def _kinds() -> np.ndarray:
@@ -80,11 +84,15 @@ class Ranker:
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, quantile: float, cut: float) -> None:
         self.weights = weights / scale
-        self.shift = float(mean @ self.weights) + quantile
+        self.shift = float(mean @ self.weights) + quantile          # the raw score that is reported as ``cut``
         self.cut, self.offset = cut, math.log(cut / (1 - cut))
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """w . x, summed row by row: the same for a text whatever batch it is in."""
+        return (x.astype(np.float64) * self.weights).sum(1)
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip(x.astype(np.float64) @ self.weights - self.shift + self.offset, -36, 36)
+        z = np.clip(self.raw(x) - self.shift + self.offset, -36, 36)
         return 1 / (1 + np.exp(-z))
 
 
@@ -114,18 +122,42 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = 40_000, ridge: float
     return Ranker(mean, scale, w, quantile, cut)
 
 
+def _raw(ranker: Ranker):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            x = np.array([features(v) for v in value_views(b.column("text"))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ranker.raw(x))], ["doc_id", "raw"])
+    return run
+
+
+def threshold(docs: DataFrame, known: DataFrame, usable: Column, ranker: Ranker) -> float | None:
+    """Raw score below which the share of bad labels of all labelled texts lies; None without labelled texts.
+
+    ``known``: one label per usable doc_id. The quantile's rank is exact to one in ``RANKS`` of the labelled texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")) \
+               .where(F.col("doc_id").isNotNull() & usable)
+    raw = rows.mapInArrow(_raw(ranker), "doc_id bigint, raw double").join(known, "doc_id").select("label", "raw")
+    raw = materialize(raw, docs.sparkSession, "labelled-scores")
+    bad = raw.agg(F.avg((F.col("label") != 1).cast("double"))).first()[0]
+    return None if bad is None else raw.agg(F.percentile_approx("raw", F.lit(bad), F.lit(RANKS))).first()[0]
+
+
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = 12_000, **options) -> Ranker:
     """Ranker from the labelled rows of ``docs`` for which ``usable`` (a condition on doc_id) holds."""
     h = F.xxhash64(F.lit("label"), "doc_id")
-    sample = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-                    .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & usable)
-                    .groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(h, "doc_id").limit(max_rows))
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+                   .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & usable)
+                   .groupBy("doc_id").agg(F.min("label").alias("label")))
+    sample = known.orderBy(h, "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     got = (rows.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")      # max_rows rows at most
                .mapInArrow(_extract, "doc_id bigint, label int, x binary")
                .orderBy(h, "doc_id", "x").limit(max_rows).toArrow())
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, KINDS * KINDS + 6)
-    return fit_pairs(x, got.column("label").to_numpy() == 1, **options)
+    ranker = fit_pairs(x, got.column("label").to_numpy() == 1, **options)
+    if ranker.weights.any():
+        ranker.shift = threshold(docs, known, usable, ranker)
+    return ranker
 
 
 def _apply(ranker: Ranker):

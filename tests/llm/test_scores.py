@@ -146,6 +146,18 @@ def test_held_out_quality(labelled):
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_threshold_covers_all_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    ranker = quality.learn(docs, labels, id_remainder() != 0, max_rows=60)
+    label = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = [(r.text or "", label[r.doc_id]) for r in docs.collect() if label.get(r.doc_id) is not None]
+    assert len(rows) > 200
+    raw = np.sort(ranker.raw(np.array([quality.features(memoryview(t.encode())) for t, _ in rows])))
+    bad = sum(q != 1 for _, q in rows)
+    assert raw[max(0, bad - 2)] <= ranker.shift <= raw[min(bad + 1, len(raw) - 1)]
+
+
 def test_quality_ignores_all_but_the_text(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     ranker = quality.learn(documents, labels, id_remainder() != 0)
