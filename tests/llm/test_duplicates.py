@@ -213,3 +213,45 @@ def test_near_links(spark, documents):
     for r in links:
         same = sum(x == y for x, y in zip(rows[r.a], rows[r.b])) / ee.SLOTS
         assert r.likeness == pytest.approx(max(0.0, (same - 1 / 16) / (15 / 16))) and r.likeness >= 0.6
+
+
+def agreeing(rng, fp, places):
+    """``fp`` with another digit everywhere but at ``places``."""
+    return "".join(c if i in places else rng.choice([x for x in "0123456789abcdef" if x != c]) for i, c in enumerate(fp))
+
+
+def all_alike(fps, least=0.6):
+    out = set()
+    for (i, x), (j, y) in itertools.combinations(sorted(fps.items()), 2):
+        if (sum(a == b for a, b in zip(x, y)) / ee.SLOTS - 1 / 16) / (15 / 16) >= least:
+            out.add((i, j))
+    return out
+
+
+def test_near_links_behind_a_dissimilar_text(spark):
+    """B and C share only the first band's digits in a row, where the dissimilar A has the smallest id."""
+    rng = random.Random(6)
+    b = "".join(rng.choices("0123456789abcdef", k=ee.SLOTS))
+    c = agreeing(rng, b, {i for i in range(ee.SLOTS) if i < 8 or i % 8 > 1})
+    fps = {1: agreeing(rng, b, set(range(8))), 2: b, 3: c}
+    df = spark.createDataFrame(list(fps.items()), "doc_id long, fingerprint string")
+    assert all_alike(fps) == {(2, 3)}
+    assert {(r.a, r.b) for r in ee.near_links(df).collect()} == {(2, 3)}
+    got = {r.fingerprint: r.component_id for r in ee.near_groups(df).collect()}
+    assert got == {fps[1]: 1, b: 2, c: 2}
+
+
+def test_near_links_recall(spark):
+    """Pairs at the least likeness, and a chain of them, against all pairs."""
+    rng, fps = random.Random(8), {}
+    for k in range(200):
+        x = "".join(rng.choices("0123456789abcdef", k=ee.SLOTS))
+        fps[2 * k], fps[2 * k + 1] = x, agreeing(rng, x, set(rng.sample(range(ee.SLOTS), 81)))
+    for k in range(400, 406):
+        fps[k] = agreeing(rng, fps[k - 1], set(rng.sample(range(ee.SLOTS), 112)))
+    df = spark.createDataFrame(list(fps.items()), "doc_id long, fingerprint string")
+    want, got = all_alike(fps), {(r.a, r.b) for r in ee.near_links(df).collect()}
+    assert len(want) >= 206 and got <= want and len(got) > 0.88 * len(want)
+    roots = {r.fingerprint: r.component_id for r in ee.near_groups(df).collect()}
+    assert len(roots) == len(fps) and {roots[fps[k]] for k in range(400, 406)} == {roots[fps[399]]}
+    assert all(roots[fps[i]] == roots[fps[j]] for i, j in got)
