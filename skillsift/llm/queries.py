@@ -79,10 +79,28 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, ranker, id_remainder() == 0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, keeps and hides, per source, in all 120 orders."""
+    from .filter_audit import audit
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in as few sequences of at most 4096 ids as the plan finds."""
+    from .complement_packing import pack_whole
+    return pack_whole(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words and the forms they are variants of."""
+    from .spelling import variant_groups
+    return variant_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_no_random_access_topk, op2_chunked_warc, op3_class_ngrams, op4_wavelet_tokens, op5_multipart_secrets,
     op6_covering_simhash, op7_edit_embedding, op8_fair_queueing_mix, op9_order_preserving_packing,
-    op10_pairwise_quality)}
+    op10_pairwise_quality, op11_filter_audit, op12_exact_complement_packing, op13_spelling_variants)}
 
 # DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
@@ -143,4 +161,46 @@ SQL: dict[str, str] = {
         k AS (SELECT doc_id, count(*) AS copies FROM r WHERE total <= (SELECT sum(size) FROM d) GROUP BY doc_id)
         SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(k.copies, 0) * q.size AS BIGINT) AS taken
         FROM q LEFT JOIN k ON q.doc_id IS NOT DISTINCT FROM k.doc_id""",
+    "op11_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        f AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                     max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        m AS (
+            SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+                   CASE WHEN len(d.w) < 50 THEN 1 ELSE 0 END
+                   + CASE WHEN 100 * len(list_distinct(d.w)) < 65 * len(d.w) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * (length(d.text) - length(regexp_replace(d.text, '[A-Z]', '', 'g')))
+                               > 5 * length(d.text) THEN 4 ELSE 0 END
+                   + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END
+                   + CASE WHEN d.doc_id > f.first_id THEN 16 ELSE 0 END AS mask
+            FROM d JOIN f ON d.text = f.text LEFT JOIN l ON d.doc_id = l.doc_id),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+        s AS (SELECT p.part, r.s, coalesce(sum(c.n), 0) AS n, coalesce(sum(c.good), 0) AS good,
+                     coalesce(sum(c.toxic), 0) AS toxic
+              FROM (SELECT DISTINCT part FROM c) p CROSS JOIN range(0, 32) r(s)
+              LEFT JOIN c ON c.part = p.part AND (c.mask & r.s) = 0 GROUP BY p.part, r.s),
+        b AS (SELECT * FROM (VALUES ('A', 1, 0), ('B', 2, 1), ('C', 4, 2), ('D', 8, 3), ('E', 16, 4)) v(letter, bit, i)),
+        o AS (SELECT b1.letter || b2.letter || b3.letter || b4.letter || b5.letter AS filter_order
+              FROM b b1, b b2, b b3, b b4, b b5
+              WHERE b1.bit | b2.bit | b3.bit | b4.bit | b5.bit = 31),
+        t AS (SELECT o.filter_order, k.step, b.bit,
+                     (SELECT coalesce(sum(x.bit), 0) FROM b x
+                      WHERE strpos(o.filter_order, x.letter) < k.step) AS before
+              FROM o, range(1, 6) k(step), b WHERE b.letter = substr(o.filter_order, k.step, 1)),
+        g AS (SELECT c.part, b.bit, coalesce(sum(CASE WHEN c.mask & b.bit <> 0 THEN c.n END), 0) AS failing,
+                     coalesce(sum(CASE WHEN c.mask = b.bit THEN c.n END), 0) AS alone
+              FROM c, b GROUP BY c.part, b.bit),
+        r AS (SELECT u.part, t.filter_order, t.step, t.bit, v.n AS kept, u.n - v.n AS removed,
+                     u.good - v.good AS good_lost, u.toxic - v.toxic AS toxic_lost
+              FROM t JOIN s u ON u.s = t.before JOIN s v ON v.s = t.before + t.bit AND v.part = u.part)
+        SELECT r.part, r.filter_order, CAST(r.step AS INTEGER) AS step, CAST(r.kept AS BIGINT) AS kept,
+               CAST(r.removed AS BIGINT) AS removed, CAST(g.failing - r.removed AS BIGINT) AS redundant,
+               CAST(g.alone AS BIGINT) AS unique_fails, CAST(r.good_lost AS BIGINT) AS good_lost,
+               CAST(r.toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(r.removed) OVER (PARTITION BY r.part, r.bit) AS BIGINT) AS shapley
+        FROM r JOIN g ON g.part = r.part AND g.bit = r.bit""",
 }
