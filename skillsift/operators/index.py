@@ -75,10 +75,14 @@ def terms_text(top: DataFrame, group_cols: list[str] | tuple = (), sep: str = ",
 @dataclass
 class CourseIndex:
     """Fitted course index: postings ``(course_id, term, tf, weight)`` and
-    vocabulary ``(term, df, idf)``; ``ngram_range`` is the analyzer setting."""
+    vocabulary ``(term, df, idf)``; ``ngram_range`` is the analyzer setting. With blocks
+    (``operators.blocks``) also ``blocked`` ``(block, course_id, term, weight)`` and ``maxima``
+    ``(term, block, most)``."""
     postings: DataFrame
     vocab: DataFrame
     ngram_range: tuple[int, int] = (1, 1)
+    blocked: DataFrame | None = None
+    maxima: DataFrame | None = None
 
 
 def doc_term_tf(docs: DataFrame, id_col: str, text_col: str,

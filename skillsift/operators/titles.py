@@ -49,11 +49,10 @@ def keyword_filter(df: DataFrame, keyword: str | None, title_col: str = "title")
     return df.filter(contains_ci(F.col(title_col), F.lit(keyword)))
 
 
-def _max_title_len(titles: DataFrame) -> Column:
-    return titles.select(F.max(F.length(F.lower("title")))).scalar()
-
-
-Q = 3  # q-gram length of the substring filter
+# Titles longer than this are not cut into substrings (their number grows with the square of the length); only
+# requests of nearly that length can match them, and those go by trigram.
+LONG_TITLE = 256
+Q = 3  # q-gram length of that filter
 
 
 def _qgrams(text: Column) -> Column:
@@ -63,46 +62,66 @@ def _qgrams(text: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def shortest_match(title_length: Column, threshold: float) -> Column:
+    """Least length of a contained query with ratio 2q/(q+t) >= threshold: ceil(t * threshold / (2 - threshold)).
+
+    Taken a hair lower against float rounding; every hit is verified by the ratio itself."""
+    return F.greatest(F.ceil(title_length * F.lit(threshold / (2.0 - threshold)) - F.lit(1e-9)), F.lit(0)).cast("int")
+
+
+def title_substrings(titles: DataFrame, lengths: list[int], threshold: float) -> DataFrame:
+    """``(title, lq)``: every distinct substring of a lower-cased title that is long enough to match it, of the
+    lengths that requests have."""
+    x = titles.withColumn("_lt", F.lower("title"))
+    wanted = F.filter(F.lit(lengths).cast("array<int>"), lambda n: (n >= shortest_match(F.length("_lt"), threshold)) & (n <= F.length("_lt")))
+    cut = F.transform(wanted, lambda n: F.transform(F.sequence(F.lit(1), F.length("_lt") - n + 1),
+                                                    lambda i: F.substring(F.col("_lt"), i, n)))
+    return x.select("title", F.explode(F.array_distinct(F.flatten(cut))).alias("lq"))
+
+
 def match_titles(requests: DataFrame, titles: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                 broadcast_rows: int = 16) -> DataFrame:
+                 broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(query_id, query, title)`` for every distinct request and every distinct title it matches.
 
     ``requests``: ``(query_id, query)``; ``titles``: a ``title`` column; repeats of either
-    are folded first. A handful of requests is broadcast and the titles streamed past
-    it (no shuffle of titles).
-
-    More requests use an exact substring filter instead of comparing all
-    pairs: a query contained in a title shares every character trigram with it,
-    so each query probes the titles only through its *rarest* trigram (an
-    equi-join on the trigram), and candidates are verified. Queries shorter than
-    a trigram can only match titles of length <= len(q)*(2-threshold)/threshold,
-    found by an equi-join on the (tiny) length band.
+    are folded first. One path for any number of requests: a title of length l is matched only by its own substrings
+    of length >= l * t / (2 - t) (21 of them at l = 30, t = 0.9), so those meet the requests in an equi-join on
+    the text. Every meeting is a match, no key is hotter than its matches, and requests proven few are broadcast.
+
+    Titles over ``LONG_TITLE`` characters meet the requests long enough to match them through the rarest trigram of
+    the request instead (an exact filter, verified); requests shorter than a trigram, which only a threshold near 0
+    lets match such titles, through the titles' distinct substrings of their length.
     """
     t = titles.select("title").where(F.col("title").isNotNull()).distinct()
     r = requests.select("query_id", "query").where(F.col("query").isNotNull()).distinct()
-    rb, small = checked_broadcast(r, broadcast_rows)
-    if small:
-        return (t.join(rb, match_ratio_expr(F.col("title"), F.col("query"), threshold))
-                 .select("query_id", "query", "title"))
-    spark = requests.sparkSession
-    lt = t.withColumn("_lt", F.lower("title"))
-    tg = materialize(lt.select("title", F.explode(_qgrams(F.col("_lt"))).alias("g")), spark, "title-qgrams")
+    if threshold > 1:
+        return r.join(t.where(F.lit(False)), r["query"] == t["title"]).select("query_id", "query", "title")
+    rq = materialize(r.withColumn("lq", F.lower("query")), requests.sparkSession, "title-requests")
+    length = F.length("lq")                               # at most LONG_TITLE + 1 distinct values come back
+    asked = rq.agg(F.sort_array(F.collect_set(F.when(length <= LONG_TITLE, length))).alias("ls"),
+                   F.max(length).alias("longest")).first()
+    rb, _ = checked_broadcast(rq, broadcast_rows)
+    short = title_substrings(t.where(F.length(F.lower("title")) <= LONG_TITLE), asked["ls"], threshold).join(rb, "lq") \
+        .where(match_ratio_expr(F.col("title"), F.col("query"), threshold)).select("query_id", "query", "title")
+    if (asked["longest"] or 0) < int(LONG_TITLE * threshold / (2.0 - threshold)):
+        return short
+    long = t.where(F.length(F.lower("title")) > LONG_TITLE)
+    tiny = [n for n in asked["ls"] if n < Q]
+    if tiny:
+        short = short.unionByName(title_substrings(long, tiny, threshold).join(rb, "lq").where(
+            match_ratio_expr(F.col("title"), F.col("query"), threshold)).select("query_id", "query", "title"))
+    return short.unionByName(_match_long(rq.where(length >= Q), long, threshold))
+
+
+def _match_long(asked: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """Long titles: each request (of a trigram at least) probes them through its rarest; candidates are verified."""
+    tg = materialize(titles.select("title", F.explode(_qgrams(F.lower("title"))).alias("g")), asked.sparkSession,
+                     "title-qgrams")
     freq = tg.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    lq = F.length(F.lower("query"))
-    longq = r.where(lq >= Q).withColumn("g", F.explode(_qgrams(F.lower("query"))))
-    rarest = (longq.join(freq, "g")          # a trigram no title has -> no match, row dropped
+    rarest = (asked.withColumn("g", F.explode(_qgrams(F.col("lq")))).join(freq, "g")
                    .groupBy("query_id", "query").agg(F.min_by("g", F.struct("f", "g")).alias("g")))
-    via_gram = (rarest.join(tg, "g")
-                      .where(match_ratio_expr(F.col("title"), F.col("query"), threshold))
-                      .select("query_id", "query", "title"))
-    hi = (F.floor(lq * F.lit((2.0 - threshold) / threshold) + F.lit(1e-9)).cast("int") if threshold > 0
-          else _max_title_len(t))
-    band = (r.where(lq < Q)
-             .withColumn("tlen", F.explode(F.sequence(lq, F.greatest(lq, F.least(hi, _max_title_len(t)))))))
-    via_len = (band.join(lt.withColumn("tlen", F.length("_lt")), "tlen")
-                   .where(match_ratio_expr(F.col("title"), F.col("query"), threshold))
-                   .select("query_id", "query", "title"))
-    return via_gram.unionByName(via_len)
+    return (rarest.join(tg, "g").where(match_ratio_expr(F.col("title"), F.col("query"), threshold))
+                  .select("query_id", "query", "title"))
 
 
 def match_jobs(requests: DataFrame, jobs: DataFrame, threshold: float = DEFAULT_THRESHOLD,

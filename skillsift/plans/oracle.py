@@ -238,6 +238,18 @@ SQL["clean_html_refs"] = f"""WITH p AS (SELECT page_id, '<p>x&#' || (page_id % 3
 SELECT page_id, {clean_html('html')} AS description FROM p"""
 
 SQL["recommend_served"] = recommend_sql(TITLE_REQUESTS, (1, 2), 5)
+SQL["recommend_pruned"] = SQL["recommend_served"]
+SQL["top_terms_served"] = SQL["top_terms"]
+SQL["top_terms_rolled"] = f"""WITH {JOBS},
+req AS (SELECT min(p_partkey) AS query_id, string_split(p_name, ' ')[-1] AS query FROM part GROUP BY 2),
+mtok AS (SELECT r.query_id, {tok('j.skills_extracts')} AS t
+         FROM req r JOIN (SELECT DISTINCT title FROM jobs) t ON {match('t.title', 'r.query', 0.7)}
+         JOIN jobs j ON j.title = t.title),
+grams AS (SELECT query_id, 1::BIGINT AS n, unnest(t) AS term FROM mtok
+          UNION ALL SELECT query_id, 2::BIGINT, unnest({ngram('t', 2)}) FROM mtok),
+cnt AS (SELECT query_id, n, term, count(*) AS cnt FROM grams GROUP BY query_id, n, term)
+SELECT query_id, n, row_number() OVER (PARTITION BY query_id, n ORDER BY cnt DESC, term) AS rank, term, cnt
+FROM cnt QUALIFY rank <= 10"""
 
 SUPPORTED = "(doc_id % 10 = 0 OR DATE '2022-06-01' + CAST(doc_id % 900 AS INTEGER) >= DATE '2024-01-15' - 365)"
 

@@ -18,10 +18,12 @@ from ..functions.text import clean_html, ngrams, tokens
 from ..operators import delta as dl
 from ..operators import index as ix
 from ..operators import shape as sh
+from ..operators.blocks import block_index, load_blocks
 from ..operators.recommend import present, recommend
 from ..operators.skills import extract_skills
-from ..operators.titles import keyword_filter, match_jobs, similar_titles
-from ..session import scratch_path
+from ..operators.title_terms import fit_title_terms, load_title_terms, served_counts
+from ..operators.titles import keyword_filter, match_jobs, match_titles, similar_titles
+from ..session import materialize, scratch_path
 from ..sinks.tables import write_bronze
 from ..sources import landing as src
 from ..streaming.ingest import ingest_feedback, ingest_job_pages
@@ -49,6 +51,12 @@ def _recommend(spark: SparkSession, sf_dir: str, requests: DataFrame, sizes, k:
                      fx.courses(spark, sf_dir), k=k, ngram_sizes=sizes)
 
 
+def _noun_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct nouns (last words) of the titles as requests."""
+    return (fx.table(spark, sf_dir, "part").groupBy(F.element_at(F.split("p_name", " "), -1).alias("query"))
+              .agg(F.min("p_partkey").alias("query_id")).select("query_id", "query"))
+
+
 # --- M4 and its parts ------------------------------------------------------
 
 @query("recommend_unigram")
@@ -68,15 +76,44 @@ def q_recommend_batch(spark, sf_dir):
 
 @query("recommend_served")
 def q_recommend_served(spark, sf_dir):
-    """M7 + S6 + M4: courses, postings and the fitted index exported, loaded back, and every title answered
-    from them without a fit."""
+    """M7 + S6 + M4: courses, counts per title and the blocked index exported, loaded back, and every title
+    answered from them: no fit, no posting text, only courses that can be among the best."""
     root = scratch_path(spark, "serving")
     jobs = fx.jobs(spark, sf_dir).select(F.concat(F.lit("JOB-"), F.col("job_id").cast("string")).alias("jobPostId"),
                                          "title", "skills_extracts")
     etl.export_serving(spark, fx.courses(spark, sf_dir).withColumnRenamed("combined_features", "SkillsTaxonomy"),
                        jobs, root)
     sv = src.load_serving(spark, root)
-    return recommend(fx.title_requests(spark, sf_dir), sv["jobs"], ix.load_index(spark, root), sv["courses"], k=5)
+    index = load_blocks(spark, root, ix.load_index(spark, root))
+    return recommend(fx.title_requests(spark, sf_dir), load_title_terms(spark, root), index, sv["courses"], k=5)
+
+
+@query("recommend_pruned")
+def q_recommend_pruned(spark, sf_dir):
+    """M4 over an index with blocks: only courses whose bound reaches a query's floor are scored."""
+    return recommend(fx.title_requests(spark, sf_dir), fx.jobs(spark, sf_dir), block_index(_course_index(spark, sf_dir)),
+                     fx.courses(spark, sf_dir), k=5)
+
+
+@query("top_terms_served")
+def q_top_terms_served(spark, sf_dir):
+    """T1 + X12 per title from counts kept per title: no posting text is read for a request."""
+    kept = fit_title_terms(fx.jobs(spark, sf_dir), (1,))
+    req = fx.title_requests(spark, sf_dir)
+    m = materialize(match_titles(req, kept.titles()).select("query_id", "title").distinct(), spark, "title-matches")
+    top = ix.top_terms(served_counts(m, kept, (1,)).drop("n"), 10, ["query_id"])
+    return (top.join(ix.terms_text(top, ["query_id"]), "query_id")
+               .select("query_id", "rank", "term", "cnt", "skills_query"))
+
+
+@query("top_terms_rolled")
+def q_top_terms_rolled(spark, sf_dir):
+    """Counts per title rolled up: requests are the titles' nouns at threshold 0.7, so they match many titles."""
+    kept = fit_title_terms(fx.jobs(spark, sf_dir))
+    m = materialize(match_titles(_noun_requests(spark, sf_dir), kept.titles(), 0.7).select("query_id", "title")
+                    .distinct(), spark, "title-matches")
+    top = ix.top_terms(served_counts(m, kept), 10, ["query_id", "n"])
+    return top.select("query_id", "n", "rank", "term", "cnt")
 
 
 @query("recommend_display")
@@ -157,8 +194,7 @@ def q_match_titles_batch(spark, sf_dir):
     """Every distinct noun of the titles (last word) as a query against all postings,
     threshold 0.7: a noun matches titles with a short adjective only."""
     part = fx.table(spark, sf_dir, "part")
-    req = (part.groupBy(F.element_at(F.split("p_name", " "), -1).alias("query"))
-               .agg(F.min("p_partkey").alias("query_id")).select("query_id", "query"))
+    req = _noun_requests(spark, sf_dir)
     jobs = part.select(F.col("p_partkey").alias("job_id"), F.col("p_name").alias("title"))
     return match_jobs(req, jobs, 0.7).select("query_id", "query", "job_id", "title")
 
