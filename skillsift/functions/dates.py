@@ -5,6 +5,7 @@ X9  ``as_of_date`` / ``as_of_timestamp`` (current date/time unless pinned)
 X10 ``days_before``
 X11 ``pages_needed``
 F2  ``effective_since``
+    ``any_date`` dates written in one of several ways
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ LOAD_DATE_FORMAT = "yyyyMMdd"               # partition value, e.g. 20240101
 STAMP_FORMAT = "yyyy-MMM-dd_HH-mm-ss"       # run stamp, e.g. 2024-Jan-01_00-00-07
 FEEDBACK_TIME_FORMAT = "dd/MM/yyyy HH:mm:ss"  # feedback display, e.g. 01/01/2024 00:00:07
 CUTOFF_DAYS = 365
+# Ways a date may be written, tried in this order; then whatever casts to a timestamp (ISO date and time).
+DATE_FORMATS = ("yyyyMMdd", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "d MMM yyyy", "yyyy/MM/dd")
 PAGE_SIZE = 100
 
 
@@ -47,6 +50,12 @@ def feedback_time_text(c) -> Column:
     return F.date_format(_c(c), FEEDBACK_TIME_FORMAT)
 
 
+def any_date(c) -> Column:
+    """Date of a text in one of ``DATE_FORMATS`` or an ISO timestamp; NULL where none fits."""
+    t = F.trim(_c(c))
+    return F.coalesce(*[F.try_to_date(t, f) for f in DATE_FORMATS], F.try_to_timestamp(t).cast("date"))
+
+
 def days_before(d: Column, days: int = CUTOFF_DAYS) -> Column:
     """X10."""
     return F.date_sub(d, days)

@@ -253,19 +253,36 @@ FROM cnt QUALIFY rank <= 10"""
 
 SUPPORTED = "(doc_id % 10 = 0 OR DATE '2022-06-01' + CAST(doc_id % 900 AS INTEGER) >= DATE '2024-01-15' - 365)"
 
-SQL["flow_summary"] = f"""WITH j AS (SELECT * FROM part WHERE p_partkey // 100 <> 1),
-c AS (SELECT * FROM documents WHERE doc_id // 100 <> 1),
-jt AS (SELECT count(*) AS total FROM part), ct AS (SELECT count(*) AS total FROM documents)
-SELECT 'jobs' AS flow, '20240115' AS load_date, count(*) AS rows_in, count(*) AS unique_keys, 0::BIGINT AS null_keys,
-       count(*) AS delta_rows, (SELECT total FROM jt) AS reported_total,
-       (SELECT count(*) FROM (SELECT unnest(range(0, CAST(ceil(total / 100) AS BIGINT))) AS page FROM jt) e
-        WHERE page NOT IN (SELECT p_partkey // 100 FROM j)) AS missing_pages
-FROM j
-UNION ALL
-SELECT 'courses', '20240115', count(*) FILTER (WHERE {SUPPORTED}), count(*) FILTER (WHERE {SUPPORTED}), 0::BIGINT, count(*) FILTER (WHERE {SUPPORTED}),
-       (SELECT total FROM ct),
-       greatest((SELECT CAST(ceil(total / 100) AS BIGINT) FROM ct) - count(DISTINCT doc_id // 100), 0)
-FROM c"""
+# Pages as landed: page 0 twice, page 1 not at all, page 2 unreadable.
+SQL["flow_summary"] = f"""WITH docs AS (
+  SELECT 'jobs' AS flow, p_partkey AS id, p_partkey // 100 AS page, true AS kept, false AS odd FROM part
+  UNION ALL
+  SELECT 'courses', doc_id, doc_id // 100, {SUPPORTED} OR doc_id % 97 = 5, doc_id % 10 <> 0 AND doc_id % 97 = 5 FROM documents),
+sound AS (SELECT * FROM docs WHERE page NOT IN (1, 2) UNION ALL SELECT * FROM docs WHERE page = 0),
+tot AS (SELECT flow, count(*) AS total, count(DISTINCT page) FILTER (WHERE page = 2) AS cut,
+               count(DISTINCT page) FILTER (WHERE page = 0) AS twice FROM docs GROUP BY flow),
+gaps AS (SELECT flow, count(*) AS n FROM (SELECT flow, unnest(range(0, CAST(ceil(total / 100) AS BIGINT))) AS page FROM tot) e
+         WHERE (flow, page) NOT IN (SELECT (flow, page) FROM sound) GROUP BY flow)
+SELECT t.flow, '20240115' AS load_date, count(*) FILTER (WHERE s.kept) AS rows_in,
+       count(DISTINCT s.id) FILTER (WHERE s.kept) AS unique_keys, 0::BIGINT AS null_keys,
+       count(DISTINCT s.id) FILTER (WHERE s.kept) AS delta_rows, t.total AS reported_total,
+       coalesce(any_value(g.n), 0) AS missing_pages, t.twice AS repeated_pages, t.cut AS bad_documents,
+       count(*) FILTER (WHERE s.odd) AS unread_dates, t.cut AS quarantined
+FROM tot t JOIN sound s USING (flow) LEFT JOIN gaps g USING (flow) GROUP BY t.flow, t.total, t.twice, t.cut"""
+
+SQL["bronze_runs"] = """SELECT 'JOB-' || p_partkey AS job_id, p_name AS title, '20240115' AS load_date,
+       (SELECT count(DISTINCT p_partkey // 100 % 2) FROM part) AS runs, true AS in_gold
+FROM part"""
+
+SQL["serving_capped"] = f"""WITH {JOBS},
+cap AS (SELECT 'JOB-' || job_id AS jobPostId, title, skills_extracts FROM jobs ORDER BY jobPostId LIMIT 300),
+w AS (SELECT title, count(DISTINCT term) AS words
+      FROM (SELECT title, unnest({tok('skills_extracts')}) AS term FROM cap) GROUP BY title)
+SELECT jobPostId, cap.title, coalesce(words, 0) AS words FROM cap LEFT JOIN w ON w.title = cap.title"""
+
+SQL["feedback_once"] = """SELECT DISTINCT role AS Search_input, text AS Feedback, CAST(turn % 6 AS INTEGER) AS User_rating,
+       5 AS Recommended_course_number, CASE WHEN turn > 2 THEN true END AS Show_score, stamp AS Timestamp
+FROM conversations, (VALUES ('15/01/2024 10:30:00'), ('16/01/2024 09:00:00')) t(stamp)"""
 
 SQL["jobs_newest_keyword"] = """SELECT 'JOB-' || p_partkey AS job_id, p_name AS title, '20240115' AS load_date FROM part
 WHERE contains(lower(p_name), 'plate')
@@ -405,6 +422,9 @@ SELECT CAST(d.doc_id AS VARCHAR) AS referenceNumber, d.source AS title, sk.skill
        CAST(len(list_distinct({tok('sk.skills')})) AS BIGINT) AS n_terms, (SELECT count(*) FROM part) AS n_jobs
 FROM documents d JOIN sk ON sk.doc_id = d.doc_id WHERE {SUPPORTED.replace('doc_id', 'd.doc_id')}"""
 
+SQL["stream_feedback_once"] = """SELECT DISTINCT role AS Search_input, text AS Feedback, CAST(turn % 6 AS INTEGER) AS User_rating,
+       5 AS Recommended_course_number, true AS Show_score, '15/01/2024 10:30:00' AS Timestamp FROM conversations"""
+
 SQL["feedback_append"] = """SELECT CASE WHEN turn = 0 THEN NULL ELSE 'conv ' || conv_id END AS Search_input,
        text AS Feedback, CAST(turn % 6 AS INTEGER) AS User_rating,
        CAST(conv_id % 6 + 5 AS INTEGER) AS Recommended_course_number, turn % 2 = 0 AS Show_score,

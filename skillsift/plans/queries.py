@@ -462,16 +462,55 @@ def q_courses_gold_load(spark, sf_dir):
 
 @query("flow_summary")
 def q_flow_summary(spark, sf_dir):
-    """M9 + A9 + S8 as the flows report them, each over a landing with page 1 left out."""
+    """M9 + A9 + S8 as the flows report them, each over a landing with page 0 twice, page 1 left out and page 2 broken
+    off; ``quarantined``: documents found in the quarantine afterwards."""
     db = _scratch_db(spark)
     skills = fx.skill_dictionary(spark, sf_dir)
-    jobs = etl.run_jobs(spark, land.land_job_pages(spark, sf_dir, skip_page=1), land.land_job_details(spark, sf_dir),
+    wrong = {"repeat_page": 0, "skip_page": 1, "cut_page": 2}
+    aside = scratch_path(spark, "quarantine")
+    jobs = etl.run_jobs(spark, land.land_job_pages(spark, sf_dir, **wrong), land.land_job_details(spark, sf_dir),
                         scratch_path(spark, "bronze-jobs"), skills, f"{db}.jobsdata", f"{db}.jobswithdescription",
-                        as_of="2024-01-15")
-    courses = etl.run_courses(spark, land.land_course_pages(spark, sf_dir, skip_page=1), skills, f"{db}.courseData",
-                              f"{db}.coursewithdescription", as_of="2024-01-15")
-    return (jobs.frame(spark).withColumn("flow", F.lit("jobs"))
-            .unionByName(courses.frame(spark).withColumn("flow", F.lit("courses"))))
+                        as_of="2024-01-15", quarantine=aside)
+    courses = etl.run_courses(spark, land.land_course_pages(spark, sf_dir, odd_dates=True, **wrong), skills,
+                              f"{db}.courseData", f"{db}.coursewithdescription", as_of="2024-01-15", quarantine=aside)
+    kept = src.read_bronze(spark, aside)
+    out = None
+    for flow, r in (("jobs", jobs), ("courses", courses)):
+        n = kept.where((F.col("run") == r.run) & F.col("record").isNotNull()).agg(F.count(F.lit(1)))
+        row = r.frame(spark).withColumn("flow", F.lit(flow)).withColumn("quarantined", n.scalar())
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("bronze_runs")
+def q_bronze_runs(spark, sf_dir):
+    """K1 + S9 by run: two landings of one date (even and odd pages), each run twice; bronze rows of the date with the
+    number of runs, and whether gold holds them."""
+    db = _scratch_db(spark)
+    skills, details = fx.skill_dictionary(spark, sf_dir), land.land_job_details(spark, sf_dir)
+    bronze = scratch_path(spark, "bronze-jobs")
+    landings = [land.land_job_pages(spark, sf_dir, where=F.col("page") % 2 == i) for i in (0, 1)]
+    for pages in landings * 2:
+        etl.run_jobs(spark, pages, details, bronze, skills, f"{db}.jobsdata", f"{db}.jobswithdescription",
+                     as_of="2024-01-15")
+    b = src.read_bronze(spark, bronze, "20240115")
+    gold = spark.read.table(f"{db}.jobswithdescription").select(F.col("jobPostId").alias("job_id"), F.lit(1).alias("g"))
+    runs = b.select(F.countDistinct("run")).scalar()
+    return b.join(gold, "job_id", "left").select("job_id", "title", F.col("load_date").cast("string"),
+                                                 runs.alias("runs"), F.col("g").isNotNull().alias("in_gold"))
+
+
+@query("serving_capped")
+def q_serving_capped(spark, sf_dir):
+    """K4 + M7: an export capped at 300 jobs (first ids) loaded back, with the distinct words kept for each job's title."""
+    root = scratch_path(spark, "serving")
+    jobs = fx.jobs(spark, sf_dir).select(F.concat(F.lit("JOB-"), F.col("job_id").cast("string")).alias("jobPostId"),
+                                         "title", "skills_extracts")
+    etl.export_serving(spark, fx.courses(spark, sf_dir).withColumnRenamed("combined_features", "SkillsTaxonomy"),
+                       jobs, root, max_jobs=300)
+    sv = src.load_serving(spark, root)
+    words = sv["title_terms"].where(F.col("n") == 1).groupBy("title").agg(F.count(F.lit(1)).alias("words"))
+    return sv["jobs"].join(words, "title", "left").select("jobPostId", "title", F.coalesce("words", F.lit(0)).alias("words"))
 
 
 @query("jobs_newest_keyword")
@@ -521,6 +560,21 @@ def q_feedback_append(spark, sf_dir):
                        dt.feedback_time_text("Timestamp").alias("Timestamp"))
 
 
+@query("feedback_once")
+def q_feedback_once(spark, sf_dir):
+    """M8 + K5 once: every turn as feedback, all sent three times on one day and once on the next; read back."""
+    c = fx.table(spark, sf_dir, "conversations")
+    fb = c.select(F.col("role").alias("Search_input"), F.col("text").alias("Feedback"),
+                  (F.col("turn") % 6).cast("int").alias("User_rating"), F.lit(5).alias("Recommended_course_number"),
+                  F.when(F.col("turn") > 2, F.lit(True)).alias("Show_score"))
+    path = scratch_path(spark, "feedback")
+    etl.record_feedback(fb.unionByName(fb), path, as_of="2024-01-15 10:30:00", once=True)
+    etl.record_feedback(fb, path, as_of="2024-01-15 10:31:00", once=True)
+    etl.record_feedback(fb, path, as_of="2024-01-16 09:00:00", once=True)
+    return spark.read.parquet(path).select("Search_input", "Feedback", "User_rating", "Recommended_course_number",
+                                           "Show_score", dt.feedback_time_text("Timestamp").alias("Timestamp"))
+
+
 # --- streaming ingest ------------------------------------------------------------------
 
 @query("stream_bronze_ingest")
@@ -534,6 +588,22 @@ def q_stream_bronze_ingest(spark, sf_dir):
     return spark.read.parquet(bronze).withColumn("load_date", F.col("load_date").cast("string"))
 
 
+@query("stream_feedback_once")
+def q_stream_feedback_once(spark, sf_dir):
+    """Feedback landed, streamed, landed again in full (a retry) and streamed again within the day: kept once."""
+    c = fx.table(spark, sf_dir, "conversations")
+    landing = scratch_path(spark, "feedback-landing")
+    fb = c.select(F.col("role").alias("Search_input"), F.col("text").alias("Feedback"),
+                  (F.col("turn") % 6).cast("int").alias("User_rating"), F.lit(5).alias("Recommended_course_number"),
+                  F.lit(True).alias("Show_score"))
+    sink, ckpt = scratch_path(spark, "feedback-sink"), scratch_path(spark, "feedback-ckpt")
+    for at in ("2024-01-15 10:30:00", "2024-01-15 18:00:00"):
+        fb.write.mode("append").json(landing)
+        ingest_feedback(spark, landing, sink, ckpt, as_of=at, once_within="1 day").awaitTermination()
+    return spark.read.parquet(sink).select("Search_input", "Feedback", "User_rating", "Recommended_course_number",
+                                           "Show_score", dt.feedback_time_text("Timestamp").alias("Timestamp"))
+
+
 @query("stream_feedback")
 def q_stream_feedback(spark, sf_dir):
     """Feedback rows landed as JSON, appended by an availableNow stream with a pinned time."""

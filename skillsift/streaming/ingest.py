@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from ..functions.dates import as_of_date, as_of_timestamp, load_date_text
 from ..operators.shape import flatten_jobs, skills_text
 from ..schemas import FEEDBACK, JOB_PAGE
+from ..sinks.tables import content_key
 
 
 def ingest_job_pages(spark: SparkSession, landing: str, bronze: str, checkpoint: str,
@@ -41,11 +42,17 @@ def ingest_job_pages(spark: SparkSession, landing: str, bronze: str, checkpoint:
 
 
 def ingest_feedback(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                    as_of: str | None = None) -> StreamingQuery:
-    """Start an ``availableNow`` stream of landed feedback rows into the feedback table."""
+                    as_of: str | None = None, once_within: str | None = None) -> StreamingQuery:
+    """Start an ``availableNow`` stream of landed feedback rows into the feedback table.
+
+    ``once_within`` (such as "1 day"): a submission with the content of one that arrived at most that long ago is a
+    retry and dropped. The state holds the keys of that span only; the checkpoint keeps it between runs."""
     src_schema = StructType([f for f in FEEDBACK.fields if f.name != "Timestamp"])
     rows = spark.readStream.schema(src_schema).json(landing)
     rows = rows.withColumn("Timestamp", as_of_timestamp(as_of))
+    if once_within:
+        rows = rows.withColumn("key", content_key(src_schema.names)).withWatermark("Timestamp", once_within) \
+            .dropDuplicatesWithinWatermark(["key"]).drop("key")
     return (rows.writeStream.format("parquet").option("path", sink)
                 .option("checkpointLocation", checkpoint)
                 .outputMode("append").trigger(availableNow=True).start())
