@@ -57,8 +57,15 @@ NAMED_CHARS = {
 # feed, carriage return, printable ASCII, and the whitespace above U+009F. Other controls are not
 # characters of HTML, U+0080-U+009F stand for Windows-1252 punctuation, the rest is deleted by X4.
 NUMERIC_WHITESPACE = (0x9, 0xA, 0xC, 0xD, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-# Words of the skill dictionary: runs of one or more word characters with any closing + or # (C, R, C++, C#).
-PHRASE_TOKEN = r"[\p{L}\p{N}_]+[+#]*"
+# Words of the skill dictionary: runs of one or more word characters with any closing + or # (C, R, C++, C#) and
+# a dot, number or at sign before them that opens a text or follows white space (.NET).
+LEAD = r"(?:(?<![^ \t\n\f\r])[.#@])?"
+PHRASE_TOKEN = LEAD + r"[\p{L}\p{N}_]+[+#]*"
+# Words with &, dot or hyphen inside, kept whole; and what tells a phrase that must be met in that form: & or a dot
+# between words (R&D, Node.js), or a hyphen beside a one-letter word (e-learning).
+COMPOUND_TOKEN = LEAD + r"[\p{L}\p{N}_]+(?:[&.-][\p{L}\p{N}_]+)*[+#]*"
+W = r"[\p{L}\p{N}_]"
+COMPOUND = f"{W}[&.]{W}|(?<!{W}){W}-{W}|{W}-{W}(?!{W})"
 # ---------------------------------------------------------------------------
 
 
@@ -132,10 +139,21 @@ def tokens(c) -> Column:
 
 
 def phrase_tokens(c) -> Column:
-    """M1: array of lower-cased dictionary words, one-letter words and closing + and # included, in text order."""
+    """M1: array of lower-cased dictionary words, in text order: one-letter words, closing + and #, and a
+    leading dot, # or @ after white space included."""
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(PHRASE_TOKEN), F.lit(0))
 
 
+def compound_tokens(c) -> Column:
+    """M1: the same with words joined by &, dot or hyphen as one word."""
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(COMPOUND_TOKEN), F.lit(0))
+
+
+def is_compound(c) -> Column:
+    """M1: is the phrase to be met in its joined form (``COMPOUND``)?"""
+    return _c(c).rlike(COMPOUND)
+
+
 def ngrams(tok, n: int) -> Column:
     """Contiguous n-grams of a token array, joined by one space.
 

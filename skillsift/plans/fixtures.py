@@ -95,9 +95,11 @@ def skill_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def short_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(skill_id, phrase)``: one-letter and symbol phrases from the distinct tokens of ``benchmark.text``.
 
-    For a token t with first letter c: ``c``, ``c++``, ``t###`` and ``c t``, ids by hash."""
+    For a token t with first letter c: ``c``, ``c++``, ``t###``, ``c t``, ``.t``, ``c&t`` and ``c-t``, ids by hash."""
     t = table(spark, sf_dir, "benchmark").select(F.explode(tokens("text")).alias("t")).distinct()
     c = F.substring("t", 1, 1)
     p = t.select(F.explode(F.array(c, F.concat(c, F.lit("++")), F.concat("t", F.lit("###")),
-                                   F.concat(c, F.lit(" "), F.col("t")))).alias("phrase")).distinct()
+                                   F.concat(c, F.lit(" "), F.col("t")), F.concat(F.lit("."), F.col("t")),
+                                   F.concat(c, F.lit("&"), F.col("t")), F.concat(c, F.lit("-"), F.col("t"))))
+                 .alias("phrase")).distinct()
     return p.select(F.xxhash64("phrase").alias("skill_id"), "phrase")

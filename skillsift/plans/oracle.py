@@ -194,23 +194,32 @@ dic AS (SELECT phrase, pt, len(pt) AS m, len(list_distinct(pt)) AS d
         WHERE len(pt) > 0)"""
 
 
-# M1's words: a run of word characters and the plus or number signs that close it.
+# M1's words: a run of word characters, the plus or number signs that close it, and a dot, number or at sign that
+# opens it after white space or at the start. While words are cut, letters that no text holds stand for the openers.
+OPENERS = {".": "\ua4f8", "#": "\ua4f9", "@": "\ua4fa"}
 WORD_RE = r"[\p{L}\p{N}_]+[+#]*"
+JOINED_RE = r"[\p{L}\p{N}_]+([&.-][\p{L}\p{N}_]+)*[+#]*"
 
 
-def words(x: str) -> str:
-    return f"regexp_extract_all(lower({x}), '{WORD_RE}')"
+def words(x: str, pattern: str = WORD_RE) -> str:
+    s, back = f"lower({x})", "x"
+    for sign, letter in OPENERS.items():
+        s = f"regexp_replace({s}, '(^|[ \\t\\n\\f\\r])[{sign}]([\\p{{L}}\\p{{N}}_])', '\\1{letter}\\2', 'g')"
+        back = f"replace({back}, '{letter}', '{sign}')"
+    return f"list_transform(regexp_extract_all({s}, '{pattern}'), lambda x: {back})"
 
 
 def skills_sql(docs: str, theta: float = 0.75) -> str:
     """CTEs ending in ``sk(doc_id, skills)`` for a CTE ``{docs}(doc_id, text)``; needs DICTIONARY."""
-    return f"""dtk AS (SELECT doc_id, {words('text')} AS t FROM {docs}),
+    return f"""dt1 AS (SELECT doc_id, {words('text')} AS t FROM {docs}),
+dt2 AS (SELECT doc_id, {words('text', JOINED_RE)} AS t FROM {docs}),
+dtk AS (SELECT * FROM dt1 UNION ALL SELECT * FROM dt2 WHERE EXISTS (SELECT 1 FROM dic WHERE regexp_matches(phrase, '[&.-]'))),
 grams AS (SELECT doc_id, unnest(t) AS k FROM dtk
           UNION ALL SELECT doc_id, unnest({ngram('t', 2)}) AS k FROM dtk),
 fullm AS (SELECT g.doc_id, d.phrase FROM grams g JOIN dic d ON g.k = array_to_string(d.pt, ' ')),
 dtt AS (SELECT DISTINCT doc_id, unnest(t) AS token FROM dtk),
 ptt AS (SELECT DISTINCT phrase, d, unnest(pt) AS token FROM dic WHERE m >= 2),
-partm AS (SELECT dtt.doc_id, ptt.phrase FROM dtt JOIN ptt USING (token)
+partm AS (SELECT dtt.doc_id, ptt.phrase FROM dtt JOIN ptt USING (token) WHERE length(token) > 1
           GROUP BY dtt.doc_id, ptt.phrase, ptt.d HAVING count(*) / ptt.d >= {theta}),
 pairs AS (SELECT doc_id, phrase FROM fullm UNION SELECT doc_id, phrase FROM partm),
 sk AS (SELECT x.doc_id, coalesce(array_to_string(list_sort(list(DISTINCT p.phrase)), ', '), '') AS skills
@@ -223,7 +232,8 @@ docs AS (SELECT doc_id, text FROM documents),
 SELECT doc_id, skills FROM sk"""
 
 SHORT_DICTIONARY = f"""btok AS (SELECT DISTINCT unnest({tok('text')}) AS t FROM benchmark),
-dict AS (SELECT DISTINCT unnest([t[1], t[1] || '++', t || '###', t[1] || ' ' || t]) AS phrase FROM btok),
+dict AS (SELECT DISTINCT unnest([t[1], t[1] || '++', t || '###', t[1] || ' ' || t, '.' || t, t[1] || '&' || t,
+                                 t[1] || '-' || t]) AS phrase FROM btok),
 dic AS (SELECT phrase, pt, len(pt) AS m, len(list_distinct(pt)) AS d
         FROM (SELECT phrase, string_split(phrase, ' ') AS pt FROM dict))"""
 

@@ -473,7 +473,7 @@ def q_flow_summary(spark, sf_dir):
                         as_of="2024-01-15", quarantine=aside)
     courses = etl.run_courses(spark, land.land_course_pages(spark, sf_dir, odd_dates=True, **wrong), skills,
                               f"{db}.courseData", f"{db}.coursewithdescription", as_of="2024-01-15", quarantine=aside)
-    kept = src.read_bronze(spark, aside)
+    kept = src.read_quarantine(spark, aside)
     out = None
     for flow, r in (("jobs", jobs), ("courses", courses)):
         n = kept.where((F.col("run") == r.run) & F.col("record").isNotNull()).agg(F.count(F.lit(1)))
