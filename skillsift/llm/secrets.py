@@ -7,14 +7,17 @@ client or access-key id given a value), ``opaque`` (a 32+ character run with bot
 ``endpoint`` (a service address). A weak span is reported only if complementary parts lie within ``scope`` code
 points of it: a key_id needs a secret (assign, hex or opaque), an opaque needs an identifier (access or
 key_id), an endpoint needs both a secret and an identifier. With ``gaps``, as in the registered query and the
-pipeline, the distance is what lies between two spans (0 if they touch or overlap), so long parts and long
-lines of a credentials block do not count; without, it is that of their starts. 200 code points between two spans
-are two or three lines of other settings; parts further apart than that are left unlinked.
-
-Linking is an interval join in bins of ``scope`` code points: per (text, bin, role) only the smallest start and
-the largest end (start) of the parts that touch the bin are kept; a weak span meets the bins its reach touches,
-where those two values decide exactly whether some part lies in reach. So a span joins as many rows a role as its
-length plus twice the scope has bins, however many parts a text holds.
+pipeline, the distance is what lies between two spans, so long parts and long lines of a credentials block do not
+count, and complementary parts are different places of the text: a partner never overlaps the span, nor an
+endpoint's two partners each other. Without ``gaps`` the distance is that of the starts, overlapping or not. 200 code
+points between two spans are two or three lines of other settings; parts further apart are left unlinked.
+
+Linking is an interval join on positions. With ``gaps`` a weak span looks back over the parts that end at most
+``scope`` before its start and ahead over those that start at most ``scope`` after its end: two running range
+windows over each text's positions, cut into cells of ``CELL`` scopes (a part near a cell's border enters both), so a
+task's window is as long as a cell however long the text. Smallest ends and largest starts per role decide
+exactly whether a secret and an identifier are there that do not overlap. Without ``gaps``, bins of ``scope`` code
+points with the smallest and largest start per role serve.
 
 Spans are [start, end) in code points, written kind:start:end, by start and then in the order of KINDS.
 
@@ -28,6 +31,8 @@ secret leaves the text); all later work is on those narrow rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +45,7 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 
-KEY_ID = ("(?i)(?:access_?key_?id|client_?id|account_?id|user_?id|user_?name|user|login)"
+KEY_ID = ("(?i)(?<![a-z0-9])(?:access_?key_?id|client_?id|account_?id|user_?id|user_?name|user|login)"
           "[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9@._-]{3,}")
 # A run after "=" starts a new value: KEY=value, ?key=value.
 OPAQUE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}"
@@ -51,6 +56,11 @@ KINDS = ("assign", "access", "hex", "key_id", "opaque", "endpoint")
 PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, KEY_ID, OPAQUE, ENDPOINT)))
 BASE = KINDS[:3]
 SECRET, IDENTIFIER = ("assign", "hex", "opaque"), ("access", "key_id")
+CELL = 64                                    # scopes in a cell of the linking windows
+
+# What a text must hold, lower-cased, for a pattern to match at all; the pattern passes over no other text.
+NEEDS = {"assign": ("pass", "secret", "token", "api"), "access": ("akia",),
+         "key_id": ("id", "user", "login"), "endpoint": ("://",)}
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -67,11 +77,21 @@ def scan(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and per kind array<struct<gap, len, ok>> of ``text``; written once.
 
     gap: code points since the match before; len, ok: length and validity of the match. Matches and gaps are
-    columns of their own first, so that each pattern passes over a text twice and no more."""
-    text = F.col("text")
-    cut = rows.select(*keys, *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"{k}_found")
-                               for k, p in PATTERNS.items()],
-                      *[F.split(text, p, -1).alias(f"{k}_gaps") for k, p in PATTERNS.items()])
+    columns of their own first: a pattern passes once over a text that may hold it, and again for the gaps of one
+    that does."""
+    text, none = F.col("text"), F.array().cast("array<string>")
+    low = rows.select(*keys, "text", F.lower(text).alias("low"))
+
+    def possible(kind: str) -> Column:
+        held = [F.contains("low", F.lit(x)) for x in NEEDS.get(kind, ())]
+        return reduce(Column.__or__, held) if held else F.lit(True)
+
+    found = low.select(*keys, "text", *[
+        F.when(possible(k), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(f"{k}_found")
+        for k, p in PATTERNS.items()])
+    cut = found.select(*keys, *[f"{k}_found" for k in KINDS], *[
+        F.when(F.size(f"{k}_found") > 0, F.split(text, p, -1)).otherwise(none).alias(f"{k}_gaps")
+        for k, p in PATTERNS.items()])
 
     def parts(kind: str) -> Column:
         found = F.col(f"{kind}_found")
@@ -100,21 +120,64 @@ def _role(kinds: tuple[str, ...]) -> Column:
 def link(parts: DataFrame, keys: list[str], scope: int, gaps: bool = False) -> DataFrame:
     """Base spans, and weak spans with complementary parts in reach: keys, kind, start, end.
 
-    Reach: starts at most ``scope`` apart or, with ``gaps``, at most ``scope`` code points between the spans."""
+    Reach: starts at most ``scope`` apart or, with ``gaps``, at most ``scope`` code points between spans that do not
+    overlap."""
+    return link_apart(parts, keys, scope) if gaps else link_starts(parts, keys, scope)
+
+
+def link_apart(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
+    """``link`` by what lies between the spans; partners do not overlap."""
+    cell = CELL * scope
+    start, end = F.col("start"), F.col("end")
+    weak, partner = F.col("kind") >= len(BASE), F.col("kind") != KINDS.index("endpoint")
+
+    def side(before: bool) -> DataFrame:
+        """Weak spans with what lies in reach on one side: has a secret, an identifier, two that do not overlap."""
+        at, own = (end, start) if before else (start, end)
+        reach = (at, at + scope) if before else (at - scope, at)
+        seen = parts.where(partner).select(*keys, "kind", "start", "end", at.alias("pos"), F.lit(False).alias("asks"),
+                                           F.explode(F.sequence(*[F.floor(x / cell) for x in reach])).alias("cell"))
+        asked = parts.where(weak).select(*keys, "kind", "start", "end", own.alias("pos"), F.lit(True).alias("asks"),
+                                         F.floor(own / cell).alias("cell"))
+        frame = Window.partitionBy(*keys, "cell").orderBy("pos").rangeBetween(*((-scope, 0) if before else (0, scope)))
+
+        def over(pick, role, value):
+            return pick(F.when(~F.col("asks") & _role(role), value)).over(frame)
+
+        rows = asked.unionByName(seen).select(
+            *keys, "kind", "start", "end", "asks", over(F.min, SECRET, end).alias("s_end"),
+            over(F.max, SECRET, start).alias("s_start"), over(F.min, IDENTIFIER, end).alias("i_end"),
+            over(F.max, IDENTIFIER, start).alias("i_start")).where("asks")
+        apart = F.coalesce((F.col("s_end") <= F.col("i_start")) | (F.col("i_end") <= F.col("s_start")), F.lit(False))
+        return rows.select(*keys, "kind", "start", "end", F.lit(before).alias("before"),
+                           F.col("s_end").isNotNull().alias("s"), F.col("i_end").isNotNull().alias("i"), apart.alias("both"))
+
+    def any_of(c: str, before: bool) -> Column:
+        return F.max(F.col(c) & (F.col("before") == before))
+
+    span = [*keys, "kind", "start", "end"]
+    near = side(True).unionByName(side(False)).groupBy(*span).agg(
+        F.max("s").alias("s"), F.max("i").alias("i"),
+        (F.max("both") | (any_of("s", True) & any_of("i", False)) | (any_of("i", True) & any_of("s", False))).alias("both"))
+    linked = near.where(F.when(F.col("kind") == KINDS.index("key_id"), F.col("s"))
+                         .when(F.col("kind") == KINDS.index("opaque"), F.col("i")).otherwise(F.col("both")))
+    return parts.where(~weak).unionByName(linked.select(*span))
+
+
+def link_starts(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
+    """``link`` by the distance of starts, whether spans overlap or not."""
     def bins(lo: Column, hi: Column) -> Column:
         return F.explode(F.sequence(F.floor(lo / scope), F.floor(hi / scope))).alias("bin")
 
-    start, end = F.col("start"), F.col("end")
-    far, last = (end, end - 1) if gaps else (start, start)
-    ends = parts.where(F.col("kind") != KINDS.index("endpoint")).select("*", bins(start, last)) \
+    start = F.col("start")
+    ends = parts.where(F.col("kind") != KINDS.index("endpoint")).select("*", bins(start, start)) \
                 .groupBy(*keys, "bin").agg(*[
-                    f(F.when(_role(r), c)).alias(f"{n}_{m}") for n, r in (("s", SECRET), ("i", IDENTIFIER))
-                    for m, f, c in (("min", F.min, start), ("max", F.max, far))])
-    weak = parts.where(F.col("kind") >= len(BASE)).select(
-        "*", bins(start - scope - int(gaps), far + scope))
+                    f(F.when(_role(r), start)).alias(f"{n}_{m}") for n, r in (("s", SECRET), ("i", IDENTIFIER))
+                    for m, f in (("min", F.min), ("max", F.max))])
+    weak = parts.where(F.col("kind") >= len(BASE)).select("*", bins(start - scope, start + scope))
 
     def reach(n: str) -> Column:
-        return F.max((F.col(f"{n}_min") <= far + scope) & (F.col(f"{n}_max") >= F.col("start") - scope))
+        return F.max((F.col(f"{n}_min") <= start + scope) & (F.col(f"{n}_max") >= start - scope))
 
     span = [*keys, "kind", "start", "end"]
     near = weak.join(ends, [*keys, "bin"]).groupBy(*span).agg(reach("s").alias("s"), reach("i").alias("i"))
@@ -161,7 +224,7 @@ def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]", gaps: bool
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) \
                 .withColumn("_hash", F.md5(text_or_empty()))
     found = keyed.select(*key, text_or_empty().alias("text")).where(
-        F.greatest(*[F.col("text").rlike(PATTERNS[k]) for k in KINDS]))
+        reduce(Column.__or__, [F.col("text").rlike(PATTERNS[k]) for k in KINDS]))
     parts = part_rows(scan(found, key).dropDuplicates(key), key)
     spans = link(parts, key, scope, gaps)
     order = Window.partitionBy(*key).orderBy("start", "end")

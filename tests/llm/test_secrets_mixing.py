@@ -20,8 +20,11 @@ from .conftest import SF
 PY = {"assign": re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
                            re.I | re.A),
       "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+"),
-      "key_id": re.compile(secrets.KEY_ID, re.A), "opaque": re.compile(secrets.OPAQUE),
-      "endpoint": re.compile(secrets.ENDPOINT, re.A)}
+      "key_id": re.compile("(?<![A-Za-z0-9])(?:access_?key_?id|client_?id|account_?id|user_?id|user_?name|user|login)"
+                           "[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", re.I | re.A),
+      "opaque": re.compile("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}"),
+      "endpoint": re.compile("(?:https?|ftp|ssh|amqps?|rediss?|mysql|postgres(?:ql)?|mongodb(?:\\+srv)?|jdbc:[a-z]+)"
+                             "://[^\\s\"'<>|,;]+", re.I | re.A)}
 
 
 def matches(text, kind):
@@ -143,14 +146,23 @@ def test_secrets_after_equals_signs(spark):
 
 
 def brute_gaps(text, scope):
-    """All pairs of parts, by what lies between them."""
+    """All pairs of parts, by what lies between them; parts that overlap are no partners."""
     parts = [(s, secrets.KINDS.index(k), e) for k in secrets.KINDS for s, e in matches(text, k)]
 
+    def gap(s, e, t, u):
+        return t - e if t >= e else s - u if u <= s else None
+
     def near(s, e, kinds):
-        return any(secrets.KINDS[k] in kinds and max(t - e, s - u) <= scope for t, k, u in parts)
-    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(parts) if k < 3 or (
-        k == 5 or near(s, e, secrets.IDENTIFIER if k == 4 else secrets.SECRET)) and (
-        k != 5 or near(s, e, secrets.SECRET) and near(s, e, secrets.IDENTIFIER)))
+        return [(t, u) for t, k, u in parts if secrets.KINDS[k] in kinds
+                and gap(s, e, t, u) is not None and gap(s, e, t, u) <= scope]
+
+    def reported(s, k, e):
+        if k < 3:
+            return True
+        if k == 5:
+            return any(gap(*a, *b) is not None for a in near(s, e, secrets.SECRET) for b in near(s, e, secrets.IDENTIFIER))
+        return bool(near(s, e, secrets.IDENTIFIER if k == 4 else secrets.SECRET))
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(parts) if reported(s, k, e))
 
 
 def test_secrets_by_gaps(spark):
@@ -161,12 +173,18 @@ def test_secrets_by_gaps(spark):
         (f"client_id: abc{' ' * 201}{long}", ""),
         (f"{long}{' ' * 200}client_id: abc", "opaque:0:270,key_id:470:484"),
         (f"{long}{' ' * 201}client_id: abc", ""),
-        (f"token={'.' * 500}user=bob{'.' * 500}", "assign:0:1014,key_id:506:1014"),
+        (f"token={'.' * 500}user=bob{'.' * 500}", "assign:0:1014"),                          # one place, not two
+        ("client_id=" + "aB3" * 12, ""),                                                    # its own value is no partner
+        ("user_id: 507f1f77bcf86cd799439011", "hex:9:33"),
+        ("login=507f1f77bcf86cd799439011 see https://example.org/help", "hex:6:30"),
+        ("login=507f1f77bcf86cd799439011 https://h.io/x user=bob", "hex:6:30,endpoint:31:45,key_id:46:54"),
+        ("superuser: bob password=abcdef", "assign:15:30"),                                 # no key of its own
+        ("x" * 12_790 + " user=bob password=abcdef", "key_id:12791:12799,assign:12800:12815"),   # across a cell's border
         (f"https://h.io/{'x' * 300} user=bob password=abcdef", "endpoint:0:313,key_id:314:322,assign:323:338"),
     ]
     rng = random.Random(3)
     chunks = ["password=", "abcdef", "AKIA", "ABCDEFGH12345678", " ", "é", "🙂", "user=", "\n", "Ab1" * 12, "https://h.io/x",
-              "0123456789abcdef01234567", " " * 3, "." * 9]
+              "0123456789abcdef01234567", " " * 3, "." * 9, "." * 430]
     texts = [t for t, _ in literal] + ["".join(rng.choices(chunks, k=rng.randint(0, 25))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.spans for r in secrets.find_secrets(df, gaps=True).orderBy("doc_id").collect()]
@@ -265,7 +283,7 @@ def test_mixed_rows_repeat(spark, documents):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.execute(queries.SQL[name])
