@@ -9,7 +9,7 @@ Dynamic programming picks the cuts that minimise total padding plus penalties:
 
 where padding(len) = size - len, but 0 where len is a power of two (such sequences are stored as they are).
 As size - len = size - pos[j] + pos[i], the minimum of best[i] + pos[i] over the sliding window comes from a
-monotone queue in amortised constant time; the powers of two are looked up one by one.
+monotone queue in amortised constant time; every power of two up to size is looked up by itself.
 
 The stream is cut into range partitions of doc_id, and each of those into blocks of about ``block`` ids (at
 a document end), so a task holds one block; every block boundary costs at most one sequence's padding.
@@ -31,17 +31,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_range, encoder, slices, text_or_empty, value_views
+from .common import by_range, byte_letters, encoder, slices, text_or_empty, value_views
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 SENTENCE_ENDS = (".", "!", "?", "。", "！", "？")
 
 
-def sentence_end_ids(tok) -> np.ndarray:
-    """Ids of the pieces that close a sentence: those whose text ends with a sentence-end mark."""
-    ends = [i for t, i in tok.get_vocab().items() if t.removesuffix("</w>").endswith(SENTENCE_ENDS)]
-    return np.array(sorted(ends), np.uint32)
+class SentenceEnds:
+    """Where sentences close in a sequence of ids.
+
+    The vocabulary spells texts in byte letters: a piece closes a sentence if it ends with a mark so spelled. A
+    mark that the vocabulary writes in several pieces is met as that run of ids (at a word's end and inside)."""
+
+    def __init__(self, tok) -> None:
+        letters = byte_letters()
+        spelled = tuple("".join(letters[b] for b in mark.encode("utf-8")) for mark in SENTENCE_ENDS)
+        self.single = np.array(sorted(i for t, i in tok.get_vocab().items() if t.removesuffix("</w>").endswith(spelled)),
+                               np.uint32)
+        runs = set()
+        for mark in SENTENCE_ENDS:
+            closing = tok.encode(mark, add_special_tokens=False).ids
+            inside = tok.encode(mark + "a", add_special_tokens=False)
+            runs.add(tuple(closing))
+            runs.add(tuple(i for i, (a, b) in zip(inside.ids, inside.offsets) if b <= len(mark) and a < b))
+        self.runs = [r for r in sorted(runs) if len(r) > 1]
+
+    def after(self, ids: np.ndarray) -> np.ndarray:
+        """Positions right after a sentence's end, ascending."""
+        at = [np.flatnonzero(np.isin(ids, self.single)) + 1]
+        for run in self.runs:
+            if len(ids) >= len(run):
+                hit = np.ones(len(ids) - len(run) + 1, bool)
+                for k, i in enumerate(run):
+                    hit &= ids[k:len(ids) - len(run) + 1 + k] == i
+                at.append(np.flatnonzero(hit) + len(run))
+        return np.unique(np.concatenate(at))
 
 
 def candidate_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, stride: int, mid_doc: float,
@@ -67,7 +92,6 @@ def best_cuts(cuts: np.ndarray, pen: np.ndarray, size: int) -> list[int]:
     n = len(pos)
     at = {p: i for i, p in enumerate(pos)}
     powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
-    big = [p for p in powers if p >= size // 8]      # shorter windows only near the stream's ends
     best = [0.0] * n
     back = [0] * n
     key = [0.0] * n                                  # best[i] + pos[i]
@@ -80,7 +104,7 @@ def best_cuts(cuts: np.ndarray, pen: np.ndarray, size: int) -> list[int]:
             head += 1
         i = queue[head]
         v = key[i] + size - p
-        for w in big:
+        for w in powers:
             k = at.get(p - w)
             if k is not None and best[k] < v:
                 v, i = best[k], k
@@ -99,14 +123,14 @@ def best_cuts(cuts: np.ndarray, pen: np.ndarray, size: int) -> list[int]:
     return out[::-1]
 
 
-def pack_block(texts: list[bytes], ends: np.ndarray, size: int, stride: int, mid_doc: float,
+def pack_block(texts: list[bytes], ends: SentenceEnds, size: int, stride: int, mid_doc: float,
                mid_sentence: float) -> dict[str, np.ndarray | list]:
     """Pieces of one block of documents: index of the document, start, length, crc, sequence, offset."""
     data = b"".join(texts)
     ids = np.frombuffer(data, "<u4")
     doc_ends = np.cumsum([len(t) // 4 for t in texts])
     doc_starts = np.concatenate([[0], doc_ends[:-1]])
-    cuts, pen = candidate_cuts(doc_ends, np.flatnonzero(np.isin(ids, ends)) + 1, stride, mid_doc, mid_sentence)
+    cuts, pen = candidate_cuts(doc_ends, ends.after(ids), stride, mid_doc, mid_sentence)
     chosen = cuts[best_cuts(cuts, pen, size)]
     marks = np.union1d(chosen, doc_ends)             # ends of pieces
     first = np.concatenate([[0], marks[:-1]])
@@ -123,7 +147,7 @@ def _packer(tokenizer: str, size: int, block: int, stride: int, mid_doc: float,
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         enc = encoder(tokenizer)
-        ends = sentence_end_ids(enc.tok)
+        ends = SentenceEnds(enc.tok)
         next_seq = TaskContext.get().partitionId() << 40
         doc_ids: list[int | None] = []
         texts: list[bytes] = []

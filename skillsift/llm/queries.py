@@ -106,17 +106,17 @@ QUERIES = {f.__name__: f for f in (
 SQL: dict[str, str] = {
     "op1_no_random_access_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
         s AS (
-            SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+            SELECT a.r AS query_row, a.vec_id AS query_id, b.vec_id AS vec_id,
                    CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+            FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q)
             WHERE a.vec_id % 100 = 0),
         r AS (
-            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS INTEGER)
                    AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op2_chunked_warc": """

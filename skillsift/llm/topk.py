@@ -9,13 +9,14 @@ time, until no more than ``resolve`` candidates of the block can still reach the
 lower bound; their scores are then resolved and the k best kept. At full depth all bounds are the scores,
 so the result is exact. Blocks of queries meet blocks of candidates; per query the best k of all blocks win.
 
-Cases: a null id, a null vector and a vector with a null, NaN or infinite component take no part; rows of
-the same id count once (the smallest vector stands for the id); vectors meet only vectors of their own
+Cases: a null id, a null vector and a vector with a null, NaN or infinite component take no part; rows that
+share an id are rows of their own, as queries and as candidates of each other (a query leaves out its own row
+only); vectors meet only vectors of their own
 length; equal scores go to the smaller id; fewer than k candidates are all returned; an empty table gives
 no rows; other columns are not read.
 
 Plan: one shuffle deals the candidates to (candidate block, query block) pairs, in which a task holds one
-block of each side, whatever the vectors' values: blocks come from the id's hash, so equal vectors spread.
+block of each side, whatever ids and vectors are: blocks come from the row's hash, so equal ones spread.
 Each pair returns at most k rows a query; the last top-k is a partial, then a final rank filter.
 """
 
@@ -28,17 +29,19 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-HITS = "query_id bigint, vec_id bigint, score bigint"
+HITS = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024) -> DataFrame:
-    """(vec_id, v): floor(scale * component) as long, one row per id; unusable rows are left out."""
+    """(row, vec_id, v): floor(scale * component) as long; unusable rows are left out.
+
+    ``row`` tells rows apart and is stable once the frame is written."""
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return (df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
               .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-              .select("vec_id", F.transform("v", lambda c: F.floor(F.lit(scale) * c)).alias("v"))
-              .groupBy("vec_id").agg(F.min("v").alias("v")))
+              .select(F.monotonically_increasing_id().alias("row"), "vec_id",
+                      F.transform("v", lambda c: F.floor(F.lit(scale) * c)).alias("v")))
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,8 +75,13 @@ class SortedLists:
 
 
 def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
-                resolve: int = 256, batch: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per query: (query id repeated, candidate ids, scores) of the block's k best."""
+                resolve: int = 256, batch: int = 64, rows: np.ndarray | None = None,
+                query_rows: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per query: (query row repeated, candidate ids, scores) of the block's k best.
+
+    ``rows`` and ``query_rows`` tell a query's own row among the candidates; without them the ids do."""
+    rows = ids if rows is None else rows
+    query_rows = query_ids if query_rows is None else query_rows
     out = []
     if not len(ids):
         return out
@@ -85,7 +93,7 @@ def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, que
         while len(open_):
             depth = min(depth, lists.n)
             lower, upper = lists.bounds(queries[open_].astype(np.float64), depth)
-            own = query_ids[open_][:, None] == ids[None, :]
+            own = query_rows[open_][:, None] == rows[None, :]
             lower[own], upper[own] = -np.inf, -np.inf
             kth = min(k, lists.n) - 1
             floor = -np.partition(-lower, kth, axis=1)[:, kth]
@@ -95,32 +103,34 @@ def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, que
                 q, c = open_[r], np.flatnonzero(alive[r])
                 score = _exact(queries[q:q + 1], vectors[c])[0]
                 best = np.lexsort((ids[c], -score))[:k]
-                out.append((np.full(len(best), query_ids[q]), ids[c][best], score[best]))
+                out.append((np.full(len(best), query_rows[q]), ids[c][best], score[best]))
             open_, depth = open_[~ready], depth * 4
     return out
 
 
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = t.combine_chunks()
-    ids = t.column("vec_id").to_numpy()
+    rows, ids = t.column("row").to_numpy(), t.column("vec_id").to_numpy()
     flat = t.column("v").combine_chunks()
     flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays(
         [c.flatten() for c in flat.chunks] or [pa.array([], pa.int64())])
-    return ids, np.asarray(flat, np.int64).reshape(len(ids), -1)
+    return rows, ids, np.asarray(flat, np.int64).reshape(len(ids), -1)
 
 
 def _searcher(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in HITS.split(", ")])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids, x = _matrix(left)
-        query_ids, q = _matrix(right)
-        hits = block_top_k(ids, x, query_ids, q, k)
+        rows, ids, x = _matrix(left)
+        query_rows, query_ids, q = _matrix(right)
+        hits = block_top_k(ids, x, query_ids, q, k, rows=rows, query_rows=query_rows)
         if not hits:
             return schema.empty_table()
-        return pa.table([np.concatenate(c) for c in zip(*hits)], schema=schema)
+        row, vec_id, score = (np.concatenate(c) for c in zip(*hits))
+        order = np.argsort(query_rows)
+        return pa.table([row, query_ids[order][np.searchsorted(query_rows[order], row)], vec_id, score], schema=schema)
     return search
 
 
@@ -137,14 +147,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     dim = F.size("v").alias("dim")
 
     def deal(blocks: int, seed: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("int")
+        return F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(blocks)).cast("int")
 
-    cand = whole.select("vec_id", "v", dim, deal(cbs, 1).alias("cb"),
+    cand = whole.select("row", "vec_id", "v", dim, deal(cbs, 1).alias("cb"),
                         F.explode(F.sequence(F.lit(0), F.lit(qbs - 1))).alias("qb"))
-    query = whole.where(asked).select("vec_id", "v", dim, deal(qbs, 2).alias("qb"),
+    query = whole.where(asked).select("row", "vec_id", "v", dim, deal(qbs, 2).alias("qb"),
                                       F.explode(F.sequence(F.lit(0), F.lit(cbs - 1))).alias("cb"))
     key = ["dim", "cb", "qb"]
     found = cand.groupBy(*key).cogroup(query.groupBy(*key)).applyInArrow(_searcher(k), HITS)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"))
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
                  .select("query_id", "rank", "vec_id", "score"))

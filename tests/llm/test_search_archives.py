@@ -21,17 +21,15 @@ from .conftest import SF
 
 
 def brute(rows, k, is_query):
-    seen = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(1024 * x) for x in v]
-        seen[i] = min(seen.get(i, q), q)
+    """Every usable row against every other; rows that share an id are rows of their own."""
+    seen = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in filter(is_query, seen):
-        hits = sorted(((-sum(a * b for a, b in zip(seen[q], seen[c])), c) for c in seen
-                       if c != q and len(seen[c]) == len(seen[q])))[:k]
-        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(hits)]
+    for at, (q, x) in enumerate(seen):
+        if is_query(q):
+            hits = sorted((-sum(a * b for a, b in zip(x, y)), c) for to, (c, y) in enumerate(seen)
+                          if to != at and len(y) == len(x))[:k]
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(hits)]
     return sorted(out)
 
 
@@ -48,7 +46,7 @@ def test_top_k_equals_brute_force(spark):
 
 def test_top_k_odd_rows(spark):
     v = [0.5, -0.25, 0.125]
-    rows = [(0, v), (0, v), (1, v), (2, v), (3, [-x for x in v]), (4, None), (None, v), (5, [0.1, None, 0.2]),
+    rows = [(0, v), (0, v), (0, [1.0, 1.0, 1.0]), (1, [5.0, 5.0, 5.0]), (1, v), (2, v), (3, [-x for x in v]), (4, None), (None, v), (5, [0.1, None, 0.2]),
             (6, [float("nan"), 0.0, 1.0]), (7, [float("inf"), 0.0, 1.0]), (10, [1.0]), (20, [2.0]), (30, []), (40, []),
             (-10, [0.1, 0.1, 0.1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)) \

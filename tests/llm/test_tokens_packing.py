@@ -95,7 +95,7 @@ def cost(cuts, pen, chosen, size):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=11), st.data())
 def test_cuts_are_optimal(gaps, data):
-    """Against all subsets of cuts, with every power of two searched (size 32: windows from 4 up are looked up)."""
+    """Against all subsets of cuts, with every power of two searched."""
     size = 32
     cuts = np.concatenate([[0], np.cumsum(gaps)])
     pen = np.array([0.0] + [float(data.draw(st.integers(0, 6))) for _ in gaps])
@@ -104,7 +104,7 @@ def test_cuts_are_optimal(gaps, data):
     assert got[-1] == len(cuts) - 1
 
     def padding(n):
-        return 0 if n & (n - 1) == 0 and n >= size // 8 else size - n
+        return 0 if n & (n - 1) == 0 else size - n
 
     best = [0.0] + [np.inf] * len(gaps)
     for j in range(1, len(cuts)):
@@ -148,6 +148,18 @@ def test_packing(spark, documents):
     assert padding < 0.05 * total                    # four ranges end in one short sequence each
 
 
+@pytest.mark.parametrize("text,ends", [
+    ("one two. three! four? five", ["one two.", "one two. three!", "one two. three! four?"]),
+    ("日本。日本！日本？ab 。x ！y", ["日本。", "日本。日本！", "日本。日本！日本？", "日本。日本！日本？ab 。", "日本。日本！日本？ab 。x ！"]),
+    ("no end", []), ("", [])])
+def test_sentence_ends(text, ends):
+    """Cuts lie where the ids of the text up to a mark end, whatever pieces spell the mark."""
+    got = packing.SentenceEnds(ENC.tok).after(whole(text)[:-1]).tolist()
+    offsets = ENC.tok.encode(text, add_special_tokens=False).offsets
+    want = [max(k + 1 for k, (_, b) in enumerate(offsets) if b <= len(e)) for e in ends]
+    assert got == want
+
+
 def test_packing_blocks(spark, documents):
     rows = packing.pack_documents(documents, tokenizer_path(), size=256, block=5_000, stride=64).collect()
     padding, total = check_pieces(rows, [(r.doc_id, r.text) for r in documents.collect()], 256)
