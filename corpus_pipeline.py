@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from skillsift.llm import mixing, packing, quality, secrets, simhash  # noqa: E402
-from skillsift.llm.common import id_remainder  # noqa: E402
+from skillsift.llm.common import id_remainder, in_file_order  # noqa: E402
 from skillsift.llm.queries import table, tokenizer_path  # noqa: E402
 from skillsift.session import ensure_checkpoint_dir, materialize, ship_package  # noqa: E402
 
@@ -51,14 +51,15 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The weighted mixture of sources: documents as often as they are taken."""
+    """The weighted mixture of sources: documents as often as they are taken, in the order of the queue."""
     return mixing.mixed(docs)
 
 
 @stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 ids."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Pieces of the documents in sequences of at most 2048 ids, in the order the mixture wrote them."""
+    rows, order = in_file_order(docs)
+    return packing.pack_documents(rows, tokenizer_path(), order=order)
 
 
 STAGES = [("quality", good_documents), ("near_duplicates", one_of_each), ("secrets", without_secrets),

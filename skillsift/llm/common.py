@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import compute as pc
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,6 +176,18 @@ def slices(batches: Iterator[pa.RecordBatch], col: str, max_bytes: int = 8 << 20
             i += k
 
 
+def in_file_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` as it lies in its Parquet files, with the columns that order it: a mixture keeps its order there.
+
+    A frame that is not a plain read of files has no such order and is returned as it is, without columns."""
+    place = ["_file_part", "_file", "_file_row"]
+    try:
+        return df.select("*", F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("long").alias(place[0]),
+                         F.col("_metadata.file_path").alias(place[1]), F.col("_metadata.row_index").alias(place[2])), place
+    except AnalysisException:
+        return df, []
+
+
 def by_range(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """Globally ordered by ``key`` (nulls first): range partitions, each sorted; equal rows in a fixed order.
 

@@ -73,7 +73,8 @@ def _same_source(a: str, b: str) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: str = "mix-1-",
         cell: int = 500) -> DataFrame:
-    """One row per document: doc_id, source, tie, size, source_size, target, copies, taken (= copies * size)."""
+    """One row per document: doc_id, source, tie, size, source_size, target, copies, taken (= copies * size), served
+    (its source's words up to and with it, in shuffle order)."""
     spark = docs.sparkSession
     own = sized(docs, seed)
     n = own.count()
@@ -109,14 +110,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
                    .where(F.col("total") <= budget).groupBy("_row").agg(F.count(F.lit(1)).alias("copies")))
     return queued.join(taken, "_row", "left").select(
         "doc_id", "source", "tie", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"),
-        (F.coalesce("copies", F.lit(0)) * F.col("size")).alias("taken"))
+        (F.coalesce("copies", F.lit(0)) * F.col("size")).alias("taken"), "served")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: the rows of ``docs`` that are taken, once per copy, all columns unchanged.
+    """The mixture itself: the rows of ``docs`` that are taken, once per copy, all columns unchanged, in the order of
+    their virtual finish times (range partitions, each sorted: the order of the files they are written to).
 
     Rows meet their copies by (doc_id, source, text hash), in one shuffle of ``docs``; rows that agree in all
-    three share the sum of their copies evenly, the first ones one more where it does not divide."""
+    three share the sum of their copies evenly, the first ones one more where it does not divide, and finish as the
+    first of them does."""
     key = ["_id", "_source", "_tie"]
 
     def text(c: str) -> Column:
@@ -124,11 +127,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     taken = (mix(docs, **options).groupBy(text("doc_id").alias("_id"), text("source").alias("_source"),
                                           F.col("tie").alias("_tie"))
-             .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"))
+             .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"), F.min("served").alias("_served"),
+                  F.first("source_size").alias("_size"), F.first("target").alias("_target")).where("_copies > 0"))
+    finish = ((F.col("_copy") - 1) * F.col("_size") + F.col("_served")).cast("double") / F.col("_target")
+    order = ["_finish", "_id", "_tie", "_number", "_copy"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("*", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("long").cast("string")), F.lit(""))
                         .alias("_id"), text("source").alias("_source"), F.xxhash64(text_or_empty()).alias("_tie"))
     number = F.row_number().over(Window.partitionBy(*key).orderBy("_tie"))
     share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_number") <= F.col("_copies") % F.col("_rows")).cast("int")
     return (keyed.join(taken, key).withColumn("_number", number)
                  .withColumn("_copy", F.explode(F.when(share > 0, F.sequence(F.lit(1).cast("long"), share))))
+                 .withColumn("_finish", finish).repartitionByRange(parts, *order).sortWithinPartitions(*order)
                  .select(*docs.columns))

@@ -16,7 +16,9 @@ a document end), so a task holds one block; every block boundary costs at most o
 
 Cases: null text = empty text = the end id alone; null doc_ids come first; equal doc_ids keep all their rows,
 in the order of a text hash; an empty table gives no rows; other columns are not read. ``sequence_id`` is
-unique over the whole result (partition number and count inside it), ``offset`` has no gaps.
+unique over the whole result (partition number and count inside it), ``offset`` has no gaps. ``place`` numbers the
+document rows in their order (partition number and count inside it), so rows with one doc_id, as a mixture has
+them, keep their pieces apart. ``order`` packs by other columns than doc_id: a mixture's own order.
 
 Plan: one shuffle of (doc_id, text) into doc_id ranges; encoding, cutting and output in the same tasks.
 """
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import by_range, byte_letters, encoder, slices, text_or_empty, value_views
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-          "sequence_id bigint, offset bigint")
+          "sequence_id bigint, offset bigint, place bigint")
 SENTENCE_ENDS = (".", "!", "?", "。", "！", "？")
 
 
@@ -148,13 +150,13 @@ def _packer(tokenizer: str, size: int, block: int, stride: int, mid_doc: float,
         from pyspark import TaskContext
         enc = encoder(tokenizer)
         ends = SentenceEnds(enc.tok)
-        next_seq = TaskContext.get().partitionId() << 40
+        next_seq = next_place = TaskContext.get().partitionId() << 40
         doc_ids: list[int | None] = []
         texts: list[bytes] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal doc_ids, texts, held, next_seq
+            nonlocal doc_ids, texts, held, next_seq, next_place
             r = pack_block(texts, ends, size, stride, mid_doc, mid_sentence)
             lens = np.array([len(t) // 4 for t in texts], np.int64)
             out = pa.RecordBatch.from_pydict({
@@ -162,8 +164,9 @@ def _packer(tokenizer: str, size: int, block: int, stride: int, mid_doc: float,
                 "start": pa.array(r["start"], pa.int64()), "length": pa.array(r["length"], pa.int64()),
                 "ids_crc32": pa.array(r["crc"], pa.int64()), "doc_tokens": pa.array(lens[r["doc"]]),
                 "sequence_id": pa.array(r["sequence"] + next_seq, pa.int64()),
-                "offset": pa.array(r["offset"], pa.int64())})
+                "offset": pa.array(r["offset"], pa.int64()), "place": pa.array(r["doc"] + next_place, pa.int64())})
             next_seq += r["sequences"]
+            next_place += len(texts)
             doc_ids, texts, held = [], [], 0
             return out
 
@@ -180,14 +183,21 @@ def _packer(tokenizer: str, size: int, block: int, stride: int, mid_doc: float,
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, block: int = 1_000_000, stride: int = 128,
-                   mid_doc: float = 2.0, mid_sentence: float = 24.0) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+                   mid_doc: float = 2.0, mid_sentence: float = 24.0, order: list[str] | None = None) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, place.
 
     Penalties are in ids of padding: a cut inside a document at a sentence end costs as much as ``mid_doc``
     padded ids, one inside a sentence as much as ``mid_sentence``."""
     if size & (size - 1) or stride > size:
         raise ValueError("size must be a power of two, stride at most size")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")) \
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"),
+                       *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order or [])]) \
                .withColumn("_tie", F.xxhash64("text"))
-    return by_range(rows, "doc_id").select("doc_id", "text") \
+    if order:
+        by = [*[f"_by{i}" for i in range(len(order))], "doc_id", "_tie"]
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    else:
+        rows = by_range(rows, "doc_id")
+    return rows.select("doc_id", "text") \
         .mapInArrow(_packer(tokenizer, size, block, stride, mid_doc, mid_sentence), PIECES)

@@ -316,6 +316,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(r.length for r in pieces.collect()) == sum(
         r.doc_tokens for r in pieces.where("start = 0").collect())
     assert packing.PIECES.split()[0] == pieces.columns[0]
+    # Packing follows the mixture: documents in the order of their finish times, copies apart.
+    finish = {(r.doc_id, e): (e * r.source_size + r.served) / r.target for r in mixing.mix(clean).collect()
+              for e in range(r.copies)}
+    seen, times = Counter(), []
+    for _, d in sorted({(r.place, r.doc_id) for r in pieces.collect()}):
+        times.append(finish.pop((d, seen[d])))
+        seen[d] += 1
+    assert not finish and times == sorted(times) and max(seen.values()) > 1
 
 
 def test_pipeline_names():
