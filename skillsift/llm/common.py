@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, own_scratch
 
 END_ID = 1                                   # id appended after every document
 TOKENIZER = "word_bpe_49k.json"
@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         base = "file://" + base[len("file:"):]
     if "://" not in base:
         base = "file://" + base
-    return f"{base}/skillsift/{name}-{uuid.uuid4().hex[:12]}"
+    return own_scratch(spark, f"{base}/skillsift/{name}-{uuid.uuid4().hex[:12]}")
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
