@@ -3,7 +3,7 @@
 Embedding: a text is walked over by a pointer. At step j the character under the pointer is the embedding's
 j-th symbol, and a random bit that depends only on j and that character (shared by all texts) says whether the
 pointer moves on. Where two texts differ by k edits their walks meet again after a number of steps that
-depends on k alone, so edit distance k becomes a Hamming distance of order k^2 and never less than k / 2. A
+depends on k alone, so edit distance k becomes a Hamming distance of order k^2. A
 text is walked in blocks of ``BLOCK`` characters, each with a fresh pointer and the same random bits, all
 blocks of a batch side by side; an edit then costs every later block at most two edits, at its two ends.
 
@@ -21,7 +21,9 @@ n * (n - 1) / 2 comparisons.
 
 Cases: null text = empty text, which has the fingerprint of no symbols; a null doc_id comes last in descending
 order; rows of equal doc_id follow each other in the order of a text hash, equal rows any way round; a single
-document is its own next; an empty table gives no rows; other columns are not read. Texts are walked whole.
+document is its own next; an empty table gives no rows; other columns are not read. All blocks of a text are
+walked, whatever its length, but a walk ends after 2 * BLOCK steps: about half of the full blocks leave their last
+few characters (8 on average) unread, and a change there alone is not seen.
 
 Plan: one shuffle deals (doc_id, deflated text) to ranges of doc_id; each range also gets a copy of the first
 document of the next one (one row a range), so that every document meets its neighbour inside one task.
