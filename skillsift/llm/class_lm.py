@@ -3,21 +3,25 @@
 Learning corpus: the documents ``learn`` selects. Tokens: lower-cased (A-Z) words, then one end token a text.
 
 1. Word counts over the whole learning corpus (folded per task before the shuffle) give N, V and c(w).
-2. Words with at least one ``grain``-th of all tokens are clustered; by that definition there are at most
-   ``grain`` of them at any input size. Every other word has a spelling class: digits, other scripts, closing
-   punctuation and length decide. Each clustered word's row holds its successors' and predecessors' counts
-   (clustered words, spelling classes, the end token), at most grain + spelling classes long.
-3. Exchange: from a start by frequency rank, a round looks at a third of the words (by hash) and moves each to the
-   class that raises the class-bigram log-likelihood most, given all other words' classes. Rounds run as one
-   pass over the word rows; only the class map (at most ``grain`` numbers) and the class table (classes squared)
-   pass through the driver. The best map seen is kept.
-4. score(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class); the text starts after an
+2. Every word with ``least`` occurrences or more is clustered, so the clustered vocabulary grows with the corpus; a
+   rarer or unseen word has a spelling class: digits, other scripts, closing punctuation and length decide.
+3. Exchange among the head, the words of at most 64 bytes with at least one ``grain``-th of all tokens: from a start by
+   frequency rank, a round looks at a third of them (by hash) and moves each to the class that raises the
+   class-bigram log-likelihood most, given all other words' classes; words outside the head count by their spelling. A
+   round is one pass over rows (word, neighbours' counts). The best classes seen are kept.
+4. Every other clustered word is then put, by the same likelihood, into the class that fits its neighbours best, given
+   the head's classes and table (``place``). Their classes are a written table (sym, cls) at any size, met by joins;
+   sym is a 60-bit hash of the word with its spelling class, and words of equal sym count as one here.
+5. The class-bigram table is recounted with these classes: moved rows and columns where one neighbour is such a
+   word, and a join of the adjacent pairs with the class table where both are.
+6. score(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class); the text starts after an
    end token. P(class | before) is the bigram estimate with ``alpha`` counts of the class's overall share added;
    P(word | class) = (c + 0.5) / (class tokens + 0.5 * (class words + 1)), which leaves 0.5 for unseen words.
 
-The counts the scorer carries are those of the most frequent words, all clustered ones among them, at most
-``head`` (or ``grain`` if that is more) and none over 64 bytes; every other token of a text goes, folded per text, through a join with the full vocabulary. The split
-changes only the plan, never a number.
+Through the driver pass the head's classes (at most ``grain``), tables of classes squared, and the words the scorer
+carries: the most frequent ones, at most ``head`` and none over 64 bytes. Every other token goes with its place and its
+neighbours' classes through a join with the vocabulary, which gives its count and class; a run of such tokens is put in
+order again per text. The split changes only the plan, never a number.
 
 Cases: null text = empty text = one end token; a null doc_id counts as the empty text for the hash; repeated rows are
 scored one by one; with an empty learning corpus all counts are 0 and the scores fall back to uniform values;
@@ -33,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +57,11 @@ def spelling_class(word: bytes) -> int:
     return digits * 8 + wide * 4 + closed * 2 + (len(word) > 9)
 
 
+def symbol_of(word: bytes) -> int:
+    """Negative 64-bit symbol of a word outside the head: a hash whose last four bits are its spelling class."""
+    return ((xxhash.xxh64_intdigest(word) | 1 << 63) & ~15 | spelling_class(word)) - (1 << 64)
+
+
 # ---- counting --------------------------------------------------------------------------------------------
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +86,30 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pairs(words: dict[bytes, int]):
-    """Counts of neighbouring symbols: clustered words, then spelling classes, then the end token."""
+def _list_rows(sym: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    """One row per symbol with all its neighbours."""
+    order = np.argsort(sym, kind="stable")
+    sym, near = sym[order], near[order]
+    first = np.flatnonzero(np.concatenate([[True], sym[1:] != sym[:-1]]))
+    return _pair_batch(1, sym[first], near=pa.ListArray.from_arrays(
+        pa.array(np.append(first, len(sym)).astype(np.int32)), pa.array(near)))
+
+
+def _pair_batch(kind: int, a: np.ndarray, b=None, n=None, near=None) -> pa.RecordBatch:
+    m = len(a)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(m, kind, np.int32)), pa.array(a, pa.int64()),
+         pa.nulls(m, pa.int64()) if b is None else pa.array(b, pa.int64()),
+         pa.nulls(m, pa.int64()) if n is None else pa.array(n, pa.int64()),
+         pa.nulls(m, pa.list_(pa.int32())) if near is None else near], ["kind", "a", "b", "n", "near"])
+
+
+def _pairs(words: dict[bytes, int], room: int = 2_000_000):
+    """Neighbouring tokens, three kinds of rows.
+
+    0: counts n of neighbouring symbols a, b: head words (0..k-1), spelling classes (k..k+15), the end token (k+16).
+    1: a word outside the head (a: its symbol) with its neighbours: x follows, -x-1 goes before, x as in kind 0.
+    2: two neighbouring words outside the head, a row each time."""
     k = len(words)
     end, base = k + SPELLINGS, k + SPELLINGS + 1
 
@@ -85,7 +117,7 @@ def _pairs(words: dict[bytes, int]):
         seen: dict[bytes, int] = {}
 
         def symbol(w: bytes) -> int:
-            s = k + spelling_class(w)
+            s = symbol_of(w)
             if len(seen) > 500_000:
                 seen.clear()
             if len(w) <= 64:
@@ -96,13 +128,11 @@ def _pairs(words: dict[bytes, int]):
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
             return key, np.bincount(at, np.concatenate(n)).astype(np.int64)
 
-        def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array((key // base).astype(np.int32)),
-                                               pa.array((key % base).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
         keys, ns, held = [], [], 0
-        for b in slices(batches, "text"):
+        syms, nears, lists = [], [], 0
+        for batch in slices(batches, "text"):
             line = [end]
-            for v in value_views(b.column("text")):
+            for v in value_views(batch.column("text")):
                 for w in byte_words(v):
                     s = words.get(w)
                     if s is None:
@@ -111,35 +141,56 @@ def _pairs(words: dict[bytes, int]):
                             s = symbol(w)
                     line.append(s)
                 line.append(end)
-            a = np.array(line, np.int64)
-            key, n = np.unique(a[:-1] * base + a[1:], return_counts=True)
+            x = np.array(line, np.int64)
+            plain = np.where(x < 0, k + (x & 15), x)
+            a, b = x[:-1], x[1:]
+            key, n = np.unique(plain[:-1] * base + plain[1:], return_counts=True)
             keys.append(key)
             ns.append(n)
             held += len(key)
-            if held > 4_000_000:
+            if held > 2 * room:
                 key, n = fold(keys, ns)
-                if len(key) > 2_000_000:
-                    yield out(key, n)
+                if len(key) > room:
+                    yield _pair_batch(0, key // base, key % base, n)
                     keys, ns, held = [], [], 0
                 else:
                     keys, ns, held = [key], [n], len(key)
+            ahead, behind = a < 0, b < 0
+            syms += [a[ahead], b[behind]]
+            nears += [plain[1:][ahead].astype(np.int32), (-plain[:-1][behind] - 1).astype(np.int32)]
+            lists += len(syms[-1]) + len(syms[-2])
+            if lists > room:
+                yield _list_rows(np.concatenate(syms), np.concatenate(nears))
+                syms, nears, lists = [], [], 0
+            both = ahead & behind
+            if both.any():
+                yield _pair_batch(2, a[both], b[both])
         if keys:
-            yield out(*fold(keys, ns))
+            key, n = fold(keys, ns)
+            yield _pair_batch(0, key // base, key % base, n)
+        if lists:
+            yield _list_rows(np.concatenate(syms), np.concatenate(nears))
     return run
 
 
-def contexts(texts: DataFrame, words: list[bytes]) -> DataFrame:
-    """One row per clustered word (and one per spelling class and the end token): its neighbours' counts.
-
-    w, next / next_n, before / before_n, each at most len(words) + 17 long."""
-    spark = texts.sparkSession
+def pair_rows(texts: DataFrame, words: list[bytes]) -> DataFrame:
+    """The written rows of ``_pairs`` for the head ``words``."""
     index = {w: i for i, w in enumerate(words)}
-    pairs = materialize(texts.mapInArrow(_pairs(index), "a int, b int, n bigint")
-                             .groupBy("a", "b").agg(F.sum("n").alias("n")), spark, "symbol-pairs")
+    return materialize(texts.mapInArrow(_pairs(index), "kind int, a bigint, b bigint, n bigint, near array<int>"),
+                       texts.sparkSession, "word-pairs")
+
+
+def contexts(pairs: DataFrame) -> DataFrame:
+    """One row per head word (and one per spelling class and the end token): its neighbours' counts.
+
+    w, next / next_n, before / before_n, each at most as long as there are such symbols."""
+    spark = pairs.sparkSession
+    counts = materialize(pairs.where("kind = 0").groupBy(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+                              .agg(F.sum("n").alias("n")), spark, "symbol-pairs")
 
     def rows(me: str, other: str, name: str) -> DataFrame:
         both = F.collect_list(F.struct(F.col(other).alias("s"), "n"))
-        return pairs.groupBy(F.col(me).alias("w")).agg(both.alias("x")).select(
+        return counts.groupBy(F.col(me).alias("w")).agg(both.alias("x")).select(
             "w", F.col("x.s").alias(name), F.col("x.n").alias(f"{name}_n"))
     return materialize(rows("a", "b", "next").join(rows("b", "a", "before"), "w", "full"), spark, "contexts")
 
@@ -244,6 +295,112 @@ def cluster(rows: DataFrame, words: int, free: int, rounds: int, turns: int = 3)
     return best[1], best[2]
 
 
+# ---- words outside the head --------------------------------------------------------------------------------
+
+def _by_class(classes: np.ndarray, count: int):
+    """(a, code, n): how often a word meets a class; code c: the class follows, count + c: it goes before."""
+    code = np.concatenate([classes, count + classes[::-1]])              # at x, and at -x-1 from the end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = b.column("near")
+            lens = np.diff(np.asarray(near.offsets).astype(np.int64))
+            key, n = np.unique(np.repeat(np.arange(len(lens)), lens) * (2 * count)
+                               + code[near.flatten().to_numpy()], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b.column("a").to_numpy()[key // (2 * count)]), pa.array((key % (2 * count)).astype(np.int32)),
+                 pa.array(n, pa.int64())], ["a", "code", "n"])
+    return run
+
+
+def place(table: np.ndarray, free: int, first: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Best of the ``free`` classes for each word: the one whose log-likelihood is highest when the word's
+    occurrences are added to ``table`` in that class. Word i has the entries first[i]..first[i + 1] of code and n."""
+    t, count, m = table.astype(np.float64), len(table), len(first) - 1
+    row = np.repeat(np.arange(m), np.diff(first))
+    dense = np.zeros((m, 2 * count))
+    dense[row, code] = n
+    nxt, bef = dense[:, :count], dense[:, count:]
+    base = np.concatenate([t[:free].T, t[:, :free]])                     # cells a word in each class adds to, by code
+    cells = _g(base[code] + n[:, None]) - _g(base)[code]
+    out = np.add.reduceat(cells, first[:-1], axis=0)
+    d, x, y = np.diag(t)[:free], nxt[:, :free], bef[:, :free]            # one cell takes both at the class itself
+    out += _g(d + x + y) - _g(d + x) - _g(d + y) + _g(d)
+    after, ahead = t.sum(1)[:free] + y, t.sum(0)[:free] + x
+    out -= _g(after + nxt.sum(1, keepdims=True)) - _g(after) + _g(ahead + bef.sum(1, keepdims=True)) - _g(ahead)
+    return np.argmax(np.round(out, 6), axis=1)                           # equal classes: the first
+
+
+def _place(table: np.ndarray, free: int):
+    """Rows (a, cls) of every word, and (spelling, cls, code, n): occurrences to move in the class table."""
+    count = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                sym, near = b.column("a").to_numpy(), b.column("near")
+                first = np.asarray(near.offsets).astype(np.int64)
+                first = first - first[0]
+                flat = near.flatten()
+                code, n = flat.field("code").to_numpy(), flat.field("n").to_numpy()
+                cls = place(table, free, first, code, n)
+                row = np.repeat(np.arange(len(sym)), np.diff(first))
+                side = code % count
+                known = (side < free) | (side == count - 1)              # neighbours outside the head: see kind 2
+                key, at_key = np.unique(((sym[row] & 15) * free + cls[row])[known] * (2 * count) + code[known],
+                                        return_inverse=True)
+                moved = np.bincount(at_key, n[known], len(key)).astype(np.int64)
+                pair, m = key // (2 * count), len(sym)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(sym, pair // free)), pa.array(np.append(cls, pair % free).astype(np.int32)),
+                     pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array((key % (2 * count)).astype(np.int32))]),
+                     pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(moved)])], ["a", "cls", "code", "n"])
+    return run
+
+
+def place_words(pairs: DataFrame, classes: np.ndarray, table: np.ndarray, free: int,
+                least: int) -> tuple[DataFrame, np.ndarray]:
+    """Written classes (sym, cls) of the words outside the head, and the class table recounted with them."""
+    count = len(table)
+    # By symbol alone: both groupings reuse that partitioning. A symbol has at most a grain-th of all tokens
+    # (words over 64 bytes aside), folded per chunk to 2 * count rows.
+    met = (pairs.where("kind = 1").select("a", "near").mapInArrow(_by_class(classes, count), "a bigint, code int, n bigint")
+                .repartition("a").groupBy("a", "code").agg(F.sum("n").alias("n")))
+    words = (met.groupBy("a").agg(F.collect_list(F.struct("code", "n")).alias("near"),
+                                  F.sum(F.when(F.col("code") < count, F.col("n"))).alias("total"))
+                .where(F.col("total") >= least).select("a", "near"))
+    placed = materialize(words.mapInArrow(_place(table, free), "a bigint, cls int, code int, n bigint"),
+                         pairs.sparkSession, "placed")
+    cls = placed.where("code is null").select(F.col("a").alias("sym"), "cls")
+
+    out = table.copy()
+    moved = placed.where("code is not null").groupBy("a", "cls", "code").agg(F.sum("n").alias("n")).toArrow()
+    s, c, k, n = (moved.column(x).to_numpy() for x in ("a", "cls", "code", "n"))       # 16 * free * 2 * count at most
+    nxt, old = k < count, free + s
+    np.subtract.at(out, (old[nxt], k[nxt]), n[nxt])
+    np.add.at(out, (c[nxt], k[nxt]), n[nxt])
+    np.subtract.at(out, (k[~nxt] - count, old[~nxt]), n[~nxt])
+    np.add.at(out, (k[~nxt] - count, c[~nxt]), n[~nxt])
+
+    def of(sym: str, name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(free) + F.col(sym).bitwiseAND(15)).cast("int").alias(name)
+
+    # First what of b and the class of a, folded, then the class of b.
+    both = (pairs.where("kind = 2").select("a", "b").join(cls.toDF("a", "ca"), "a", "left")
+                 .select(F.col("a").bitwiseAND(15).alias("sa"), of("a", "ca"), "b")
+                 .join(cls.toDF("b", "cb"), "b", "left")
+                 .select("sa", "ca", F.col("b").bitwiseAND(15).alias("sb"), of("b", "cb"))
+                 .groupBy("sa", "ca", "sb", "cb").agg(F.count(F.lit(1)).alias("n")))
+    tables = materialize(both, pairs.sparkSession, "outer-pairs")
+    for x, y, sign in (("ca", "cb", 1), ("sa", "sb", -1)):
+        got = tables.groupBy(x, y).agg(F.sum("n").alias("n")).toArrow()                  # count * count at most
+        i, j, n = (got.column(v).to_numpy().astype(np.int64) for v in (x, y, "n"))
+        shift = 0 if sign > 0 else free
+        np.add.at(out, (i + shift, j + shift), sign * n)
+    return cls, out
+
+
 # ---- model and scores ------------------------------------------------------------------------------------
 
 class Model:
@@ -269,110 +426,130 @@ class Model:
 
 
 def _score(model, tokens_of_end: int):
+    """Sums over the carried tokens, and every other token with its place and its neighbours' classes (-1: such a
+    token itself). A transition counts where its later token is, or, after such a token, with that one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         get = m.index.get
         log_n = np.append(np.log10(m.n + 0.5), 0.0)
         emit = np.append(np.log10(m.n + 0.5) - m.class_room[m.cls], 0.0)
+        classes = np.append(m.cls, -1).astype(np.int64)
+        step = np.pad(m.step, (0, 1))                                    # no transition beside class -1
         base_end = math.log10(tokens_of_end + 0.5)
         for b in slices(batches, "text"):
-            cols = {k: [] for k in ("n_tokens", "n_known", "base", "score", "tail", "tail_class", "tail_n")}
+            cols = {k: [] for k in ("n_tokens", "n_known", "base", "score", "tail", "spelling", "at", "left", "right")}
             for v in value_views(b.column("text")):
                 words = byte_words(v)
                 ids = np.array([get(w, -1) for w in words], np.int64)
-                cls = np.append(m.cls, 0)[ids] if len(m.cls) else np.zeros(len(ids), np.int32)
+                line = np.concatenate([[m.end], classes[ids], [m.end]])
                 rare = np.flatnonzero(ids < 0)
-                tail = Counter()
-                for i in rare.tolist():
-                    c = m.free + spelling_class(words[i])
-                    cls[i] = c
-                    tail[words[i], c] += 1
-                line = np.concatenate([[m.end], cls, [m.end]]).astype(np.int64)
+                out = [words[i] for i in rare.tolist()]
                 cols["n_tokens"].append(len(words) + 1)
                 cols["n_known"].append(len(words) - len(rare) + (tokens_of_end > 0))
                 cols["base"].append(float(log_n[ids].sum()) + base_end)
-                cols["score"].append(float(m.step[line[:-1], line[1:]].sum() + emit[ids].sum()) + m.end_emission)
-                cols["tail"].append([w for w, _ in tail])
-                cols["tail_class"].append([c for _, c in tail])
-                cols["tail_n"].append(list(tail.values()))
+                cols["score"].append(float(step[line[:-1], line[1:]].sum() + emit[ids].sum()) + m.end_emission)
+                cols["tail"].append(out)
+                cols["spelling"].append([m.free + spelling_class(w) for w in out])
+                cols["at"].append(rare)
+                cols["left"].append(line[rare])
+                cols["right"].append(line[rare + 2])
             yield pa.RecordBatch.from_arrays(
                 [b.column("_row"), b.column("doc_id"), b.column("held_out"), pa.array(cols["n_tokens"], pa.int64()),
                  pa.array(cols["n_known"], pa.int64()), pa.array(cols["base"], pa.float64()),
-                 pa.array(cols["score"], pa.float64()), pa.array(cols["tail"], pa.list_(pa.binary())),
-                 pa.array(cols["tail_class"], pa.list_(pa.int32())), pa.array(cols["tail_n"], pa.list_(pa.int64()))],
-                ["_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "tail_class", "tail_n"])
+                 pa.array(cols["score"], pa.float64()), pa.array(cols["tail"], pa.list_(pa.binary()))]
+                + [pa.array(cols[c], pa.list_(pa.int32())) for c in ("spelling", "at", "left", "right")],
+                ["_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "spelling", "at", "left",
+                 "right"])
     return run
 
 
 SCORED = ("_row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
-          "tail array<binary>, tail_class array<int>, tail_n array<bigint>")
+          "tail array<binary>, spelling array<int>, at array<int>, left array<int>, right array<int>")
+
+
+def _score_rest(step: np.ndarray, room: np.ndarray):
+    """Sums over the tokens that went through the join, ``x`` in the order of their places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = np.asarray(b.column("x").offsets).astype(np.int64)
+            first = first - first[0]
+            x = b.column("x").flatten()
+            cls, left, right, n = (x.field(c).to_numpy() for c in ("cls", "left", "right", "n"))
+            before = np.where(left < 0, np.roll(cls, 1), left)           # its neighbour is the row's one before
+            log_n = np.log10(n + 0.5)
+            score = step[before, cls] + np.where(right < 0, 0.0, step[cls, right]) + log_n - room[cls]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_row"), pa.array(np.add.reduceat((n > 0).astype(np.int64), first[:-1])),
+                 pa.array(np.add.reduceat(log_n, first[:-1])), pa.array(np.add.reduceat(score, first[:-1]))],
+                ["_row", "known", "t_base", "t_score"])
+    return run
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words = b.column("word").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [b.column("word"), b.column("n"), pa.array([-1 if w == END else spelling_class(w) for w in words],
-                                                       pa.int32())], ["word", "n", "spelling"])
+        syms = [0 if w == END else symbol_of(w) for w in b.column("word").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(syms, pa.int64())],
+                                         ["word", "n", "sym"])
 
 
 def score_documents(docs: DataFrame, held_out: Column, free: int = 64, rounds: int = 6, grain: int = 1 << 15,
-                    head: int = 300_000, alpha: float = 5.0) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+                    head: int = 300_000, alpha: float = 5.0, least: int = 5) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity,
+    clustered_tokens (of the learning corpus, those of clustered words)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
     learn = rows.where(~F.col("held_out")).select("text")
-    vocab = materialize(count_words(learn).mapInArrow(_spelled, "word binary, n bigint, spelling int"), spark, "vocab")
-    st = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
-                   F.coalesce(F.sum(F.when(F.col("spelling") < 0, F.col("n"))), F.lit(0)).alias("ends")).first()
+    counted = materialize(count_words(learn).mapInArrow(_spelled, "word binary, n bigint, sym bigint"), spark, "counts")
+    st = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
+                     F.coalesce(F.sum(F.when(F.col("sym") == 0, F.col("n"))), F.lit(0)).alias("ends")).first()
     total, types, ends = st["n"], st["v"], st["ends"]
 
-    # Clustered: at least total / grain tokens, so at most ``grain`` words.
-    frequent = (vocab.where((F.col("spelling") >= 0) & (F.length("word") <= 64) & (F.col("n") * grain >= total))
-                     .orderBy(F.desc("n"), "word").toArrow())
-    words, word_n = frequent.column("word").to_pylist(), frequent.column("n").to_pylist()
-    classes, table = cluster(contexts(learn, words), len(words), free, rounds)
-
-    # Class sizes: clustered words from their counts, the rest by spelling class.
+    # Head: at least total / grain tokens, so at most ``grain`` words.
+    in_head = (F.length("word") <= 64) & (F.col("n") * grain >= total) & (F.col("n") >= least)
+    frequent = counted.where((F.col("sym") != 0) & in_head).orderBy(F.desc("n"), "word").toArrow()
+    words = frequent.column("word").to_pylist()
+    pairs = pair_rows(learn, words)
+    classes, head_table = cluster(contexts(pairs), len(words), free, rounds)
+    placed, table = place_words(pairs, classes, head_table, free, least)
+
+    # Every word's class: the head's by its rank there, other words' from the class table, else by spelling.
+    ranked = spark.createDataFrame([(bytearray(w), int(c)) for w, c in zip(words, classes)], "word binary, cls int")
+    vocab = materialize(
+        counted.where((F.col("sym") != 0) & ~in_head).join(placed, "sym", "left")
+               .select("word", "n", F.coalesce("cls", F.lit(free) + F.col("sym").bitwiseAND(15)).cast("int").alias("cls"))
+               .unionByName(counted.where((F.col("sym") != 0) & in_head).join(F.broadcast(ranked), "word")
+                                   .select("word", "n", "cls")), spark, "vocab")
     count = free + SPELLINGS + 1
     class_tokens, class_words = np.zeros(count), np.zeros(count)
-    np.add.at(class_tokens, classes[:len(words)], word_n)
-    np.add.at(class_words, classes[:len(words)], 1)
-    clustered = (F.length("word") <= 64) & (F.col("n") * grain >= total)
-    for r in (vocab.where((F.col("spelling") >= 0) & ~clustered).groupBy("spelling")
-                   .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()):     # 16 rows at most
-        class_tokens[free + r["spelling"]], class_words[free + r["spelling"]] = r["n"], r["v"]
-
-    # Head: the smallest count that at most ``head`` words reach (from the histogram of counts, one row a count
-    # and at most sqrt(2 * total) of them).
-    # Clustered words are at most ``grain``, so a head of that size holds them all.
-    least = _least_count(vocab, max(head, grain))
-    top = vocab.where((F.col("spelling") >= 0) & (F.length("word") <= 64) & (F.col("n") >= least)).toArrow()
-    own = dict(zip(words, classes[:len(words)].tolist()))
-    carried = [(w, n, own.get(w, free + s)) for w, n, s in zip(*(top.column(c).to_pylist()
-                                                                for c in ("word", "n", "spelling")))]
-    model = Model(carried, table, class_tokens, class_words, total, types, free, alpha)
+    for r in vocab.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # a row a class
+        class_tokens[r["cls"]], class_words[r["cls"]] = r["n"], r["v"]
+
+    # Carried: words of the smallest count that at most ``head`` words reach (from the histogram of counts, one row a
+    # count and at most sqrt(2 * total) of them).
+    enough = _least_count(vocab, head)
+    carry = (F.length("word") <= 64) & (F.col("n") >= enough)
+    top = vocab.where(carry).toArrow()
+    model = Model(list(zip(*(top.column(c).to_pylist() for c in ("word", "n", "cls")))), table, class_tokens, class_words,
+                  total, types, free, alpha)
     shared = spark.sparkContext.broadcast(model)
 
     scored = materialize(rows.withColumn("_row", F.monotonically_increasing_id())
                              .mapInArrow(_score(shared, ends), SCORED), spark, "scored")
-    tail = scored.select("_row", F.explode(F.arrays_zip("tail", "tail_class", "tail_n")).alias("t")).select(
-        "_row", F.col("t.tail").alias("word"), F.col("t.tail_class").alias("cls"), F.col("t.tail_n").alias("k"))
-    rest = vocab.where((F.col("n") < least) | (F.length("word") > 64)).select("word", "n")
-    room = F.array(*[F.lit(float(x)) for x in model.class_room])
-    n0 = F.coalesce("n", F.lit(0))
-    log_n = F.log10(n0 + 0.5)
-    tails = (tail.join(rest, "word", "left").groupBy("_row").agg(
-        F.sum(F.when(n0 > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * log_n).alias("t_base"),
-        F.sum(F.col("k") * (log_n - F.get(room, F.col("cls")))).alias("t_score")))
-    out = scored.select("_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(tails, "_row", "left")
+    tail = scored.select("_row", F.explode(F.arrays_zip("tail", "spelling", "at", "left", "right")).alias("t")).select(
+        "_row", F.col("t.tail").alias("word"), "t.spelling", "t.at", "t.left", "t.right")
+    x = F.struct("at", F.coalesce("cls", "spelling").alias("cls"), "left", "right", F.coalesce("n", F.lit(0)).alias("n"))
+    rest = (tail.join(vocab.where(~carry), "word", "left").groupBy("_row").agg(F.sort_array(F.collect_list(x)).alias("x"))
+                .mapInArrow(_score_rest(model.step, model.class_room),
+                            "_row bigint, known bigint, t_base double, t_score double"))
+    out = scored.select("_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(rest, "_row", "left")
     score = F.col("score") + F.coalesce("t_score", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("t_base", F.lit(0.0)) - F.col("n_tokens") * model.base_room).alias("base_score"),
-        score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+        score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        F.lit(int(class_tokens[:free].sum())).cast("long").alias("clustered_tokens"))
 
 
 def _least_count(vocab: DataFrame, head: int) -> int:

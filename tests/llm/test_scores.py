@@ -26,31 +26,107 @@ def remainder(doc_id):
     return zlib.crc32(str(doc_id).encode() if doc_id is not None else b"") % 5
 
 
-def direct(rows, scored, free, rounds, grain):
-    """The model from the definition: counts, the same exchange on the driver's own tables, per-token sums."""
+def likeliest(x):
+    """Index of the highest value; of equal ones the first."""
+    return int(np.argmax(np.round(np.array(x), 6)))
+
+
+def spelled(word):
+    text = word.decode()
+    last = text[-1]
+    closed = last.isascii() and not (last.islower() or last.isdigit())
+    return 8 * any(c in "0123456789" for c in text) + 4 * (not text.isascii()) + 2 * closed + (len(word) > 9)
+
+
+def direct(rows, free, rounds, grain, least, alpha=5.0):
+    """The model from its definition: every table recounted over the tokens, every likelihood from a whole table."""
     learn = [words(t) for i, t in rows if remainder(i) != 1]
     counts = Counter(w for d in learn for w in d)
     ends = len(learn)
     total, types = sum(counts.values()) + ends, len(counts) + (ends > 0)
-    clustered = sorted((w for w, n in counts.items() if n * grain >= total and len(w) <= 64),
-                       key=lambda w: (-counts[w], w))
-    return counts, ends, total, types, clustered
-
-
-def test_scores_equal_the_definition(spark, documents):
-    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    head = sorted((w for w, n in counts.items() if n * grain >= total and len(w) <= 64 and n >= least),
+                  key=lambda w: (-counts[w], w))
+    count, end = free + 17, free + 16
+    cls = {w: free + spelled(w) for w in counts}
+    cls.update((w, i % free) for i, w in enumerate(head))
+    pairs = Counter(p for d in learn for p in zip([None, *d], [*d, None]))
+
+    def table(cls):
+        t = np.zeros((count, count), np.int64)
+        for (a, b), n in pairs.items():
+            t[cls.get(a, end), cls.get(b, end)] += n
+        return t
+
+    def value(cls):
+        return class_lm.log_likelihood(table(cls))
+    best = value(cls), cls
+    for r in range(rounds):
+        moves = {}
+        for i, w in enumerate(head):
+            if zlib.crc32(i.to_bytes(4, "little")) % 3 == r % 3:
+                v = [value({**cls, w: c}) for c in range(free)]
+                if max(v) > v[cls[w]] + 1e-6:
+                    moves[w] = likeliest(v)
+        if not moves:
+            break
+        cls = {**cls, **moves}
+        best = max(best, (value(cls), cls), key=lambda x: x[0])
+    cls, base, final = best[1], table(best[1]), dict(best[1])
+    for w in counts:
+        if counts[w] >= least and w not in head:
+            own = [(a, b, n) for (a, b), n in pairs.items() if w in (a, b)]
+            v = []
+            for c in range(free):
+                t = base.copy()
+                for a, b, n in own:
+                    if a == w:
+                        t[c, cls.get(b, end)] += n
+                    if b == w:
+                        t[cls.get(a, end), c] += n
+                v.append(class_lm.log_likelihood(t))
+            final[w] = likeliest(v)
+    t = table(final).astype(float)
+    share = (t.sum(0) + 0.5) / (t.sum() + 0.5 * count)
+    step = np.log10((t + alpha * share) / (t.sum(1, keepdims=True) + alpha))
+    tokens, members = Counter(), Counter(final.values())
+    for w, n in counts.items():
+        tokens[final[w]] += n
+
+    def score(d):
+        line = [end, *(final.get(w, free + spelled(w)) for w in d), end]
+        return (sum(step[a, b] for a, b in zip(line, line[1:]))
+                + sum(math.log10((counts[w] + 0.5) / (tokens[c] + 0.5 * (members[c] + 1))) for w, c in zip(d, line[1:])))
+    return counts, ends, total, types, sum(n for c, n in tokens.items() if c < free), score
+
+
+@pytest.mark.parametrize("head", [50, 10 ** 6])
+def test_scores_equal_the_definition(spark, documents, head):
+    """A third of the tables' documents, some words of over 64 bytes among them, few or all words carried."""
+    some = documents.where("doc_id % 3 = 0").limit(40)
+    rows = [(r.doc_id, r.text and r.text[:1500]) for r in some.orderBy("doc_id").collect()]
+    rows += [(10 ** 6 + i, f"{'long' * 20} stands here, {'w' * 70} too {'long' * 20}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in class_lm.score_documents(
-        documents, id_remainder() == 1, free=8, rounds=3, grain=500, head=300).collect()}
-    counts, ends, total, types, clustered = direct(rows, None, 8, 3, 500)
-    assert len(got) == len(rows)
+        df, id_remainder() == 1, free=4, rounds=4, grain=120, head=head, least=3).collect()}
+    counts, ends, total, types, clustered, score = direct(rows, 4, 4, 120, 3)
+    assert len(got) == len(rows) and 0 < clustered < total
     base_room = math.log10(total + 0.5 * (types + 1))
     for i, t in rows:
         g, w = got[i], words(t)
         assert (g.held_out, g.n_tokens, g.train_tokens) == (remainder(i) == 1, len(w) + 1, total)
-        assert g.n_known == sum(counts[x] > 0 for x in w) + (ends > 0)
+        assert g.n_known == sum(counts[x] > 0 for x in w) + (ends > 0) and g.clustered_tokens == clustered
         base = sum(math.log10(counts[x] + 0.5) - base_room for x in w) + math.log10(ends + 0.5) - base_room
         assert g.base_score == pytest.approx(base, rel=1e-9)
-        assert g.score < 0 and g.perplexity == pytest.approx(10 ** (-g.score / g.n_tokens))
+        assert g.score == pytest.approx(score(w), rel=1e-9)
+        assert g.perplexity == pytest.approx(10 ** (-g.score / g.n_tokens))
+
+
+def test_clustered_words_grow_with_the_corpus(spark):
+    def clustered(sf):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        return class_lm.score_documents(docs, id_remainder() == 1, rounds=1).first()
+    small, large = clustered("sf0.001"), clustered("sf0.01")
+    assert large.clustered_tokens / large.train_tokens > small.clustered_tokens / small.train_tokens
 
 
 def test_score_does_not_depend_on_what_is_carried(spark, documents):
@@ -70,7 +146,7 @@ def test_score_from_model_parts(spark):
     r = rows[0]
     assert len({x.score for x in rows}) == 1 and r.n_known == r.n_tokens == 41
     assert r.score > r.base_score + 8               # about 40 tokens of 0.3 each are saved
-    contexts = class_lm.contexts(docs.select("text"), [b"aa", b"bb"])
+    contexts = class_lm.contexts(class_lm.pair_rows(docs.select("text"), [b"aa", b"bb"]))
     classes, table = class_lm.cluster(contexts, 2, 4, 3)
     end = 4 + class_lm.SPELLINGS
     assert table.sum() == 40 * 41 and table[classes[0], classes[1]] == 800 and table[end, classes[0]] == 40
@@ -120,7 +196,7 @@ def test_gains_equal_recounting(seq, w, seed):
 
 def test_rounds_do_not_lower_the_likelihood(spark, documents):
     vocab = sorted({w for r in documents.collect() for w in words(r.text)})[:400]
-    rows = class_lm.contexts(documents.select("text"), vocab)
+    rows = class_lm.contexts(class_lm.pair_rows(documents.select("text"), vocab))
     first = class_lm.cluster(rows, len(vocab), 8, 0)[1]
     assert class_lm.log_likelihood(class_lm.cluster(rows, len(vocab), 8, 6)[1]) > class_lm.log_likelihood(first)
 
