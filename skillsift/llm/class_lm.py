@@ -6,12 +6,13 @@ Learning corpus: the documents ``learn`` selects. Tokens: lower-cased (A-Z) word
 2. Every word with ``least`` occurrences or more is clustered, so the clustered vocabulary grows with the corpus; a
    rarer or unseen word has a spelling class: digits, other scripts, closing punctuation and length decide.
 3. Exchange among the head, the words of at most 64 bytes with at least one ``grain``-th of all tokens: from a start by
-   frequency rank, a round looks at a third of them (by hash) and moves each to the class that raises the
+   frequency rank, a round looks at an eighth of them (by hash) and moves each to the class that raises the
    class-bigram log-likelihood most, given all other words' classes; words outside the head count by their spelling. A
-   round is one pass over rows (word, neighbours' counts). The best classes seen are kept.
+   round is one pass over rows (word, neighbours' counts); larger shares moved at once undo each other. The best
+   classes seen are kept.
 4. Every other clustered word is then put, by the same likelihood, into the class that fits its neighbours best, given
    the head's classes and table (``place``). Their classes are a written table (sym, cls) at any size, met by joins;
-   sym is a 60-bit hash of the word with its spelling class, and words of equal sym count as one here.
+   sym is a 59-bit hash of the word with its spelling class, and words of equal sym count as one here.
 5. The class-bigram table is recounted with these classes: moved rows and columns where one neighbour is such a
    word, and a join of the adjacent pairs with the class table where both are.
 6. score(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class); the text starts after an
@@ -276,16 +277,19 @@ def _exchange(classes: np.ndarray, table: np.ndarray, words: int, free: int, tur
     return run
 
 
-def cluster(rows: DataFrame, words: int, free: int, rounds: int, turns: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def cluster(rows: DataFrame, words: int, free: int, rounds: int, turns: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all symbols (words 0..free-1, spelling classes, end) and the class table."""
     count = free + SPELLINGS + 1
     classes = np.concatenate([np.arange(words) % free, free + np.arange(SPELLINGS + 1)]).astype(np.int32)
     table = class_table(rows, classes, count)
-    best = (log_likelihood(table), classes, table)
+    best, still = (log_likelihood(table), classes, table), 0
     for r in range(rounds):
         moved = rows.mapInArrow(_exchange(classes, table, words, free, r % turns, turns), "w int, c int").toArrow()
+        still = 0 if moved.num_rows else still + 1                      # at most ``words`` rows, one number each
+        if still == turns:
+            break
         if not moved.num_rows:
-            break                                                       # at most ``words`` rows, one number each
+            continue
         classes = classes.copy()
         classes[moved.column("w").to_numpy()] = moved.column("c").to_numpy()
         table = class_table(rows, classes, count)
@@ -492,7 +496,7 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["word", "n", "sym"])
 
 
-def score_documents(docs: DataFrame, held_out: Column, free: int = 64, rounds: int = 6, grain: int = 1 << 15,
+def score_documents(docs: DataFrame, held_out: Column, free: int = 64, rounds: int = 24, grain: int = 1 << 15,
                     head: int = 300_000, alpha: float = 5.0, least: int = 5) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity,
     clustered_tokens (of the learning corpus, those of clustered words)."""
