@@ -3,8 +3,9 @@
 Embedding: a text is walked over by a pointer. At step j the character under the pointer is the embedding's
 j-th symbol, and a random bit that depends only on j and that character (shared by all texts) says whether the
 pointer moves on. Where two texts differ by k edits their walks meet again after a number of steps that
-depends on k alone, so edit distance k becomes a Hamming distance of order k^2. A
-text is walked in blocks of ``BLOCK`` characters, each with a fresh pointer and the same random bits, all
+depends on k alone, so edit distance k becomes a Hamming distance of order k^2. A walk over n characters takes 2n
+steps; one that has fallen behind moves at every step as soon as it could not reach the end otherwise, so every
+character is met. A text is walked in blocks of ``BLOCK`` characters, each with a fresh pointer and the same random bits, all
 blocks of a batch side by side; an edit then costs every later block at most two edits, at its two ends.
 
 Fingerprint: ``SLOTS`` samples of the embedding. Slot m looks at one cell of the text (a block's stretch of
@@ -13,20 +14,24 @@ the two symbols 2 and 4 steps on. The cell is chosen by jump consistent hashing
 when a text grows by some cells only that share of the slots moves. Written as SLOTS hex digits. Likeness of
 two fingerprints: the share of equal digits, less the 1/16 that agree by chance, rescaled to 0..1.
 
-``near_links`` bands the digits: ``bands`` choices of ``band`` digits, and all pairs of distinct fingerprints that
-share the digits of a band are verified by likeness; ``near_groups`` joins the links to components. Two texts
-whose digits agree at a share s meet with chance about 1 - (1 - s ** band) ** bands: with 128 bands of 8 digits
-0.95 at likeness 0.6 and above 0.99 from 0.65 on. No bucket is cut: a band shared by n distinct fingerprints costs
-n * (n - 1) / 2 comparisons.
+``near_groups`` joins alike texts to components: ``bands`` choices of ``band`` digits put the distinct fingerprints
+into buckets. First every member of a bucket is verified against its smallest one, and the links give components;
+only buckets that still hold several components need more: up to ``BUCKET`` members all pairs across components
+are verified, larger ones are banded again on ``AGAIN`` further choices of digits each, ``LEVELS`` times, and what
+is still large after that is compared in all pairs across components. A group of close copies of any size thus
+costs its members, not its pairs. Two fingerprints whose digits agree at a share s meet with chance about
+1 - (1 - s ** band) ** bands: the query's 16 bands of 8 digits give 0.96 at likeness 0.8 and 0.99 at 0.85 (a large
+mixed bucket keeps 0.97 of that per further choice); 128 bands give 0.95 at 0.6. ``near_links`` returns the verified
+pairs themselves; there a band shared by n distinct fingerprints costs n * (n - 1) / 2 comparisons.
 
 Cases: null text = empty text, which has the fingerprint of no symbols; a null doc_id comes last in descending
-order; rows of equal doc_id follow each other in the order of a text hash, equal rows any way round; a single
-document is its own next; an empty table gives no rows; other columns are not read. All blocks of a text are
-walked, whatever its length, but a walk ends after 2 * BLOCK steps: about half of the full blocks leave their last
-few characters (8 on average) unread, and a change there alone is not seen.
+order and is linked like any other (its component may have an id through others, else null); rows of equal doc_id
+follow each other in the order of a text hash, equal rows any way round; equal texts always share a component; a
+single document is its own next; an empty table gives no rows; other columns are not read.
 
 Plan: one shuffle deals (doc_id, deflated text) to ranges of doc_id; each range also gets a copy of the first
-document of the next one (one row a range), so that every document meets its neighbour inside one task.
+document of the next one (one row a range), so that every document meets its neighbour inside one task. Grouping
+works on (key, number of a distinct fingerprint) rows; every step's links and members are written tables.
 """
 
 from __future__ import annotations
@@ -40,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import text_or_empty, value_views
 from .simhash import components
 
@@ -47,6 +53,7 @@ BLOCK, CELL, SLOTS = 1024, 64, 128
 STEPS = 2 * BLOCK
 LETTERS = 256                                 # characters are folded to this many walk symbols
 PAD = LETTERS                                 # symbol past a block's end
+BUCKET, AGAIN, DEEPER, LEVELS = 64, 8, 5, 3   # large buckets: further choices, digits in each, how often
 OUT = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
        "near_edited double, near_next double")
 
@@ -90,12 +97,18 @@ def embed(blocks: np.ndarray) -> np.ndarray:
     """Embedded symbols, (STEPS + 4, blocks), of walk symbols (blocks, BLOCK + 1) whose last column is PAD."""
     n = len(blocks)
     flat = blocks.ravel()
+    size = (blocks != PAD).sum(1)
     at = np.arange(n, dtype=np.int64) * (BLOCK + 1)
+    end = at + size
+    behind = at - size + 1                    # + step: below this the end would be out of reach
+    least = int(size.min()) if n else 0
     out = np.full((STEPS + 4, n), PAD, np.uint16)
     for j in range(STEPS):
         c = flat[at]
         out[j] = c
         at += MOVES[j][c]
+        if j >= least:
+            np.maximum(at, np.minimum(behind + j, end), out=at)
     return out
 
 
@@ -271,11 +284,77 @@ def near_links(fps: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprin
     return pairs.select(both[0].alias("a"), both[1].alias("b"), "likeness")
 
 
+def _words(c: str) -> list:
+    """A fingerprint's digits as numbers of eight digits each."""
+    return [F.conv(F.substring(F.col(c), i, 8), 16, 10).cast("long") for i in range(1, SLOTS, 8)]
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose fingerprints are alike by ``least`` or more."""
+    differ = F.lit(0)
+    for x, y in zip(_words("fa"), _words("fb")):
+        z = x.bitwiseXOR(y)
+        for k in (2, 1):                       # a digit's four bits gathered in its lowest
+            z = z.bitwiseOR(F.shiftright(z, k))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x11111111)))
+    own = nodes.select("node", "fp")
+    met = pairs.distinct().join(own.toDF("a", "fa"), "a").join(own.toDF("b", "fb"), "b")
+    like = ((SLOTS - differ) / SLOTS - 1 / 16) / (1 - 1 / 16)
+    return met.where(F.greatest(F.lit(0.0), like) >= least).select("a", "b")
+
+
+def _banded(fps: DataFrame, places: list[list[int]], *given: str) -> DataFrame:
+    """(key, node) for every choice of digit places; ``given`` columns are part of the key."""
+    def key(choice, no):
+        digits = F.array_join(F.transform(choice, lambda i: F.substring(F.col("fp"), i, F.lit(1))), "")
+        return F.xxhash64(*given, no, digits)
+
+    return fps.select("node", F.explode(F.transform(F.lit(places), key)).alias("key"))
+
+
+def _linked(edges: list[DataFrame]) -> DataFrame:
+    """(node, root) of all nodes with a link."""
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    return components(every).toDF("node", "root")
+
+
 def near_groups(fps: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", band: int = 8,
-                least: float = 0.6, bands: int = 128) -> DataFrame:
+                least: float = 0.6, bands: int = 128, bucket: int = BUCKET) -> DataFrame:
     """One row (fingerprint, component_id) per distinct fingerprint: the smallest id reachable over links."""
-    ids = fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("id"))
-    edges = _alike(fps, fp_col, band, bands, least).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    rooted = ids.join(components(edges).toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    spark = fps.sparkSession
+    # Numbered once, in a written table: a doc_id may repeat with different texts and cannot stand for a fingerprint.
+    nodes = materialize(fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("id"))
+                           .withColumn("node", F.monotonically_increasing_id()), spark, "distinct-fingerprints")
+    edges = []
+    banded = _banded(nodes, band_places(band, bands))
+    for level in range(LEVELS + 1):
+        sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"))
+                                  .where("n > 1"), spark, "bucket-sizes")
+        shared = materialize(banded.join(sizes, "key"), spark, "buckets")
+        edges.append(materialize(_verified(shared.where("node != head").select(
+            F.col("head").alias("a"), F.col("node").alias("b")), nodes, least), spark, "star-links"))
+        rooted = shared.join(_linked(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        mixed = materialize(rooted.join(open_keys.select("key"), "key"), spark, "mixed-buckets")
+        now = mixed if level == LEVELS else mixed.where(F.col("n") <= bucket)
+        left, right = (now.select("key", F.col("node").alias(x), F.col("root").alias("r" + x)) for x in "ab")
+        pairs = left.join(right, "key").where("a < b and ra != rb").select("a", "b")
+        edges.append(materialize(_verified(pairs, nodes, least), spark, "cross-links"))
+        large = mixed.where(F.col("n") > bucket).select("key", "node")
+        if level == LEVELS or large.isEmpty():
+            break
+        banded = materialize(_banded(large.withColumnRenamed("key", "above").join(nodes.select("node", "fp"), "node"),
+                                     band_places(DEEPER, AGAIN, seed=100 + level), "above"), spark, "banded-again")
+    rooted = nodes.join(_linked(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(first, "root").select(F.col("fp").alias(fp_col), "component_id")
+
+
+def grouped_fingerprints(docs: DataFrame, least: float = 0.8, band: int = 8, bands: int = 16,
+                         max_chars: int = 3_000_000) -> DataFrame:
+    """``edit_fingerprints`` with component_id: the smallest doc_id reachable over texts alike by ``least`` or more."""
+    fps = materialize(edit_fingerprints(docs, max_chars), docs.sparkSession, "edit-fingerprints")
+    return fps.join(near_groups(fps, band=band, least=least, bands=bands), "fingerprint").select(
+        *fps.columns, "component_id")

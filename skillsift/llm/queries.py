@@ -54,9 +54,9 @@ def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit-embedding fingerprints of every document and of its edited text."""
-    from .edit_embedding import edit_fingerprints
-    return edit_fingerprints(table(spark, sf_dir, "documents"))
+    """Edit-embedding fingerprints of every document and of its edited text, and its group of near copies."""
+    from .edit_embedding import grouped_fingerprints
+    return grouped_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op8_fair_queueing_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,9 @@ def slow_embedding(text):
             row.append(c)
             if c != ee.PAD:
                 i += int(ee.MOVES[j][c])
+            # As many steps as are left always suffice for the characters that are left.
+            i = max(i, len(blk) - max(0, 2 * len(blk) - j - 1))
+        assert i == len(blk)
         out.append(row + [ee.PAD] * 4)
     return out
 
@@ -255,3 +258,69 @@ def test_near_links_recall(spark):
     roots = {r.fingerprint: r.component_id for r in ee.near_groups(df).collect()}
     assert len(roots) == len(fps) and {roots[fps[k]] for k in range(400, 406)} == {roots[fps[399]]}
     assert all(roots[fps[i]] == roots[fps[j]] for i, j in got)
+
+
+def roots_of(fps, links):
+    """Smallest id reachable per id, by repeated relabelling."""
+    root = {i: i for i in fps}
+    moved = True
+    while moved:
+        moved = False
+        for i, j in links:
+            lo = min(root[i], root[j])
+            moved |= root[i] != lo or root[j] != lo
+            root[i] = root[j] = lo
+    return root
+
+
+def test_near_groups_of_large_buckets(spark):
+    """Buckets of hundreds that hold close copies, unrelated texts with common digits and chains, against all pairs."""
+    rng, fps = random.Random(5), {}
+    base = "".join(rng.choices("0123456789abcdef", k=ee.SLOTS))
+    common = set(range(0, 24))
+    for i in range(120):                                       # unrelated but for 24 common digits
+        fps[i] = agreeing(rng, base, common)
+    for i in range(120, 220):                                  # close copies of one of them
+        fps[i] = agreeing(rng, fps[7], common | set(rng.sample(range(24, ee.SLOTS), 96)))
+    for i in range(220, 260):                                  # a chain: each alike its predecessor only
+        fps[i] = agreeing(rng, fps[i - 1], common | set(rng.sample(range(24, ee.SLOTS), 93)))
+    for i in range(260, 300):                                  # further pairs
+        fps[i] = agreeing(rng, fps[i - 250], common | set(rng.sample(range(24, ee.SLOTS), 90)))
+    df = spark.createDataFrame(list(fps.items()), "doc_id long, fingerprint string")
+    want = roots_of(fps, all_alike(fps, 0.8))
+    assert len(set(want.values())) < len(fps) - 100
+    for bucket in (64, 8):
+        got = {r.fingerprint: r.component_id for r in ee.near_groups(df, least=0.8, bands=16, bucket=bucket).collect()}
+        found = {i: got[f] for i, f in fps.items()}
+        # Never joins what is not linked; finds nearly all of what is.
+        assert all(want[i] == want[r] for i, r in found.items())
+        assert sum(found[i] == want[i] for i in fps) >= 0.95 * len(fps)
+
+
+def test_grouped_fingerprints(spark, documents):
+    """The query's components against all pairs of fingerprints: nothing joined falsely, recall of 0.9 or more."""
+    rows = ee.grouped_fingerprints(documents).collect()
+    assert len(rows) == documents.count()
+    first = {}
+    for r in rows:
+        first[r.fingerprint] = min(r.doc_id, first.get(r.fingerprint, r.doc_id))
+    fps = {i: f for f, i in first.items()}
+    links = all_alike(fps, 0.8)
+    want, got = roots_of(fps, links), {r.doc_id: r.component_id for r in rows}
+    assert all(want[got[i]] == want[i] for i in fps)
+    assert sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+    assert all(got[r.doc_id] == got[first[r.fingerprint]] for r in rows)
+
+
+def test_grouped_fingerprints_odd_rows(spark, odd_docs, no_docs):
+    got = ee.grouped_fingerprints(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    same = {r.doc_id: r.component_id for r in got}
+    assert same[6] == same[5] == 5 and same[3] == same[2] == 2
+    assert {r.component_id for r in got if r.doc_id is None and r.n_chars == 0} == {2}
+    assert ee.grouped_fingerprints(no_docs).count() == 0
+    # One id with different texts does not join them.
+    two = spark.createDataFrame([(1, "abc " * 300), (1, "xyz and more " * 200), (2, "xyz and more " * 200)],
+                                "doc_id long, text string")
+    assert sorted(r.component_id for r in ee.grouped_fingerprints(two).collect()) == [1, 1, 1]
+    assert ee.near_groups(ee.edit_fingerprints(two)).count() == 2
