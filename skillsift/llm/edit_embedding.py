@@ -202,7 +202,7 @@ def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         views = list(value_views(b.column("text")))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("_tie"), pa.array([zlib.compress(v, 1) for v in views], pa.binary()),
+            [b.column("doc_id"), b.column("_tie"), pa.array([zlib.compress(v, 6) for v in views], pa.binary()),
              pa.array([len(v) for v in views], pa.int64())], ["doc_id", "_tie", "z", "n_bytes"])
 
 
@@ -290,15 +290,18 @@ def _words(c: str) -> list:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose fingerprints are alike by ``least`` or more."""
+    """The (a, b) of ``pairs`` whose fingerprints are alike by ``least`` or more.
+
+    The pairs are written first: by their files' size Spark decides whether the fingerprints need a shuffle."""
+    pairs = materialize(pairs.distinct(), nodes.sparkSession, "pairs")
     differ = F.lit(0)
     for x, y in zip(_words("fa"), _words("fb")):
         z = x.bitwiseXOR(y)
         for k in (2, 1):                       # a digit's four bits gathered in its lowest
             z = z.bitwiseOR(F.shiftright(z, k))
         differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x11111111)))
-    own = nodes.select("node", "fp")
-    met = pairs.distinct().join(own.toDF("a", "fa"), "a").join(own.toDF("b", "fb"), "b")
+    own = nodes.select("node", F.hex("bits"))
+    met = pairs.join(own.toDF("a", "fa"), "a").join(own.toDF("b", "fb"), "b")
     like = ((SLOTS - differ) / SLOTS - 1 / 16) / (1 - 1 / 16)
     return met.where(F.greatest(F.lit(0.0), like) >= least).select("a", "b")
 
@@ -325,36 +328,56 @@ def near_groups(fps: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerpri
     """One row (fingerprint, component_id) per distinct fingerprint: the smallest id reachable over links."""
     spark = fps.sparkSession
     # Numbered once, in a written table: a doc_id may repeat with different texts and cannot stand for a fingerprint.
-    nodes = materialize(fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("id"))
+    nodes = materialize(fps.groupBy(F.unhex(fp_col).alias("bits")).agg(F.min(id_col).alias("id"))
                            .withColumn("node", F.monotonically_increasing_id()), spark, "distinct-fingerprints")
-    edges = []
-    banded = _banded(nodes, band_places(band, bands))
+    spelled = nodes.select("node", F.lower(F.hex("bits")).alias("fp"))
+    edges, roots = [], None
+    banded = _banded(spelled, band_places(band, bands))
     for level in range(LEVELS + 1):
         sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"))
                                   .where("n > 1"), spark, "bucket-sizes")
         shared = materialize(banded.join(sizes, "key"), spark, "buckets")
+        if shared.isEmpty():
+            break
         edges.append(materialize(_verified(shared.where("node != head").select(
             F.col("head").alias("a"), F.col("node").alias("b")), nodes, least), spark, "star-links"))
-        rooted = shared.join(_linked(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = _linked(edges)
+        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         mixed = materialize(rooted.join(open_keys.select("key"), "key"), spark, "mixed-buckets")
+        if mixed.isEmpty():
+            break
         now = mixed if level == LEVELS else mixed.where(F.col("n") <= bucket)
         left, right = (now.select("key", F.col("node").alias(x), F.col("root").alias("r" + x)) for x in "ab")
         pairs = left.join(right, "key").where("a < b and ra != rb").select("a", "b")
         edges.append(materialize(_verified(pairs, nodes, least), spark, "cross-links"))
+        roots = None
         large = mixed.where(F.col("n") > bucket).select("key", "node")
         if level == LEVELS or large.isEmpty():
             break
-        banded = materialize(_banded(large.withColumnRenamed("key", "above").join(nodes.select("node", "fp"), "node"),
+        banded = materialize(_banded(large.withColumnRenamed("key", "above").join(spelled, "node"),
                                      band_places(DEEPER, AGAIN, seed=100 + level), "above"), spark, "banded-again")
-    rooted = nodes.join(_linked(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if edges:
+        roots = roots or _linked(edges)
+        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        rooted = nodes.withColumn("root", F.col("node"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(first, "root").select(F.col("fp").alias(fp_col), "component_id")
+    return rooted.join(first, "root").select(F.lower(F.hex("bits")).alias(fp_col), "component_id")
 
 
 def grouped_fingerprints(docs: DataFrame, least: float = 0.8, band: int = 8, bands: int = 16,
                          max_chars: int = 3_000_000) -> DataFrame:
     """``edit_fingerprints`` with component_id: the smallest doc_id reachable over texts alike by ``least`` or more."""
-    fps = materialize(edit_fingerprints(docs, max_chars), docs.sparkSession, "edit-fingerprints")
-    return fps.join(near_groups(fps, band=band, least=least, bands=bands), "fingerprint").select(
-        *fps.columns, "component_id")
+    def recoded(df: DataFrame, code) -> DataFrame:
+        hexed = ("edited_sha256", "fingerprint", "edited_fingerprint")
+        return df.select(*[code(c).alias(c) if c in hexed else c for c in df.columns])
+
+    def spelt(c: str):
+        return F.lower(F.hex(c))
+
+    # Digits are kept and shuffled as bytes, half their text.
+    fps = materialize(recoded(edit_fingerprints(docs, max_chars), F.unhex), docs.sparkSession, "edit-fingerprints")
+    groups = near_groups(recoded(fps.select("doc_id", "fingerprint"), spelt), band=band, least=least, bands=bands)
+    return recoded(fps.join(groups.withColumn("fingerprint", F.unhex("fingerprint")), "fingerprint")
+                      .select(*fps.columns, "component_id"), spelt)
