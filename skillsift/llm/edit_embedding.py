@@ -15,14 +15,14 @@ when a text grows by some cells only that share of the slots moves. Written as S
 two fingerprints: the share of equal digits, less the 1/16 that agree by chance, rescaled to 0..1.
 
 ``near_groups`` joins alike texts to components: ``bands`` choices of ``band`` digits put the distinct fingerprints
-into buckets. First every member of a bucket is verified against its smallest one, and the links give components;
-only buckets that still hold several components need more: up to ``BUCKET`` members all pairs across components
-are verified, larger ones are banded again on ``AGAIN`` further choices of digits each, ``LEVELS`` times, and what
-is still large after that is compared in all pairs across components. A group of close copies of any size thus
-costs its members, not its pairs. Two fingerprints whose digits agree at a share s meet with chance about
-1 - (1 - s ** band) ** bands: the query's 16 bands of 8 digits give 0.96 at likeness 0.8 and 0.99 at 0.85 (a large
-mixed bucket keeps 0.97 of that per further choice); 128 bands give 0.95 at 0.6. ``near_links`` returns the verified
-pairs themselves; there a band shared by n distinct fingerprints costs n * (n - 1) / 2 comparisons.
+into buckets. First every member of a bucket is verified against its smallest one; in a bucket where some member is
+not linked to that, the members not linked to it are compared with each other and, unless the triangle inequality
+excludes a link, with those linked to it. This is done in dense blocks of members (``_block_pairs``), whose links go on as
+no more rows than members: a bucket of any size gives all its links, a group of close copies costs its members, and
+only members not linked to the smallest cost comparisons in pairs. Two fingerprints whose digits agree at a share
+s meet with chance about 1 - (1 - s ** band) ** bands: the query's 16 bands of 8 digits give 0.96 at likeness 0.8 and
+0.99 at 0.85; 128 bands give 0.95 at 0.6. ``near_links`` returns the verified pairs themselves; there a band shared
+by n distinct fingerprints costs n * (n - 1) / 2 comparisons.
 
 Cases: null text = empty text, which has the fingerprint of no symbols; a null doc_id comes last in descending
 order and is linked like any other (its component may have an id through others, else null); rows of equal doc_id
@@ -53,7 +53,7 @@ BLOCK, CELL, SLOTS = 1024, 64, 128
 STEPS = 2 * BLOCK
 LETTERS = 256                                 # characters are folded to this many walk symbols
 PAD = LETTERS                                 # symbol past a block's end
-BUCKET, AGAIN, DEEPER, LEVELS = 64, 8, 5, 3   # large buckets: further choices, digits in each, how often
+BUCKET, CELLS = 128, 1 << 16                  # members of a bucket's block, about; distances computed at once
 OUT = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
        "near_edited double, near_next double")
 
@@ -289,81 +289,147 @@ def _words(c: str) -> list:
     return [F.conv(F.substring(F.col(c), i, 8), 16, 10).cast("long") for i in range(1, SLOTS, 8)]
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose fingerprints are alike by ``least`` or more.
-
-    The pairs are written first: by their files' size Spark decides whether the fingerprints need a shuffle."""
-    pairs = materialize(pairs.distinct(), nodes.sparkSession, "pairs")
-    differ = F.lit(0)
+def _differ():
+    """In how many digits the fingerprints ``fa`` and ``fb`` differ."""
+    out = F.lit(0)
     for x, y in zip(_words("fa"), _words("fb")):
         z = x.bitwiseXOR(y)
         for k in (2, 1):                       # a digit's four bits gathered in its lowest
             z = z.bitwiseOR(F.shiftright(z, k))
-        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x11111111)))
-    own = nodes.select("node", F.hex("bits"))
-    met = pairs.join(own.toDF("a", "fa"), "a").join(own.toDF("b", "fb"), "b")
-    like = ((SLOTS - differ) / SLOTS - 1 / 16) / (1 - 1 / 16)
-    return met.where(F.greatest(F.lit(0.0), like) >= least).select("a", "b")
+        out = out + F.bit_count(z.bitwiseAND(F.lit(0x11111111)))
+    return out
+
 
+def most_differing(least: float) -> int:
+    """The largest number of differing digits at which two fingerprints are alike by ``least`` (-1: none)."""
+    return max((d for d in range(SLOTS + 1)
+                if max(0.0, ((SLOTS - d) / SLOTS - 1 / 16) / (1 - 1 / 16)) >= least), default=-1)
 
-def _banded(fps: DataFrame, places: list[list[int]], *given: str) -> DataFrame:
-    """(key, node) for every choice of digit places; ``given`` columns are part of the key."""
+
+def _banded(fps: DataFrame, places: list[list[int]]) -> DataFrame:
+    """(key, node) for every choice of digit places."""
     def key(choice, no):
         digits = F.array_join(F.transform(choice, lambda i: F.substring(F.col("fp"), i, F.lit(1))), "")
-        return F.xxhash64(*given, no, digits)
+        return F.xxhash64(no, digits)
 
     return fps.select("node", F.explode(F.transform(F.lit(places), key)).alias("key"))
 
 
-def _linked(edges: list[DataFrame]) -> DataFrame:
-    """(node, root) of all nodes with a link."""
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    return components(every).toDF("node", "root")
+def digit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of differing digits, (rows of a, rows of b), of fingerprints as eight 64-bit words each."""
+    x = a[:, None, :] ^ b[None, :, :]
+    for k in (2, 1):
+        x |= x >> np.uint64(k)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(2, dtype=np.int64)
+
+
+def spanning(near: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Connected parts of a (rows, columns) table of links: its first row, its rows and its columns."""
+    left = near.any(1)
+    while left.any():
+        first = int(left.argmax())
+        rows = np.zeros(len(near), bool)
+        rows[first] = True
+        while True:
+            cols = near[rows].any(0)
+            more = near[:, cols].any(1)
+            if (more == rows).all():
+                break
+            rows = more
+        yield first, np.flatnonzero(rows), np.flatnonzero(cols)
+        left &= ~rows
+
+
+def _compare(most: int):
+    """Links (a, b) that connect what pairs of a left and a right block connect, no more than their members."""
+    def words(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, np.uint64).reshape(-1, SLOTS // 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            cols = [batch.column(c) for c in ("head", "kin", "nodes", "bits", "other_nodes", "other_bits")]
+            for i in range(batch.num_rows):
+                head, kin, nodes, bits, others, other_bits = (c[i].as_py() for c in cols)
+                a, b = words(b"".join(bits)), words(b"".join(other_bits))
+                step = max(1, CELLS // len(b))
+                near = np.concatenate([digit_distances(a[k:k + step], b) <= most for k in range(0, len(a), step)])
+                if kin:                        # these are linked to the bucket's smallest already
+                    for r in np.flatnonzero(near.any(1)):
+                        left.append(head)
+                        right.append(nodes[r])
+                    continue
+                for first, rows, found in spanning(near):
+                    for other in [nodes[r] for r in rows] + [others[c] for c in found]:
+                        if other != nodes[first]:
+                            left.append(nodes[first])
+                            right.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+    return run
+
+
+def _block_pairs(flagged: DataFrame, live: DataFrame, most: int, block: int) -> DataFrame:
+    """Pairs of blocks of a bucket's members whose links are not settled by its smallest.
+
+    A member is kin if it is linked to the smallest, middling if it may be linked to kin, and far if by the triangle
+    inequality it cannot be. Kin are connected already, so only middling members meet kin and far ones, and
+    both meet their own. Each kind is dealt by a hash to blocks: of about ``block`` in small buckets, growing with the
+    root of n to 16 times that, so that the number of pairs of blocks grows with n up to some 2000 * block members. A
+    bucket of many blocks is dealt to several tasks, to each of which its right blocks are copied."""
+    spark = flagged.sparkSession
+    kind = F.when(F.col("d") <= most, 0).when(F.col("d") <= 2 * most, 1).otherwise(2)
+    kinds = flagged.withColumn("kind", kind)
+    number = [F.count(F.when(F.col("kind") == k, True)).alias(f"n{k}") for k in range(3)]
+    # The smallest itself is kin; two members have been compared.
+    unsettled = materialize(kinds.groupBy("key").agg(*number).where("n1 + n2 > 0 and n0 + n1 + n2 > 2"), spark, "open-buckets")
+    size = F.when(F.col("kind") == 0, F.col("n0")).when(F.col("kind") == 1, F.col("n1")).otherwise(F.col("n2"))
+    n = F.col("n0") + F.col("n1") + F.col("n2")
+    fill = F.greatest(F.lit(float(block)), F.least(F.lit(16.0 * block), F.sqrt(n * block / 8)))
+    blocks = (kinds.join(unsettled, "key").join(live.select("node", "bits"), "node")
+              .withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(size / fill)))
+              .withColumn("deals", F.least(F.lit(64), F.ceil(n / fill / 16)))
+              .groupBy("key", "head", "kind", "block", "deals").agg(F.collect_list(F.struct("node", "bits")).alias("m"))
+              .select("key", "head", "kind", "block", "deals", F.col("m.node").alias("nodes"), F.col("m.bits").alias("bits")))
+    blocks = materialize(blocks, spark, "blocks")
+    left = blocks.where("kind > 0").withColumn("deal", F.pmod("block", "deals")).drop("deals")
+    right = blocks.select("key", F.col("kind").alias("other_kind"), F.col("block").alias("other_block"),
+                          F.col("nodes").alias("other_nodes"), F.col("bits").alias("other_bits"),
+                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+    meet = ((F.col("kind") == F.col("other_kind")) & (F.col("block") <= F.col("other_block"))) | (
+        (F.col("kind") == 1) & (F.col("other_kind") != 1))
+    return left.join(right, ["key", "deal"]).where(meet).select(
+        "head", (F.col("other_kind") == 0).alias("kin"), "nodes", "bits", "other_nodes", "other_bits")
 
 
 def near_groups(fps: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", band: int = 8,
-                least: float = 0.6, bands: int = 128, bucket: int = BUCKET) -> DataFrame:
-    """One row (fingerprint, component_id) per distinct fingerprint: the smallest id reachable over links."""
+                least: float = 0.6, bands: int = 128, bucket: int = BUCKET, singles: bool = True) -> DataFrame:
+    """One row (fingerprint, component_id) per distinct fingerprint: the smallest id reachable over links.
+
+    Without ``singles`` only fingerprints that have a link or come in several rows: any other's component is its id."""
     spark = fps.sparkSession
+    most = most_differing(least)
     # Numbered once, in a written table: a doc_id may repeat with different texts and cannot stand for a fingerprint.
-    nodes = materialize(fps.groupBy(F.unhex(fp_col).alias("bits")).agg(F.min(id_col).alias("id"))
+    nodes = materialize(fps.groupBy(F.unhex(fp_col).alias("bits")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("rows"))
                            .withColumn("node", F.monotonically_increasing_id()), spark, "distinct-fingerprints")
-    spelled = nodes.select("node", F.lower(F.hex("bits")).alias("fp"))
-    edges, roots = [], None
-    banded = _banded(spelled, band_places(band, bands))
-    for level in range(LEVELS + 1):
-        sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"))
-                                  .where("n > 1"), spark, "bucket-sizes")
-        shared = materialize(banded.join(sizes, "key"), spark, "buckets")
-        if shared.isEmpty():
-            break
-        edges.append(materialize(_verified(shared.where("node != head").select(
-            F.col("head").alias("a"), F.col("node").alias("b")), nodes, least), spark, "star-links"))
-        roots = _linked(edges)
-        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        mixed = materialize(rooted.join(open_keys.select("key"), "key"), spark, "mixed-buckets")
-        if mixed.isEmpty():
-            break
-        now = mixed if level == LEVELS else mixed.where(F.col("n") <= bucket)
-        left, right = (now.select("key", F.col("node").alias(x), F.col("root").alias("r" + x)) for x in "ab")
-        pairs = left.join(right, "key").where("a < b and ra != rb").select("a", "b")
-        edges.append(materialize(_verified(pairs, nodes, least), spark, "cross-links"))
-        roots = None
-        large = mixed.where(F.col("n") > bucket).select("key", "node")
-        if level == LEVELS or large.isEmpty():
-            break
-        banded = materialize(_banded(large.withColumnRenamed("key", "above").join(spelled, "node"),
-                                     band_places(DEEPER, AGAIN, seed=100 + level), "above"), spark, "banded-again")
-    if edges:
-        roots = roots or _linked(edges)
-        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        rooted = nodes.withColumn("root", F.col("node"))
-    first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(first, "root").select(F.lower(F.hex("bits")).alias(fp_col), "component_id")
+    # One shuffle by key serves both the buckets' sizes and their members.
+    banded = _banded(nodes.select("node", F.lower(F.hex("bits")).alias("fp")), band_places(band, bands)).repartition("key")
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    shared = materialize(banded.join(sizes, "key").select("key", "node", "head"), spark, "buckets")
+    live = materialize(nodes.join(shared.select("node").distinct(), "node", "left_semi"), spark, "bucket-fingerprints")
+    pairs = materialize(shared.where("node != head").select("head", "node").distinct(), spark, "star-pairs")
+    own = live.select("node", F.hex("bits").alias("fb"))
+    stars = materialize(pairs.join(own, "node").join(own.toDF("head", "fa"), "head")
+                             .select("head", "node", _differ().alias("d")), spark, "star-distances")
+    flagged = shared.join(stars, ["head", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    cross = _block_pairs(materialize(flagged, spark, "flagged"), live, most, bucket).mapInArrow(_compare(most), "a bigint, b bigint")
+    edges = stars.where(F.col("d") <= most).select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(cross)
+    roots = components(edges).toDF("node", "root")
+    linked = live.join(roots, "node")
+    first = linked.groupBy("root").agg(F.min("id").alias("component_id"))
+    linked = materialize(linked.join(first, "root").select("node", "bits", "component_id"), spark, "linked")
+    others = (nodes if singles else nodes.where("rows > 1")).join(linked.select("node"), "node", "left_anti")
+    every = linked.select("bits", "component_id").unionByName(others.select("bits", F.col("id").alias("component_id")))
+    return every.select(F.lower(F.hex("bits")).alias(fp_col), "component_id")
 
 
 def grouped_fingerprints(docs: DataFrame, least: float = 0.8, band: int = 8, bands: int = 16,
@@ -378,6 +444,9 @@ def grouped_fingerprints(docs: DataFrame, least: float = 0.8, band: int = 8, ban
 
     # Digits are kept and shuffled as bytes, half their text.
     fps = materialize(recoded(edit_fingerprints(docs, max_chars), F.unhex), docs.sparkSession, "edit-fingerprints")
-    groups = near_groups(recoded(fps.select("doc_id", "fingerprint"), spelt), band=band, least=least, bands=bands)
-    return recoded(fps.join(groups.withColumn("fingerprint", F.unhex("fingerprint")), "fingerprint")
-                      .select(*fps.columns, "component_id"), spelt)
+    groups = near_groups(recoded(fps.select("doc_id", "fingerprint"), spelt), band=band, least=least, bands=bands,
+                         singles=False)
+    given = groups.select(F.unhex("fingerprint").alias("fingerprint"), F.struct("component_id").alias("group"))
+    return recoded(fps.join(given, "fingerprint", "left").select(
+        *fps.columns, F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("group.component_id"))
+                       .alias("component_id")), spelt)

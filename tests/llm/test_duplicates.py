@@ -296,6 +296,71 @@ def test_near_groups_of_large_buckets(spark):
     assert sum(found[i] == want[i] for i in fps) >= 0.95 * len(fps)
 
 
+def test_near_groups_lose_no_link_in_a_large_bucket(spark):
+    """Pairs that meet in one band only, among many unrelated texts with that band's digits."""
+    rng, fps = random.Random(9), {}
+    base = "".join(rng.choices("0123456789abcdef", k=ee.SLOTS))
+    # One digit or more of every other band, and of every run of five up to the 40th, is another one.
+    other = {3, 8, 12, 15, 24, 27, 32, 36, *range(40, ee.SLOTS, 8)}
+    for i in range(0, 60, 2):
+        fps[i] = agreeing(rng, base, set(range(16, 24)))
+        fps[i + 1] = agreeing(rng, fps[i], set(range(ee.SLOTS)) - other)
+    for i in range(60, 160):
+        fps[i] = agreeing(rng, base, set(range(16, 24)))
+    df = spark.createDataFrame([*fps.items(), (170, fps[159])], "doc_id long, fingerprint string")
+    assert all_alike(fps, 0.8) == {(i, i + 1) for i in range(0, 60, 2)}
+    for block in (16, ee.BUCKET):
+        got = {r.fingerprint: r.component_id for r in ee.near_groups(df, least=0.8, bands=16, bucket=block).collect()}
+        assert got == {f: i - i % 2 if i < 60 else i for i, f in fps.items()}
+    some = ee.near_groups(df, least=0.8, bands=16, singles=False).collect()
+    assert {r.fingerprint: r.component_id for r in some} == {
+        f: i - i % 2 if i < 60 else i for i, f in fps.items() if i < 60 or i == 159}
+
+
+def test_pairs_of_blocks_grow_with_the_bucket(spark):
+    """Unrelated members of one bucket: sixteen times the members give few more pairs of blocks than that."""
+    def pairs(n):
+        nodes = spark.range(n).select(F.col("id").alias("node"), F.unhex(F.repeat(F.sha2(F.col("id").cast("string"), 256), 2)).alias("bits"))
+        flagged = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.lit(0).cast("long").alias("head"),
+                               F.when(F.col("node") == 0, 0).otherwise(ee.SLOTS).alias("d"))
+        met = ee._block_pairs(flagged, nodes, 24, 8)
+        # Every two members meet, in one direction or the other.
+        ids = met.where("not kin").select(F.explode("nodes").alias("a"), "other_nodes").select("a", F.explode("other_nodes").alias("b"))
+        whole = ids.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().count()
+        assert whole == (n - 1) * (n - 2) // 2
+        return met.count()
+    assert pairs(1600) <= 20 * pairs(100)
+
+
+@given(st.integers(0, 2 ** 32 - 1), st.integers(1, 12), st.integers(1, 12), st.floats(0, 0.4))
+@settings(max_examples=80, deadline=None)
+def test_spanning(seed, m, n, share):
+    near = np.random.default_rng(seed).random((m, n)) < share
+    up = {("r", i): ("r", i) for i in range(m)} | {("c", j): ("c", j) for j in range(n)}
+    for i, j in zip(*np.nonzero(near)):
+        old, new = up["r", int(i)], up["c", int(j)]
+        up = {k: new if v == old else v for k, v in up.items()}
+    want = {}
+    for k, v in up.items():
+        want.setdefault(v, set()).add(k)
+    got = [{("r", int(i)) for i in rows} | {("c", int(j)) for j in cols} for _, rows, cols in ee.spanning(near)]
+    assert sorted(map(sorted, got)) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_digit_distances():
+    rng = np.random.default_rng(4)
+    digits = rng.integers(0, 16, (20, ee.SLOTS)).astype(np.uint8)
+    digits[5:10, :100] = digits[0, :100]
+    packed = (digits[:, ::2] << 4 | digits[:, 1::2]).copy().view(np.uint64)
+    want = (digits[:, None, :] != digits[None, :, :]).sum(2)
+    assert (ee.digit_distances(packed[:7], packed) == want[:7]).all()
+    for least in (0.0, 0.6, 0.8, 1.0, 1.1):
+        d = ee.most_differing(least)
+        a = bytes(ee.SLOTS)
+        assert [ee.likeness(a, bytes([1] * k + [0] * (ee.SLOTS - k))) >= least for k in range(ee.SLOTS + 1)] \
+            == [k <= d for k in range(ee.SLOTS + 1)]
+
+
 def test_grouped_fingerprints(spark, documents):
     """The query's components against all pairs of fingerprints: nothing joined falsely, recall of 0.9 or more."""
     rows = ee.grouped_fingerprints(documents).collect()
