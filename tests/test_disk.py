@@ -58,3 +58,41 @@ def test_dropped_scratch_is_gone_and_other_tables_stay(spark, tmp):
     ss.drop_scratch(spark, mine)
     ss.drop_scratch(spark, other)
     assert not os.path.exists(folder) and other.count() == 5
+
+
+def test_passes_change_nothing(spark, monkeypatch):
+    from skillsift.operators import blocks as bl
+    from skillsift.operators import index as ix
+    from skillsift.operators import title_terms as tt
+    from skillsift.operators.recommend import skill_queries
+    from skillsift.session import materialize
+    jobs = materialize(spark.createDataFrame([(t, f"aa bb {t} cc aa bb{i % 3}") for i in range(40) for t in ("red rod", "cold cup", "old hat")],
+                                             "title string, skills_extracts string"))
+    courses = spark.createDataFrame([(i, f"aa bb{i % 7} cc{i % 5}") for i in range(60)] + [(None, "aa dd")], "cid long, text string")
+    asked = spark.createDataFrame([("a", "red rod"), ("b", "cold cup"), (None, "old hat")], "query_id string, query string")
+    index = ix.fit_course_index(courses, "cid", "text")
+    read = []
+    for size in (ss.PASS_BYTES, 300):
+        monkeypatch.setattr(ss, "PASS_BYTES", size)
+        n = ss.passes_over(jobs)
+        kept = tt.fit_title_terms(jobs, passes=n)
+        b = bl.block_index(index, size=8)
+        read.append((n, rows(kept.counts), rows(kept.heads), rows(skill_queries(asked, jobs)), rows(b.blocked, "course_id", "term", "weight"),
+                     rows(b.maxima.groupBy("term").agg(F.max("most")))))
+    assert read[0][0] == 1 and read[1][0] > 2 and read[0][1:] == read[1][1:]
+    assert len(read[0][3]) == 6
+
+
+def test_packed_counts_are_added_past_the_bound(spark, monkeypatch):
+    """Counts of a bucket are summed in between where they outgrow the bound, and a single table is taken as it is."""
+    import pyarrow as pa
+    from skillsift.operators import gram_counts as gc
+    monkeypatch.setattr(gc, "FOLD", 3)
+    table = lambda *r: gc._written(pa.RecordBatch.from_arrays([pa.array([x[0] for x in r]), pa.array([x[1] for x in r]), pa.array([x[2] for x in r], pa.int64())], gc.PACKED))
+    packed = pa.RecordBatch.from_arrays([
+        pa.array([1, 1, 1, 2], pa.int32()), pa.array([1, 1, 2, 2], pa.int64()),
+        pa.array([table((7, "a", 1), (None, "b", 2), (7, "c", 1)), table((7, "a", 4), (None, "b", 1), (8, "d", 1)),
+                  table((7, "a b", 3)), table((7, "a b", 5))], pa.binary())], ["bucket", "n", "counts"])
+    got = [tuple(r.values()) for b in gc._added(["g", "n", "term", "cnt"])(iter([packed, packed.slice(3)])) for r in b.to_pylist()]
+    assert sorted(got, key=str) == sorted([(7, 1, "a", 5), (None, 1, "b", 3), (7, 1, "c", 1), (8, 1, "d", 1), (7, 2, "a b", 3),
+                                           (7, 2, "a b", 10)], key=str)
